@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docuflux.session import ship
+
 #: Rows of a driver-made table that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text that a worker turns into arrays at a time.
@@ -74,6 +76,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tupl
 
 def arrow_map(df: DataFrame, worker: Callable, schema: str) -> DataFrame:
     """mapInArrow over batches that are bounded in bytes as well as rows."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return df.mapInArrow(worker, schema)
 

@@ -248,7 +248,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, ws: Workspace, name: str, k: in
     left = sets.select(F.col("id").alias("u"), F.col("tokens").alias("tu"))
     right = sets.select(F.col("id").alias("v"), F.col("tokens").alias("tv"))
     full = pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
-    links = ws.save(full.mapInArrow(_verify_worker(a, b), "u long, v long"), f"{name}-links")
+    links = ws.save(arrow_map(full, _verify_worker(a, b), "u long, v long"), f"{name}-links")
     ws.drop(f"{name}-pairs", f"{name}-sets")
     return links
 

@@ -43,6 +43,10 @@ TEMPLATES = [
 ]
 
 
+#: Words that make poor anchors; they are taken last.
+COMMON = set("a an and any are be by for have in is it may not of on or that the this to under was with you".split())
+
+
 def words_of(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
@@ -66,7 +70,7 @@ def anchors(least: float, templates=TEMPLATES) -> list[str]:
         need = math.ceil(least / (2 - least) * len(grams) - 1e-9)
         while len(left := [g for g in grams if not chosen & set(g)]) >= max(1, need):
             counts = {w: sum(w in g for g in left) for g in left for w in g}
-            chosen.add(max(counts, key=lambda w: (len(w) > 3, counts[w], len(w), w)))
+            chosen.add(max(counts, key=lambda w: (w not in COMMON, counts[w], len(w), w)))
     return sorted(chosen)
 
 
@@ -80,21 +84,20 @@ def matches(docs: DataFrame, least: float = LEAST, templates=TEMPLATES) -> DataF
     """row, doc_id, unit (line from 0, -1: the whole text), license, dice of each unit that reaches least."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    some = F.lit(False)
-    lowered = F.lower("text")
-    for word in anchors(least, templates):
-        some = some | F.contains(lowered, F.lit(word))
+    some = F.rlike(F.col("text"), F.lit(r"(?i)\b(?:" + "|".join(anchors(least, templates)) + r")\b"))
     low = least / (2 - least)
     sizes = [n for _, _, n, _ in template_rows(templates)]
+    # words are made inside the array that is exploded, so that no later filter makes them again
+    cut_words = lambda x: F.split(normal(x), " ")
     units = F.concat(
-        F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("unit"), x.alias("line"))),
-        F.when(F.contains("text", F.lit("\n")), F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("line")))).otherwise(F.expr("array()")),
+        F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("unit"), cut_words(x).alias("w"))),
+        F.when(F.contains("text", F.lit("\n")), F.array(F.struct(F.lit(-1).alias("unit"), cut_words(F.col("text")).alias("w")))).otherwise(F.expr("array()")),
     )
-    cut = rows.filter(some).select("row", "doc_id", F.explode(units).alias("u")).select("row", "doc_id", "u.unit", F.split(normal(F.col("u.line")), " ").alias("w"))
-    # a unit has at most one bigram less than words, and repeats only lower that
-    cut = cut.filter(F.size("w") - 1 >= math.ceil(low * min(sizes) - 1e-9))
+    # a unit has one bigram less than words, or fewer where they repeat
+    fit = F.filter(units, lambda u: (F.size(u["w"]) > 1) & (F.size(u["w"]) - 1 >= math.ceil(low * min(sizes) - 1e-9)))
+    cut = rows.filter(some).select("row", "doc_id", F.explode(fit).alias("u")).select("row", "doc_id", "u.unit", F.col("u.w").alias("w"))
     grams = F.array_distinct(F.expr("if(size(w) < 2, cast(array() as array<string>), transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])))"))
-    cut = cut.filter(F.size("w") >= 2).select("row", "doc_id", "unit", grams.alias("g")).withColumn("m", F.size("g")).filter(F.col("m") <= max(sizes) / low)
+    cut = cut.select("row", "doc_id", "unit", grams.alias("g")).select("row", "doc_id", "unit", "g", F.size("g").alias("m")).filter(F.col("m") <= max(sizes) / low)
     schema = T.StructType([T.StructField("template", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("gram", T.StringType())])
     known = F.broadcast(spark.createDataFrame(template_rows(templates), schema))  # as many rows as the parameter has bigrams
     met = (
