@@ -16,8 +16,8 @@ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to
   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n FROM s),
 g AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
-both AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS MATERIALIZED (SELECT u, v FROM both JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 90 * (x.n + y.n - i)),
+met AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT u, v FROM met JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 90 * (x.n + y.n - i)),
 reach AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
 SELECT n.doc_id, n.n AS n_shingles, min(reach.v) AS component_id FROM n JOIN reach ON reach.u = n.doc_id GROUP BY ALL"""
 
@@ -54,9 +54,9 @@ units AS (SELECT doc_id, unnest(range(len(l))) AS unit, unnest(l) AS line FROM l
 u AS (SELECT doc_id, unit, {grams} AS g FROM (SELECT doc_id, unit, string_split({normal.format("line")}, ' ') AS w FROM units)),
 tg AS (SELECT template, license, len(g) AS n, unnest(g) AS gram FROM t),
 ug AS (SELECT doc_id, unit, len(g) AS m, unnest(g) AS gram FROM u WHERE len(g) <= (SELECT max(n) FROM tg) * 3),
-both AS (SELECT doc_id, unit, template, license, 2 * count(*) / (m + n) AS dice FROM ug JOIN tg USING (gram)
+met AS (SELECT doc_id, unit, template, license, 2 * count(*) / (m + n) AS dice FROM ug JOIN tg USING (gram)
   GROUP BY doc_id, unit, template, license, m, n HAVING 2 * count(*) / (m + n) >= {LEAST} - 1e-12),
-best AS (SELECT * FROM both QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, template) = 1),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, template) = 1),
 by_doc AS (SELECT doc_id, count(*) AS n_units, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
   arg_min(license, (-dice, template)) AS best_license, max(dice) AS best_dice FROM best GROUP BY 1)
 SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses, best_license, round(best_dice, 6) AS best_dice
