@@ -16,8 +16,8 @@ is exact under any order.
 Copies of a set are one node. Links are found without all pairs of a group: members of a list
 are first tried against a few random leaders of that list; lists that then still hold more than
 one component are joined across components only, behind the size bound and a 512-bit parity
-sketch whose Hamming distance never exceeds the symmetric difference. Every candidate is
-verified on the whole sets.
+sketch whose Hamming distance never exceeds the symmetric difference. Candidates that a wider
+sketch of the same kind leaves are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ FREQUENT = 1 << 17
 #: Leaders of each list, and candidates a set tries among them.
 LEADERS, TRIES = 4, 3
 BITS = 512
+#: Bits of the second sketch, kept for sets above WIDE_FROM and compared pair by pair.
+WIDE, WIDE_FROM = 8192, 256
 WORDS_KEPT = 1 << 20
 #: Distinct ids up to which the texts to verify are picked by a broadcast.
 PICKED = 2_000_000
@@ -127,8 +129,8 @@ def _count_worker(k: int):
     return work
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+def _bitmap(s: np.ndarray, width: int = BITS) -> np.ndarray:
+    bits = np.bincount((s >> np.uint64(65 - width.bit_length())).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -166,7 +168,7 @@ def _sign_worker(k: int, a: int, b: int, limit: int, frequent):
         tokens, counts = frequent.value
         for batch, texts in text_slices(batches, "text"):
             sets = shingler.sets(texts)
-            keys, first, second, bitmaps = [], [], [], []
+            keys, first, second, bitmaps, wide = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in sets:
                     n = len(s)
@@ -174,6 +176,7 @@ def _sign_worker(k: int, a: int, b: int, limit: int, frequent):
                     first.append(int.from_bytes(digest[:8], "little", signed=True))
                     second.append(int.from_bytes(digest[8:], "little", signed=True))
                     bitmaps.append(_bitmap(s).tolist())
+                    wide.append(_bitmap(s, WIDE).tolist() if n > WIDE_FROM else None)
                     if n < 2:
                         keys.append([])
                         continue
@@ -203,8 +206,9 @@ def _sign_worker(k: int, a: int, b: int, limit: int, frequent):
                     pa.array(second, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(bitmaps, pa.list_(pa.int64())),
+                    pa.array(wide, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "h1", "h2", "keys", "bits"],
+                ["doc_id", "n", "h1", "h2", "keys", "bits", "wide"],
             )
 
     return work
@@ -238,9 +242,12 @@ def _verify_worker(a: int, b: int):
     return work
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, ws: Workspace, name: str, k: int, a: int, b: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets reach a/b. docs: one text for each id."""
-    pairs = ws.save(pairs.select("u", "v"), f"{name}-pairs")
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, ws: Workspace, name: str, k: int, a: int, b: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets reach a/b. The second sketch goes first."""
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")).dropDuplicates([x])
+    far = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    near = F.coalesce(far * (a + b) <= (F.col("nu") + F.col("nv")) * (b - a), F.lit(True))
+    pairs = ws.save(pairs.join(side("u"), "u").join(side("v"), "v").filter(near).select("u", "v"), f"{name}-pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     pick = F.broadcast(ids) if bounded(ids, PICKED) else ids
     texts = docs.join(pick, docs.doc_id == F.col("id"), "left_semi").select("doc_id", "text")
@@ -284,13 +291,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     limit = boundary(sizes, met, a, b)
 
     signed = ws.save(
-        arrow_map(docs, _sign_worker(k, a, b, limit, frequent), "doc_id long, n long, h1 long, h2 long, keys array<long>, bits array<long>"), "signed"
+        arrow_map(docs, _sign_worker(k, a, b, limit, frequent), "doc_id long, n long, h1 long, h2 long, keys array<long>, bits array<long>, wide array<long>"), "signed"
     )
     ws.drop("counts")
     real = signed.filter("n > 0 and doc_id is not null")
     nodes = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     nodes = ws.save(nodes.filter("copies > 1").drop("copies"), "copies")
-    classed = real.join(nodes, ["h1", "h2", "n"], "left").select("doc_id", "n", "keys", "bits", F.coalesce("rep", "doc_id").alias("rep"))
+    classed = real.join(nodes, ["h1", "h2", "n"], "left").select("doc_id", "n", "keys", "bits", "wide", F.coalesce("rep", "doc_id").alias("rep"))
     reps = ws.save(classed.filter("doc_id = rep").dropDuplicates(["rep", "keys"]).drop("doc_id"), "reps")
 
     # lists with two members or more
@@ -317,7 +324,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         tried.select("rep", "other", "far").distinct().withColumn("r", F.row_number().over(best)).filter(F.col("r") <= TRIES)
         .select(F.least("rep", "other").alias("u"), F.greatest("rep", "other").alias("v")).distinct()
     )
-    links = _verified(docs, pairs, ws, "first", k, a, b)
+    links = _verified(docs, reps, pairs, ws, "first", k, a, b)
     labels = components(links, ws, "cc1")
 
     # what is left: pairs across components within a list
@@ -334,7 +341,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         & (F.least("n", "m") * b >= F.greatest("n", "m") * a)
         & (_far("x", "y") * (a + b) <= (F.col("n") + F.col("m")) * (b - a)),
     )
-    more = _verified(docs, across.select("u", "v").distinct(), ws, "second", k, a, b)
+    more = _verified(docs, reps, across.select("u", "v").distinct(), ws, "second", k, a, b)
     ws.drop("posts", "mixed")
     if more.limit(1).count():
         # components of components: labels are nodes now
