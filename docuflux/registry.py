@@ -12,7 +12,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules of docuflux.plans that register queries.
-MODULES: tuple[str, ...] = ()
+MODULES = ("text",)
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
