@@ -103,7 +103,7 @@ def test_breaker(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "ts")
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("user_id", "cast(ts as timestamp) as ts")
     source.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
     query = rates.rate_stream(stream, "user_id").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
