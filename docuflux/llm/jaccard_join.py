@@ -299,6 +299,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     nodes = ws.save(nodes.filter("copies > 1").drop("copies"), "copies")
     classed = real.join(nodes, ["h1", "h2", "n"], "left").select("doc_id", "n", "keys", "bits", "wide", F.coalesce("rep", "doc_id").alias("rep"))
     reps = ws.save(classed.filter("doc_id = rep").dropDuplicates(["rep", "keys"]).drop("doc_id"), "reps")
+    # of the rows no more is needed than their node
+    placed = signed.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2", "n"], "left")
+    rows = ws.save(placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("node")), "rows")
+    ws.drop("signed", "copies")
 
     # lists with two members or more
     posts = reps.select(F.explode("keys").alias("key"), "rep", "n")
@@ -357,9 +361,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             whole.join(lab, "node", "left").withColumn("was", F.coalesce("label", "node")).drop("label")
             .join(upper, "was", "left").select("node", F.coalesce("top", "was").alias("label"))
         )
-    placed = signed.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2", "n"], "left")
-    placed = placed.withColumn("node", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    return placed.join(labels, "node", "left").select(
+    return rows.join(labels, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")).alias("component_id")
     )
 
