@@ -18,6 +18,8 @@ from docuflux.session import ship
 
 #: Rows of a driver-made table that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Setting by which Spark deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that a worker turns into arrays at a time.
 SLICE_BYTES = 4 << 20
 
@@ -40,7 +42,13 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        # the table is read from its files from now on, so the shuffles that made it can go
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
