@@ -16,7 +16,8 @@ is exact under any order.
 Copies of a set are one node. Links are found without all pairs of a group: members of a list
 are first tried against a few random leaders of that list; lists that then still hold more than
 one component are joined across components only, behind the size bound and a 512-bit parity
-sketch whose Hamming distance never exceeds the symmetric difference. Candidates that a wider
+sketch whose Hamming distance never exceeds the symmetric difference; leaders are compared by a
+folded one. Candidates that a wider
 sketch of the same kind leaves are verified on the whole sets.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ FREQUENT = 1 << 17
 #: Leaders of each list, and candidates a set tries among them.
 LEADERS, TRIES = 4, 3
 BITS = 512
+#: 64-bit parts of the sketch that list entries carry: the whole one folded by exclusive or.
+FOLD = 2
 #: Bits of the second sketch, kept for sets above WIDE_FROM and compared pair by pair.
 WIDE, WIDE_FROM = 8192, 256
 WORDS_KEPT = 1 << 20
@@ -260,8 +264,14 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, ws: Workspace,
     return links
 
 
-def _far(x: str, y: str):
-    return sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(1, BITS // 64)), F.bit_count(F.col(f"{x}0").bitwiseXOR(F.col(f"{y}0"))))
+def _far(x: str, y: str, parts: int):
+    differ = [F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(parts)]
+    return sum(differ[1:], differ[0])
+
+
+def _folded(i: int):
+    """Part i of the folded sketch, whose distance never exceeds the symmetric difference either."""
+    return reduce(lambda p, q: p.bitwiseXOR(q), [F.col("bits")[j] for j in range(i, BITS // 64, FOLD)])
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -308,9 +318,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     posts = reps.select(F.explode("keys").alias("key"), "rep", "n")
     lists = posts.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     posts = ws.save(posts.join(lists, "key"), "lists")
-    bits = reps.select("rep", *[F.col("bits")[i].alias(f"x{i}") for i in range(BITS // 64)]).dropDuplicates(["rep"])
-    xs = [f"x{i}" for i in range(BITS // 64)]
-    posts = ws.save(posts.join(bits, "rep"), "posts")
+    folded = reps.select("rep", *[_folded(i).alias(f"x{i}") for i in range(FOLD)]).dropDuplicates(["rep"])
+    xs = [f"x{i}" for i in range(FOLD)]
+    posts = ws.save(posts.join(folded, "rep"), "posts")
     ws.drop("lists")
 
     # a few random leaders of each list, the nearest ones tried first
@@ -320,7 +330,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         posts.join(chosen.select("key", F.explode(F.array_distinct(F.array(*[f"l{s}" for s in range(LEADERS)]))).alias("l")), "key")
         .select("rep", "n", *xs, F.col("l.rep").alias("other"), F.col("l.n").alias("on"), *[F.col(f"l.{x}").alias(f"y{i}") for i, x in enumerate(xs)])
         .filter((F.col("rep") != F.col("other")) & (F.least("n", "on") * b >= F.greatest("n", "on") * a))
-        .withColumn("far", _far("x", "y"))
+        .withColumn("far", _far("x", "y", FOLD))
         .filter(F.col("far") * (a + b) <= (F.col("n") + F.col("on")) * (b - a))
     )
     best = Window.partitionBy("rep").orderBy("far", F.xxhash64("rep", "other"))
@@ -334,7 +344,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # what is left: pairs across components within a list
     placed = posts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    placed = ws.save(placed.join(mixed, "key"), "mixed")
+    xs = [f"x{i}" for i in range(BITS // 64)]
+    whole = reps.select("rep", *[F.col("bits")[i].alias(x) for i, x in enumerate(xs)]).dropDuplicates(["rep"])
+    placed = ws.save(placed.join(mixed, "key").select("key", "rep", "n", "label").join(whole, "rep"), "mixed")
     p = placed.select("key", F.col("rep").alias("u"), "n", F.col("label").alias("lu"), *xs)
     q = placed.select(F.col("key").alias("key2"), F.col("rep").alias("v"), F.col("n").alias("m"), F.col("label").alias("lv"), *[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)])
     across = p.join(
@@ -343,7 +355,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         & (F.col("u") < F.col("v"))
         & (F.col("lu") != F.col("lv"))
         & (F.least("n", "m") * b >= F.greatest("n", "m") * a)
-        & (_far("x", "y") * (a + b) <= (F.col("n") + F.col("m")) * (b - a)),
+        & (_far("x", "y", BITS // 64) * (a + b) <= (F.col("n") + F.col("m")) * (b - a)),
     )
     more = _verified(docs, reps, across.select("u", "v").distinct(), ws, "second", k, a, b)
     ws.drop("posts", "mixed")
