@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Workspace, arrow_map, bounded, text_slices
+from .common import Workspace, arrow_map, bounded, maybe_broadcast, text_slices
 from .graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -51,6 +51,8 @@ WIDE, WIDE_FROM = 8192, 256
 WORDS_KEPT = 1 << 20
 #: Distinct ids up to which the texts to verify are picked by a broadcast.
 PICKED = 2_000_000
+#: Copies, or repeated ids, up to which they are broadcast (24 bytes each) rather than joined by a shuffle.
+LEFT_OUT = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -307,12 +309,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     real = signed.filter("n > 0 and doc_id is not null")
     nodes = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     nodes = ws.save(nodes.filter("copies > 1").drop("copies"), "copies")
-    classed = real.join(nodes, ["h1", "h2", "n"], "left").select("doc_id", "n", "keys", "bits", "wide", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = ws.save(classed.filter("doc_id = rep").dropDuplicates(["rep", "keys"]).drop("doc_id"), "reps")
+    # signatures are wide, so they stay where they are: what is left out of them is found on narrow rows
+    narrow = real.select("doc_id", "h1", "h2", "n")
+    gone = ws.save(narrow.join(nodes, ["h1", "h2", "n"]).filter("doc_id <> rep").select("doc_id", "h1", "h2").distinct(), "gone")
+    again = ws.save(narrow.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"), "again")
+    whole = real.join(maybe_broadcast(gone, LEFT_OUT), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "n", "keys", "bits", "wide")
+    if again.limit(1).count():
+        again = maybe_broadcast(again, LEFT_OUT)
+        once, twice = whole.join(again, "doc_id", "left_anti"), whole.join(again, "doc_id", "left_semi")
+        whole = once.unionByName(twice.dropDuplicates(["doc_id", "keys"]))
+    reps = ws.save(whole.withColumnRenamed("doc_id", "rep"), "reps")
     # of the rows no more is needed than their node
     placed = signed.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2", "n"], "left")
     rows = ws.save(placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("node")), "rows")
-    ws.drop("signed", "copies")
+    ws.drop("signed", "copies", "gone", "again")
 
     # lists with two members or more
     posts = reps.select(F.explode("keys").alias("key"), "rep", "n")
