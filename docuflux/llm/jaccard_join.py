@@ -281,7 +281,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     docs: doc_id (integer) and text; further columns are ignored. Returns doc_id, n_shingles
     and component_id, one row for each row of docs. Null or empty texts: no shingles, component
-    of their own. Rows that share a doc_id count as one node of the graph. A null doc_id is
+    of their own. Repeated rows are linked like one. Where rows share a doc_id but not
+    their text, links of one of the texts only are sure to be found (a known defect). A null doc_id is
     never linked; its component_id is null. An empty table gives an empty result.
     """
     spark = docs.sparkSession
