@@ -1,11 +1,13 @@
 """WARC Merkle fixity audit: records are laid out in volumes at ordered offsets and digested;
-each volume's leaves are the records with their offset ranges, nodes are digests over FAN
+each volume's leaves stand at the places of their record ids, nodes are digests over FAN
 children, and two replicas are compared from the roots down, through mismatching nodes only.
+No digest holds an offset, so that a lost record changes its own leaf and no other; how far
+the records behind it have moved is told apart from that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,7 +38,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def leaves(recs: DataFrame) -> DataFrame:
-    """volume, seq, id, offset, length, record_sha256, node (digest of the record and its range).
+    """volume, seq, id, offset, length, record_sha256, node (digest of the record and its id).
 
     Records of a volume are ordered by id, then digest, and follow one another from offset 0.
     """
@@ -46,41 +48,69 @@ def leaves(recs: DataFrame) -> DataFrame:
         "*", (F.row_number().over(order) - 1).cast("long").alias("seq"),
         (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).cast("long").alias("offset"),
     )
-    node = F.sha2(F.concat_ws(":", "offset", "length", "record_sha256"), 256)
+    node = F.sha2(F.concat_ws(":", "id", "length", "record_sha256"), 256)
     return placed.select("volume", "seq", "id", "offset", "length", "record_sha256", node.alias("node"))
 
 
+def place_of(id_: Column) -> Column:
+    """A record's place in its volume, whatever other records the volume holds."""
+    return F.pmod(id_, F.lit(VOLUME)).cast("long")
+
+
+def over(nodes: DataFrame, place: Column, *order: str) -> DataFrame:
+    """(volume, place, node): digests over the nodes that share a place, in the given order."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, "node")))
+    return nodes.groupBy("volume", place.alias("place")).agg(F.sha2(F.array_join(F.transform(listed, lambda c: c["node"]), ""), 256).alias("node"))
+
+
 def tree(leaf: DataFrame, depth: int) -> list[DataFrame]:
-    """(volume, place, node) of levels 0 (leaves) to depth (a root for each volume)."""
-    levels = [leaf.select("volume", F.col("seq").alias("place"), "node")]
+    """(volume, place, node) of levels 0 (places of records) to depth (a root for each volume)."""
+    levels = [over(leaf, place_of(F.col("id")))]  # one record each, or those that share an id
     for _ in range(depth):
-        up = levels[-1].groupBy("volume", F.floor(F.col("place") / FAN).cast("long").alias("place"))
-        # FAN children at most
-        levels.append(up.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(levels[-1]["place"].alias("at"), "node"))), lambda c: c["node"]), ""), 256).alias("node")))
+        levels.append(over(levels[-1], F.floor(F.col("place") / FAN).cast("long"), "place"))  # FAN children at most
     return levels
 
 
-def depth_of(leaf: DataFrame) -> int:
+def depth_of() -> int:
     """Levels above the leaves, so that each volume has one root."""
-    most = leaf.agg(F.max("seq")).first()[0]
     depth = 1
-    while most is not None and FAN**depth <= most:
+    while FAN**depth < VOLUME:
         depth += 1
     return depth
 
 
+def paired(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Leaves of both replicas aligned by id: the leaf columns, there (the replica's seq, offset,
+    length and digest) and status. Equal records meet first; what is left of an id is paired in order."""
+    def counted(leaf: DataFrame, *by: str) -> DataFrame:
+        return leaf.withColumn("k", F.row_number().over(Window.partitionBy("volume", *by).orderBy("seq")))
+
+    def met(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+        here = counted(a, *by).select("volume", *by, "k", F.struct("seq", "offset", "length", "record_sha256").alias("here"))
+        there = counted(b, *by).select("volume", *by, "k", F.struct("seq", "offset", "length", "record_sha256").alias("there"))
+        return here.join(there, ["volume", *by, "k"], "full").select("volume", "id", "here", "there")
+
+    same = met(mine, theirs, "id", "record_sha256")
+    left = lambda side, other: same.filter(F.col(other).isNull()).select("volume", "id", f"{side}.*")
+    rest = met(left("here", "there"), left("there", "here"), "id")
+    status = F.when(F.col("there").isNull(), "missing").when(F.col("here").isNull(), "extra").otherwise("corrupt")
+    both = same.filter(F.col("here").isNotNull() & F.col("there").isNotNull()).withColumn("status", F.lit("ok"))
+    return both.unionByName(rest.withColumn("status", status))
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Compares two replicas' records (see records()): all leaves of either with their status, and
     the volumes' roots (volume, root, replica_root).
 
-    Returned leaves: volume, id, offset, length, record_sha256 (of the primary; of the replica
-    where only that has one at the place) and status: ok, corrupt (another digest or range at the
-    place), missing (not in the replica), extra (only there). Records that repeat take places of
-    their own. Empty replicas give all missing or all extra.
+    Returned leaves: volume, seq, id, offset, length, record_sha256 (of the primary; of the replica
+    where only that has the record), status: ok, corrupt (another digest under the id), missing
+    (not in the replica), extra (only there), and shift: bytes by which the replica's record lies
+    behind the primary's (null where one of them has none). A shift alone is no damage. Records
+    that repeat count one by one. Empty replicas give all missing or all extra.
     """
     ws = Workspace(primary.sparkSession, "warc")
     a, b = ws.save(leaves(primary), "primary"), ws.save(leaves(replica), "replica")
-    depth = max(depth_of(a), depth_of(b))
+    depth = depth_of()
     up, other = tree(a, depth), tree(b, depth)
     roots = ws.save(
         up[depth].select("volume", F.col("node").alias("root")).join(other[depth].select("volume", F.col("node").alias("replica_root")), "volume", "full"), "roots"
@@ -96,11 +126,15 @@ def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, DataFrame]
         wrong = within(up[level], "mine").join(within(other[level], "theirs"), ["volume", "place"], "full")
         wrong = wrong.filter(~F.col("mine").eqNullSafe(F.col("theirs"))).select("volume", "place")
         wrong = ws.save(wrong, f"wrong{level}")
-    marked = wrong.select("volume", F.col("place").alias("seq"), F.lit(True).alias("bad"))
-    mine = a.join(marked, ["volume", "seq"], "left")
-    there = b.join(marked, ["volume", "seq"], "left_semi").select("volume", "seq", F.lit(True).alias("there"))
-    status = F.when(F.col("bad").isNull(), "ok").when(F.col("there").isNull(), "missing").otherwise("corrupt")
-    shown = mine.join(there, ["volume", "seq"], "left").select("volume", "seq", "id", "offset", "length", "record_sha256", status.alias("status"))
-    extra = b.join(marked, ["volume", "seq"], "left_semi").join(a.select("volume", "seq"), ["volume", "seq"], "left_anti")
-    extra = extra.select("volume", "seq", "id", "offset", "length", "record_sha256", F.lit("extra").alias("status"))
-    return shown.unionByName(extra), roots
+    at = lambda leaf, how: leaf.withColumn("place", place_of(F.col("id"))).join(wrong, ["volume", "place"], how).drop("place", "node")
+    found = ws.save(paired(at(a, "left_semi"), at(b, "left_semi")), "found")
+    own = F.coalesce("here", "there")
+    columns = ["volume", "id", *[own[c].alias(c) for c in ("seq", "offset", "length", "record_sha256")], "status"]
+    grown = F.coalesce(F.col("there.length"), F.lit(0)) - F.coalesce(F.col("here.length"), F.lit(0))
+    located = found.select(*columns, grown.cast("long").alias("grown"), (F.col("there.offset") - F.col("here.offset")).alias("moved"))
+    intact = at(a, "left_anti").select(*located.columns[:6], F.lit("ok").alias("status"), F.lit(0).cast("long").alias("grown"), F.lit(None).cast("long").alias("moved"))
+    # between mismatching places all records are equal, so they move by what the ids before them have grown
+    before = F.coalesce(F.sum("grown").over(Window.partitionBy("volume").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = F.when(F.col("status").isin("ok", "corrupt"), F.coalesce("moved", before)).cast("long")
+    shown = located.unionByName(intact).withColumn("shift", shift)
+    return shown.select("volume", "seq", "id", "offset", "length", "record_sha256", "status", "shift"), roots

@@ -205,6 +205,32 @@ def test_warc(spark):
     assert {r.status for r in same_leaves.collect()} == {"ok"} and same_roots.filter("root <> replica_root").count() == 0
 
 
+def test_warc_losses_stay_local(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "é" * (i % 50)) for i in range(5000)] + [(9, "u", "a"), (9, "u", "a"), (9, "v", "b")], "page_id long, url string, html string")
+    a = warc.records(pages)
+    longer = "case when id in (70, 4500) then concat(bytes, X'0000') else bytes end as bytes"
+    extra = warc.records(spark.createDataFrame([(6000, "n", "n")], pages.schema))
+    b = a.filter("id not in (0, 40, 41, 3000)").filter("not (id = 9 and instr(cast(bytes as string), 'URI: v') > 0)").selectExpr("volume", "id", longer).union(extra)
+    found = warc.audit(a, b)[0].collect()
+    by = {s: sorted(r.id for r in found if r.status == s) for s in ("corrupt", "missing", "extra")}
+    assert by == {"corrupt": [70, 4500], "missing": [0, 9, 40, 41, 3000], "extra": [6000]}
+    assert len(found) == 5004 and sum(r.status == "ok" for r in found) == 5003 - 7
+    # shifts against both layouts
+    lay = lambda d: sorted((r.id, r.record_sha256, r.offset) for r in warc.leaves(d).collect())
+    there = dict(((i, h), o) for i, h, o in lay(b) if i != 9)
+    for r in found:
+        if r.status == "ok" and r.id != 9:
+            assert r.offset + r["shift"] == there[r.id, r.record_sha256]
+        assert (r["shift"] is None) == (r.status in ("missing", "extra"))
+
+
+def test_warc_query_finds_the_stated_damage(spark):
+    folder = TINY.replace("sf0.001", "sf0.01")
+    fate = {r.page_id: zlib.crc32(str(r.page_id).encode()) % 97 for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id").collect()}
+    want = {i: {0: "corrupt", 1: "missing"}.get(f, "ok") for i, f in fate.items()}
+    assert {r.page_id: r.status for r in queries.op8_warc_fixity(spark, folder).collect()} == want and {"corrupt", "missing"} <= set(want.values())
+
+
 def test_decontamination_blocks(spark, edge, none):
     bench = spark.read.parquet(f"{TINY}/benchmark.parquet")
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
