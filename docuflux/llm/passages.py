@@ -1,0 +1,171 @@
+"""Repeated passages of at least `LEAST` words, wherever lines and sentences end.
+
+Seeds come first: of the hashes of all runs of SEED words, the least of each LEAST - SEED + 1
+neighbours is kept, so that two equal passages of LEAST words always share one. All windows of
+LEAST words that hold a seed met more than once are then digested and grouped over the whole
+corpus, which finds every repeated window. The occurrence that ranks first (doc_id, then row,
+then place) stays and the others are removed; windows that overlap are joined. Words compare
+with A-Z lower-cased, and white space does not count.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import Workspace, arrow_map, text_slices
+from .linededup import WORDS
+
+LEAST, SEED = 51, 26
+#: Words whose hashes a worker remembers.
+KEPT = 1 << 18
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > KEPT:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64, i < n."""
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))[:n]
+
+
+class Rolling:
+    """Hashes of all runs of `size` words, from sums of word hashes times powers of an odd base."""
+
+    def __init__(self, base: int, size: int):
+        self.base, self.back, self.size = base, pow(base, -1, 1 << 64), size
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        if len(words) > len(self.up):
+            n = max(len(words), 2 * len(self.up), 1024)
+            self.up, self.down = powers(self.base, n), powers(self.back, n)
+        n = len(words) - self.size + 1
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * self.up[: len(words)], dtype=np.uint64)])
+            out = (total[self.size :] - total[:-self.size]) * self.down[:n]
+            out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            return out ^ (out >> np.uint64(32))
+
+
+def hashed(text: bytes, known: Hashes) -> np.ndarray:
+    found = WORDS.findall(text.lower())
+    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+
+
+def seeds(hashes: np.ndarray, least: int, seed: int) -> np.ndarray:
+    """Places of the least hash, the first of equal ones, of each least - seed + 1 neighbours."""
+    beside = np.lib.stride_tricks.sliding_window_view(hashes, least - seed + 1)
+    return np.unique(beside.argmin(1) + np.arange(len(beside)))
+
+
+def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word in code points."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], ~((raw == 32) | ((raw >= 9) & (raw <= 13))), [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    if not text.isascii():
+        edge = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[edge]
+    return edge[::2], edge[1::2]
+
+
+def _seed_worker(least: int, seed: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, roll = Hashes(), Rolling(BASES[0], seed)
+        for batch, texts in text_slices(batches, "text"):
+            out: list[list] = [[], [], []]
+            for row, text in zip(batch.column(batch.schema.get_field_index("row")).to_pylist(), texts, strict=True):
+                words = hashed(text or b"", known)
+                if len(words) >= least:
+                    runs = roll(words)
+                    at = seeds(runs, least, seed)
+                    for col, x in zip(out, (np.full(len(at), row), at, runs[at].view(np.int64)), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], ["row", "at", "h"])
+
+    return work
+
+
+def _window_worker(least: int, seed: int):
+    names = ["doc_id", "row", "at", "start", "end", "h1", "h2"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rolls = Hashes(), [Rolling(b, least) for b in BASES]
+        for batch, texts in text_slices(batches, "text"):
+            col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
+            ids, out = [], [[] for _ in names[1:]]
+            for doc, row, ats, text in zip(col("doc_id"), col("row"), col("ats"), texts, strict=True):
+                words = hashed(text, known)
+                n, ats = len(words) - least + 1, np.array(ats)
+                # a window that starts at least - seed words before the seed's start still holds it
+                near = np.zeros(n + 1, np.int64)
+                np.add.at(near, np.clip(ats - (least - seed), 0, n), 1)
+                np.add.at(near, np.clip(ats + 1, 0, n), -1)
+                at = np.flatnonzero(np.cumsum(near)[:n] > 0)
+                start, end = places(text)
+                made = (np.full(len(at), row), at, start[at], end[at + least - 1], *(r(words)[at].view(np.int64) for r in rolls))
+                for c, x in zip(out, made, strict=True):
+                    c.append(x)
+                ids += [doc] * len(at)
+                if len(ids) > 1 << 19:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c), pa.int64()) for c in out)], names)
+                    ids, out = [], [[] for _ in names[1:]]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c), pa.int64()) for c in out)], names)
+
+    return work
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
+    """Each stretch to remove: doc_id, row, start, end (code points of the text), words, and
+    kept_doc_ids (documents that keep the first occurrences of its windows)."""
+    ws = Workspace(docs.sparkSession, "passages")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"), F.monotonically_increasing_id().alias("row"))
+    found = ws.save(arrow_map(rows.select("row", "text"), _seed_worker(least, seed), "row long, at long, h long"), "seeds")
+    often = found.groupBy("h").agg(F.count("*").alias("seen")).filter("seen > 1").select("h")
+    shared = ws.save(found.join(often, "h", "left_semi").groupBy("row").agg(F.collect_list("at").alias("ats")), "shared")
+    ws.drop("seeds")
+    windows = ws.save(
+        arrow_map(rows.join(shared, "row").select("doc_id", "row", "ats", "text"), _window_worker(least, seed), "doc_id long, row long, at long, start long, end long, h1 long, h2 long"),
+        "windows",
+    )
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
+    firsts = windows.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("seen")).filter("seen > 1").drop("seen")
+    # repeats that overlap the first occurrence would take words of the copy that stays
+    apart = (F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + least)
+    gone = ws.save(windows.join(firsts, ["h1", "h2"]).filter(apart).select("doc_id", "row", "at", "start", "end", F.col("first.doc_id").alias("kept")), "gone")
+    ws.drop("windows", "shared")
+    order = Window.partitionBy("row").orderBy("at")
+    fresh = F.coalesce(F.col("at") > F.lag("at").over(order) + least, F.lit(True)).cast("int")
+    stretch = gone.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(order))
+    return stretch.groupBy("row", "doc_id", "stretch").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") + least - F.min("at")).alias("words"), F.collect_set("kept").alias("kept_doc_ids")
+    ).drop("stretch")
+
+
+def removals(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
+    """One row for each row of docs that loses text: doc_id, n_removed stretches, removed_words,
+    spans ("start:end" by start, code points, comma-joined) and kept_doc_ids.
+
+    docs: doc_id (integer), text; further columns are ignored. Null, empty and shorter texts have
+    no passages. Rows with null doc_id rank last. An empty table gives none.
+    """
+    return repeated_passages(docs, least, seed).groupBy("row", "doc_id").agg(
+        F.count("*").alias("n_removed"),
+        F.sum("words").alias("removed_words"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_doc_ids")))).alias("kept_doc_ids"),
+    ).drop("row")

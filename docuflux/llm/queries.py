@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, licenses, linededup, quality, secrets, sharding, toxicity, warc
+from . import bpe, decontam, jaccard_join, licenses, linededup, passages, quality, secrets, sharding, toxicity, warc
 from .common import table
 from .sql import ORACLES
 
@@ -41,6 +41,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.removals(table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of over 50 words, whatever the lines and sentences that hold them."""
+    return passages.removals(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("stratum")
 
@@ -69,7 +74,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_secret_scan, op5_bpe, op6_line_dedup, op7_quality_rules, op8_warc_fixity, op9_decontamination, op10_license_scan]
+    own = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_secret_scan, op5_bpe, op6_line_dedup, op7_quality_rules, op8_warc_fixity, op9_decontamination, op10_license_scan, op6_passages]
     return {f.__name__: f for f in own}
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docuflux.llm import bpe, decontam, jaccard_join, licenses, linededup, quality, queries, secrets, sharding, toxicity, warc
+from docuflux.llm import bpe, decontam, jaccard_join, licenses, linededup, passages, quality, queries, secrets, sharding, toxicity, warc
 
 from ..compare import TINY, same
 
@@ -155,6 +155,43 @@ def test_line_dedup(spark, edge, none):
     assert linededup.removals(none).count() == 0 and linededup.removals(edge).count() >= 0
 
 
+def passages_expected(texts, least=51):
+    """Words to remove by brute force over all windows: {doc: set of word places}."""
+    first, gone = {}, {}
+    for doc in sorted(texts):
+        w = [x.encode().lower() for x in re.findall(r"[^\x20\x09-\x0D]+", texts[doc] or "")]
+        for i in range(len(w) - least + 1):
+            at = first.setdefault(tuple(w[i : i + least]), (doc, i))
+            if at[0] != doc or i >= at[1] + least:
+                gone.setdefault(doc, set()).update(range(i, i + least))
+    return gone
+
+
+def test_passages_cover_every_window(spark, edge, none, texts):
+    rng = random.Random(5)
+    words = lambda n: ["é" + str(rng.randrange(10**6)) for _ in range(n)]
+    short = " ".join(w + "!!" for w in words(60))  # sentences of one word
+    lines = "\n".join(words(55))
+    loose = " ".join(words(51))
+    own = {
+        1: short, 2: "A b. " + short + " c", 3: lines + "\nx y z", 4: "q\n" + lines.upper().replace("É", "é"), 5: "he said " + loose + " and left",
+        6: "they wrote " + loose + " but stayed", 7: " ".join(words(50)), 8: None, 9: "x " * 300, 10: "",
+    }
+    own[11] = own[7] + " other end"
+    for given in (own, texts):
+        df = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+        want, got = passages_expected(given), {}
+        for r in passages.removals(df).collect():
+            ends = [tuple(map(int, s.split(":"))) for s in r.spans.split(",")]
+            at = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", given[r.doc_id])]
+            got[r.doc_id] = {i for i, x in enumerate(at) if any(a <= x < b for a, b in ends)}
+            assert r.removed_words == len(got[r.doc_id])
+        assert got == want
+    assert {2, 4, 6, 9} == set(passages_expected(own))
+    # sentences and lines of under six words give the line operator nothing to hash
+    assert passages.removals(edge).filter("doc_id <> 5").count() == 0 and passages.removals(none).count() == 0
+
+
 def test_quality(spark, edge, none, texts):
     labels = spark.read.parquet(f"{TINY}/labels.parquet")
     got = {r.doc_id: r for r in quality.rules(spark.read.parquet(f"{TINY}/documents.parquet"), labels).collect()}
