@@ -5,7 +5,7 @@ A word's inputs are a hashed word embedding, the mean of hashed embeddings of it
 4-grams, and statistics of both from the training rows: log odds of the word, and the highest and
 mean log odds of its 4-grams (leave-one-out for the training rows themselves). Windows of `WIDTH`
 words follow each other `STRIDE` words apart, so that they overlap and cover every whole text.
-Training picks, each epoch, the worst window of each row (a toxic text need not be toxic
+Training picks, each round, the worst window of each row (a toxic text need not be toxic
 throughout) and another one of clean rows. A final logistic fit on the rows' worst windows
 makes 0.5 the likelier-toxic line.
 
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, text_slices
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-SAMPLE, EPOCHS, BATCH = 4000, 3, 256
+SAMPLE, BATCH = 4000, 256
+#: Optimiser steps whatever the number of rows, and how often the worst windows are picked anew.
+STEPS, ROUNDS = 120, 6
 WIDTH, STRIDE = 64, 48
 HIDDEN, EMBED, STATS = 8, 6, 4
 WORD_ROWS, GRAM_ROWS, ODDS_ROWS = 1 << 12, 1 << 12, 1 << 18
@@ -251,21 +253,23 @@ class Model:
         by_label = y[owner].astype(np.int64)
         moments = {k: [np.zeros_like(v, np.float64), np.zeros_like(v, np.float64)] for k, v in self.network.p.items()}
         step = 0
-        for epoch in range(EPOCHS + 1):
-            if epoch:
+        for turn in range(ROUNDS + 1):
+            if turn:
                 logits = self.logits(words, stats, ids, by_label)
             else:  # before training, the mean of the highest word statistics
                 sums = np.array([stats[label][w[w > 0] - 1, :2].sum(1).max() for label, w in zip(by_label, ids, strict=True)])
                 logits = sums
             worst = worst_windows(logits, owner, len(rows))
-            if epoch == EPOCHS:
+            if turn == ROUNDS:
                 break
             pick = worst[worst >= 0]
             clean = np.flatnonzero(by_label == 0)
             pick = np.concatenate([pick, rng.choice(clean, min(len(clean), len(pick)))])
-            for _ in range(max(1, 1200 // max(1, len(pick)))):  # few rows are seen more often
+            # few rows are seen more often, and each picked row once at least
+            until = step + max(STEPS // ROUNDS, -(-len(pick) // BATCH))
+            while step < until:
                 rng.shuffle(pick)
-                for i in range(0, len(pick), BATCH):
+                for i in range(0, len(pick), BATCH)[: until - step]:
                     step += 1
                     self._learn(words, stats, ids[pick[i : i + BATCH]], by_label[pick[i : i + BATCH]], moments, step)
         held = worst >= 0

@@ -308,6 +308,18 @@ def test_toxicity_learns():
     assert toxicity.Scorer(toxicity.Model([], [])).scores([b"a"]).tolist() == [0.0]
 
 
+def test_toxicity_steps_do_not_depend_on_rows(monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity.Model, "_learn", lambda *a: taken.append(a[-1]))
+    counts = []
+    for n in (10, 100, 400):
+        taken.clear()
+        toxicity.Model([f"word{i % 7} other{i}".encode() for i in range(n)], [int(i % 5 == 0) for i in range(n)])
+        counts.append(len(taken))
+        assert taken == list(range(1, len(taken) + 1))
+    assert len(set(counts)) == 1 and counts[0] >= 120
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     words = toxicity.Words([b"a", b"bcd", b"efghijk"])
