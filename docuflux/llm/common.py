@@ -68,14 +68,14 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded(df, limit) else df
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of the batches with about SLICE_BYTES of `column`, and its values."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of the batches with about `size` bytes of `column`, and its values."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column)).to_pylist()
         start, held = 0, 0
         for i, value in enumerate(values):
             held += len(value or b"")
-            if held >= SLICE_BYTES:
+            if held >= size:
                 yield batch.slice(start, i + 1 - start), values[start : i + 1]
                 start, held = i + 1, 0
         if start < len(values):
@@ -89,6 +89,24 @@ def arrow_map(df: DataFrame, worker: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(worker, schema)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Whole rows of docs as one column `_row`, whatever their names, beside their text as bytes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows of docs that a worker keeps, in one pass and with all columns. keep() makes, once a
+    task, a function from texts (bytes or None) to booleans."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = keep()
+        for batch, texts in text_slices(batches, "text"):
+            yield batch.select(["_row"]).filter(pa.array(judge(texts), pa.bool_()))
+
+    rows = packed(docs)
+    return arrow_map(rows, work, f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*")
+
+
 def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -13,11 +13,16 @@ histogram of sizes and from how often shingles recur. The order puts shingles th
 last. The recurrence counts are lossy sums over all rows; they steer only the cost, as the join
 is exact under any order.
 
-Copies of a set are one node. Links are found without all pairs of a group: members of a list
-are first tried against a few random leaders of that list; lists that then still hold more than
-one component are joined across components only, behind the size bound and a 512-bit parity
-sketch whose Hamming distance never exceeds the symmetric difference; leaders are compared by a
-folded one. Candidates that a wider
+An entry at place j of its set's order also says how large a partner may be: the overlap of a pair
+that first meets there is at most what is left of the set, and the pair needs a share of both
+sizes. So most members of a long list that hold rare shingles of their own leave it at once.
+
+Copies of a set are one node, named by a row, not by a document id. Lists of two are pairs; lists
+of the same entries count once. Links of longer lists are found without all pairs of a group:
+members are first tried against a few leaders of the list, two that hold the fewest rare shingles
+and two random ones; lists that then still hold more than one component are joined across
+components only, behind the partner sizes and a 512-bit parity sketch whose Hamming distance never
+exceeds the symmetric difference; leaders are compared by a folded one. Candidates that a wider
 sketch of the same kind leaves are verified on the whole sets.
 """
 
@@ -32,10 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Workspace, arrow_map, bounded, maybe_broadcast, text_slices
+from .common import Workspace, arrow_map, maybe_broadcast, text_slices
 from .graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -48,9 +52,14 @@ BITS = 512
 FOLD = 2
 #: Bits of the second sketch, kept for sets above WIDE_FROM and compared pair by pair.
 WIDE, WIDE_FROM = 8192, 256
-WORDS_KEPT = 1 << 20
+#: Of the leaders, those that hold the fewest rare shingles.
+CENTRAL = 2
+#: Words whose hashes a worker remembers, bytes of text it turns into sets at a time, shingles it counts.
+WORDS_KEPT, SLICE, COUNTED = 1 << 16, 1 << 20, 1 << 17
+#: Words longer than this are not remembered.
+LONG = 64
 #: Distinct ids up to which the texts to verify are picked by a broadcast.
-PICKED = 2_000_000
+PICKED = 1_000_000
 #: Copies, or repeated ids, up to which they are broadcast (24 bytes each) rather than joined by a shuffle.
 LEFT_OUT = 500_000
 
@@ -76,7 +85,9 @@ class Shingler:
                 if h is None:
                     if len(known) >= WORDS_KEPT:
                         known.clear()
-                    h = known[word] = xxhash.xxh3_64_intdigest(word)
+                    h = xxhash.xxh3_64_intdigest(word)
+                    if len(word) <= LONG:
+                        known[word] = h
                 ids.append(h)
             ends.append(len(ids))
         words = np.array(ids, dtype=np.uint64)
@@ -101,36 +112,50 @@ class Shingler:
         return out
 
 
+class Counts:
+    """Counts of hashes in bounded memory: beyond `room`, those seen once go, then the least."""
+
+    def __init__(self, room: int):
+        self.room, self.hashes, self.counts = room, np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        own, times = np.unique(np.concatenate(sets), return_counts=True)
+        both = np.concatenate([self.hashes, own])
+        order = np.argsort(both, kind="stable")
+        both, sums = both[order], np.concatenate([self.counts, times])[order]
+        starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
+        both, sums = both[starts], np.add.reduceat(sums, starts) if len(both) else sums
+        if len(both) > self.room:
+            again = sums > 1
+            both, sums = both[again], sums[again]
+        if len(both) > self.room:
+            most = np.sort(np.argpartition(sums, -self.room)[-self.room :])
+            both, sums = both[most], sums[most]
+        self.hashes, self.counts = both, sums
+
+
 def _count_worker(k: int):
-    """Rows (token, size, seen): how often a shingle was seen in a stretch of texts, if more than
-    once (size null); how many sets have a small size (token null); all shingles (both null)."""
+    """Rows (token, size, seen): how often shingles that recur were seen in a part of the rows
+    (size null); how many sets have a small size (token null); all shingles (both null)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, size = Shingler(k), [], 0
-
-        def flush():
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            again = counts > 1
-            lengths, times = np.unique([len(s) for s in held if len(s) <= 160], return_counts=True)
-            none = [None] * (len(lengths) + 1)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(hashes[again].view(np.int64).tolist() + none, pa.int64()),
-                    pa.array([None] * int(again.sum()) + [int(x) for x in lengths] + [None], pa.int64()),
-                    pa.array(counts[again].tolist() + times.tolist() + [int(counts.sum())], pa.int64()),
-                ],
-                ["token", "size", "seen"],
-            )
-
-        for _, texts in text_slices(batches, "text"):
+        shingler, held, size, total = Shingler(k), [], 0, 0
+        counts, small = Counts(COUNTED), np.zeros(161, np.int64)
+        for _, texts in text_slices(batches, "text", SLICE):
             for s in shingler.sets(texts):
-                held.append(s)
                 size += len(s)
-            if size >= 1 << 22:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+                held.append(s)
+                small[min(len(s), 161) - 161] += len(s) <= 160
+            if size >= 1 << 18:
+                counts.add(held)
+                total, held, size = total + size, [], 0
+        counts.add([*held, np.empty(0, np.uint64)])
+        again = counts.counts > 1
+        lengths = np.flatnonzero(small)
+        for part in np.array_split(np.flatnonzero(again), max(1, int(again.sum()) >> 16)):
+            yield pa.RecordBatch.from_arrays([pa.array(counts.hashes[part].view(np.int64)), pa.nulls(len(part), pa.int64()), pa.array(counts.counts[part])], ["token", "size", "seen"])
+        none = pa.nulls(len(lengths) + 1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array([*lengths.tolist(), None], pa.int64()), pa.array([*small[lengths].tolist(), total + size], pa.int64())], ["token", "size", "seen"])
 
     return work
 
@@ -168,53 +193,79 @@ def boundary(sizes: dict[int, int], met: float, a: int, b: int) -> int:
     return at
 
 
+def lone(n: int, a: int, b: int) -> bool:
+    """Whether a set of n can reach a/b with no set but itself."""
+    return a * n > b * (n - 1) and 2 * a * n > (n - 1) * (a + b) and b * n < a * (n + 1)
+
+
+def entries(order: np.ndarray, a: int, b: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set whose elements come in the global order, and the largest partner of each."""
+    n = len(order)
+    if n == 0 or lone(n, a, b):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    c, keys, left = int(need(n, a, b)), [], []
+    light = n <= limit and c >= 2
+    if light:
+        i, j = np.triu_indices(min(n, n - c + 2), 1)
+        x, y = order[i], order[j]
+        with np.errstate(over="ignore"):
+            keys.append(mix(np.minimum(x, y) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(x, y)))
+        left.append(n - j + 1)
+    # partners that list single shingles only: larger ones beyond the boundary, or tiny ones
+    if not light or b * n >= a * (limit + 1) or need(int(need(n, a, b)), a, b) < 2:
+        j = np.arange(n - c + 1)
+        keys.append(order[: len(j)])
+        left.append(n - j)
+    return np.concatenate(keys), np.concatenate(left) * (a + b) // a - n
+
+
+def _listed(parts: list[np.ndarray], kind, none: list[bool] | None = None) -> pa.Array:
+    """An Arrow list array of numpy arrays."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    values = pa.array(np.concatenate([np.empty(0, kind), *parts]).astype(kind, copy=False))
+    offsets = pa.array(ends, mask=np.array([*none, False])) if none and any(none) else pa.array(ends)
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+def digest_of(s: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def _sign_worker(k: int, a: int, b: int, limit: int, frequent):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         tokens, counts = frequent.value
-        for batch, texts in text_slices(batches, "text"):
+        none = np.empty(0, np.int64)
+        for batch, texts in text_slices(batches, "text", SLICE):
             sets = shingler.sets(texts)
-            keys, first, second, bitmaps, wide = [], [], [], [], []
-            with np.errstate(over="ignore"):
-                for s in sets:
-                    n = len(s)
-                    digest = xxhash.xxh3_128_digest(s.tobytes())
-                    first.append(int.from_bytes(digest[:8], "little", signed=True))
-                    second.append(int.from_bytes(digest[8:], "little", signed=True))
-                    bitmaps.append(_bitmap(s).tolist())
-                    wide.append(_bitmap(s, WIDE).tolist() if n > WIDE_FROM else None)
-                    if n < 2:
-                        keys.append([])
-                        continue
-                    at = np.searchsorted(tokens, s) if len(tokens) else None
-                    if at is None:
-                        order = s
-                    else:
-                        at[at == len(tokens)] = 0
-                        rank = np.where(tokens[at] == s, counts[at], 0)
-                        order = s[np.argsort(rank, kind="stable")] if rank.any() else s
-                    c = int(need(n, a, b))
-                    light = n <= limit and c >= 2
-                    own = []
-                    if light:
-                        p = order[: min(n, n - c + 2)]
-                        p = np.sort(p)
-                        i, j = np.triu_indices(len(p), 1)
-                        own.append(mix(p[i] * np.uint64(0x9E3779B97F4A7C15) + p[j]))
-                    if not light or b * n >= a * (limit + 1):
-                        own.append(order[: n - c + 1])
-                    keys.append(np.unique(np.concatenate(own)).view(np.int64).tolist())
+            keys, most, digests, bitmaps, wide = [], [], [], [], []
+            for s in sets:
+                order = s
+                if len(tokens) and len(s):
+                    at = np.searchsorted(tokens, s)
+                    at[at == len(tokens)] = 0
+                    rank = np.where(tokens[at] == s, counts[at], 0)
+                    if rank.any():
+                        order = s[np.argsort(rank, kind="stable")]
+                own, top = entries(order, a, b, limit)
+                keys.append(own.view(np.int64))
+                most.append(top)
+                digests.append(digest_of(s))
+                bitmaps.append(_bitmap(s) if len(own) else none)
+                wide.append(_bitmap(s, WIDE) if len(own) and len(s) > WIDE_FROM else none)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(batch.schema.get_field_index("doc_id")),
+                    *[batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "mark")],
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(first, pa.int64()),
-                    pa.array(second, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                    pa.array(bitmaps, pa.list_(pa.int64())),
-                    pa.array(wide, pa.list_(pa.int64())),
+                    pa.array([d[0] for d in digests], pa.int64()),
+                    pa.array([d[1] for d in digests], pa.int64()),
+                    _listed(keys, np.int64),
+                    _listed(most, np.int32),
+                    _listed(bitmaps, np.int64),
+                    _listed(wide, np.int64, [not len(w) for w in wide]),
                 ],
-                ["doc_id", "n", "h1", "h2", "keys", "bits", "wide"],
+                ["row", "doc_id", "mark", "n", "h1", "h2", "keys", "most", "bits", "wide"],
             )
 
     return work
@@ -223,11 +274,17 @@ def _sign_worker(k: int, a: int, b: int, limit: int, frequent):
 def _set_worker(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
-        for batch, texts in text_slices(batches, "text"):
+        for batch, texts in text_slices(batches, "text", SLICE):
             sets = shingler.sets(texts)
+            digests = [digest_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["id", "tokens"],
+                [
+                    batch.column(batch.schema.get_field_index("doc_id")),
+                    pa.array([d[0] for d in digests], pa.int64()),
+                    pa.array([d[1] for d in digests], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                ["doc_id", "h1", "h2", "tokens"],
             )
 
     return work
@@ -238,7 +295,7 @@ def _verify_worker(a: int, b: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([s, t])
                 both.sort()
                 inter = int((both[1:] == both[:-1]).sum())
@@ -248,21 +305,32 @@ def _verify_worker(a: int, b: int):
     return work
 
 
+def _differ(x: str, y: str):
+    """Hamming distance of two arrays of longs."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda p, q: p + q)
+
+
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, ws: Workspace, name: str, k: int, a: int, b: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets reach a/b. The second sketch goes first."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")).dropDuplicates([x])
-    far = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    near = F.coalesce(far * (a + b) <= (F.col("nu") + F.col("nv")) * (b - a), F.lit(True))
+    """The pairs (u, v) of rows whose whole sets reach a/b. The sketches go first."""
+    pairs = ws.save(pairs, f"{name}-tried")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    met = reps.join(maybe_broadcast(ids, PICKED), "row", "left_semi")
+    side = lambda x: met.select(F.col("row").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "bits", "wide")])
+    reach = (F.col("nu") + F.col("nv")) * (b - a)
+    near = (_differ("bitsu", "bitsv") * (a + b) <= reach) & F.coalesce(_differ("wideu", "widev") * (a + b) <= reach, F.lit(True))
     pairs = ws.save(pairs.join(side("u"), "u").join(side("v"), "v").filter(near).select("u", "v"), f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    pick = F.broadcast(ids) if bounded(ids, PICKED) else ids
-    texts = docs.join(pick, docs.doc_id == F.col("id"), "left_semi").select("doc_id", "text")
-    sets = ws.save(arrow_map(texts, _set_worker(k), "id long, tokens binary").dropDuplicates(["id"]), f"{name}-sets")
-    left = sets.select(F.col("id").alias("u"), F.col("tokens").alias("tu"))
-    right = sets.select(F.col("id").alias("v"), F.col("tokens").alias("tv"))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    picked = ws.save(reps.join(maybe_broadcast(ids, PICKED), "row", "left_semi").select("row", "doc_id", "h1", "h2"), f"{name}-picked")
+    wanted = picked.select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.join(maybe_broadcast(wanted, PICKED), docs.doc_id == F.col("id"), "left_semi").select("doc_id", "text")
+    sets = arrow_map(texts, _set_worker(k), "doc_id long, h1 long, h2 long, tokens binary")
+    # of rows that share an id, those of this very set
+    sets = ws.save(sets.join(maybe_broadcast(picked, LEFT_OUT), ["doc_id", "h1", "h2"]).select("row", "tokens").dropDuplicates(["row"]), f"{name}-sets")
+    left = sets.select(F.col("row").alias("u"), F.col("tokens").alias("tu"))
+    right = sets.select(F.col("row").alias("v"), F.col("tokens").alias("tv"))
     full = pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
     links = ws.save(arrow_map(full, _verify_worker(a, b), "u long, v long"), f"{name}-links")
-    ws.drop(f"{name}-pairs", f"{name}-sets")
+    ws.drop(f"{name}-tried", f"{name}-pairs", f"{name}-picked", f"{name}-sets")
     return links
 
 
@@ -276,20 +344,9 @@ def _folded(i: int):
     return reduce(lambda p, q: p.bitwiseXOR(q), [F.col("bits")[j] for j in range(i, BITS // 64, FOLD)])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Sets of distinct k-word shingles and the components of documents whose sets reach num/den.
-
-    docs: doc_id (integer) and text; further columns are ignored. Returns doc_id, n_shingles
-    and component_id, one row for each row of docs. Null or empty texts: no shingles, component
-    of their own. Repeated rows are linked like one. Where rows share a doc_id but not
-    their text, links of one of the texts only are sure to be found (a known defect). A null doc_id is
-    never linked; its component_id is null. An empty table gives an empty result.
-    """
+def _orders(docs: DataFrame, ws: Workspace, k: int, a: int, b: int):
+    """The most frequent shingles with their counts, broadcast; and the boundary of least cost."""
     spark = docs.sparkSession
-    ws = Workspace(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-    a, b = num, den
-
     counted = ws.save(
         arrow_map(docs.select("text"), _count_worker(k), "token long, size long, seen long").groupBy("token", "size").agg(F.sum("seen").alias("seen")), "counts"
     )
@@ -297,75 +354,98 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     total = counted.filter("token is null and size is null").agg(F.sum("seen")).first()[0] or 0
     tokens = counted.filter("token is not null")
     met = (tokens.agg(F.sum(F.col("seen").cast("double") * F.col("seen"))).first()[0] or 0.0) / max(1, total)
-    top = tokens.filter("seen >= 8").orderBy(F.desc("seen"), "token").limit(FREQUENT).select("token", "seen").toPandas()
+    top = tokens.orderBy(F.desc("seen"), "token").limit(FREQUENT).select("token", "seen").toPandas()
     hashes = top.token.to_numpy(np.int64).view(np.uint64)
     by = np.argsort(hashes)
-    frequent = spark.sparkContext.broadcast((hashes[by], top.seen.to_numpy(np.int64)[by]))
-    limit = boundary(sizes, met, a, b)
-
-    signed = ws.save(
-        arrow_map(docs, _sign_worker(k, a, b, limit, frequent), "doc_id long, n long, h1 long, h2 long, keys array<long>, bits array<long>, wide array<long>"), "signed"
-    )
     ws.drop("counts")
-    real = signed.filter("n > 0 and doc_id is not null")
-    nodes = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    nodes = ws.save(nodes.filter("copies > 1").drop("copies"), "copies")
+    return spark.sparkContext.broadcast((hashes[by], top.seen.to_numpy(np.int64)[by])), boundary(sizes, met, a, b)
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, ws: Workspace) -> DataFrame:
+    """docs: row (unique), doc_id, mark, text (binary). row, doc_id, mark, n, component (a row's
+    number) and component_id (the component's least doc_id) of each."""
+    a, b = num, den
+    frequent, limit = _orders(docs, ws, k, a, b)
+    schema = "row long, doc_id long, mark long, n long, h1 long, h2 long, keys array<long>, most array<int>, bits array<long>, wide array<long>"
+    signed = ws.save(arrow_map(docs, _sign_worker(k, a, b, limit, frequent), schema), "signed")
+    narrow = signed.select("row", "doc_id", "mark", "n", "h1", "h2")
+    real = narrow.filter("n > 0 and doc_id is not null")
+    copies = real.groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    copies = ws.save(copies.filter("copies > 1").drop("copies"), "copies")
     # signatures are wide, so they stay where they are: what is left out of them is found on narrow rows
-    narrow = real.select("doc_id", "h1", "h2", "n")
-    gone = ws.save(narrow.join(nodes, ["h1", "h2", "n"]).filter("doc_id <> rep").select("doc_id", "h1", "h2").distinct(), "gone")
-    again = ws.save(narrow.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"), "again")
-    whole = real.join(maybe_broadcast(gone, LEFT_OUT), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "n", "keys", "bits", "wide")
-    if again.limit(1).count():
-        again = maybe_broadcast(again, LEFT_OUT)
-        once, twice = whole.join(again, "doc_id", "left_anti"), whole.join(again, "doc_id", "left_semi")
-        whole = once.unionByName(twice.dropDuplicates(["doc_id", "keys"]))
-    reps = ws.save(whole.withColumnRenamed("doc_id", "rep"), "reps")
-    # of the rows no more is needed than their node
-    placed = signed.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2", "n"], "left")
-    rows = ws.save(placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("node")), "rows")
-    ws.drop("signed", "copies", "gone", "again")
-
-    # lists with two members or more
-    posts = reps.select(F.explode("keys").alias("key"), "rep", "n")
-    lists = posts.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    posts = ws.save(posts.join(lists, "key"), "lists")
-    folded = reps.select("rep", *[_folded(i).alias(f"x{i}") for i in range(FOLD)]).dropDuplicates(["rep"])
-    xs = [f"x{i}" for i in range(FOLD)]
-    posts = ws.save(posts.join(folded, "rep"), "posts")
-    ws.drop("lists")
+    placed = narrow.join(maybe_broadcast(copies, LEFT_OUT), ["h1", "h2", "n"], "left")
+    own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    placed = ws.save(
+        placed.select("row", "doc_id", "mark", "n", F.when(own, F.coalesce("node", "row")).otherwise(F.col("row")).alias("node"), F.when(own, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("least")), "placed"
+    )
+    gone = placed.filter("row <> node").select("row")
+    reps = signed.filter("size(keys) > 0 and doc_id is not null").join(maybe_broadcast(gone, LEFT_OUT), "row", "left_anti")
+    reps = ws.save(reps.select("row", "doc_id", "n", "h1", "h2", "keys", "most", "bits", "wide"), "reps")
+    ws.drop("signed", "copies")
+    labels = _linked(docs, reps, k, a, b, ws)
+    # the least id of each component with links
+    heads = placed.join(labels, "node").groupBy("label").agg(F.min("least").alias("head"))
+    heads = ws.save(labels.join(heads, "label"), "heads")
+    return placed.join(heads, "node", "left").select(
+        "row", "doc_id", "mark", "n", F.coalesce("label", "node").alias("component"), F.coalesce("head", "least").alias("component_id")
+    )
+
 
-    # a few random leaders of each list, the nearest ones tried first
-    me = F.struct("rep", "n", *xs)
-    chosen = posts.groupBy("key").agg(*[F.min_by(me, F.xxhash64("rep", F.lit(s), "key")).alias(f"l{s}") for s in range(LEADERS)])
+def _linked(docs: DataFrame, reps: DataFrame, k: int, a: int, b: int, ws: Workspace) -> DataFrame:
+    """(node, label) of all distinct sets that reach a/b with another."""
+    posts = reps.select("row", "n", F.explode(F.arrays_zip("keys", "most")).alias("e")).select("row", "n", F.col("e.keys").alias("key"), F.col("e.most").alias("most"))
+    entry = F.struct("row", "n", "most")
+    lists = posts.groupBy("key").agg(
+        F.count("*").alias("members"), F.min(entry).alias("x"), F.max(entry).alias("y"), F.min("n").alias("lo"), F.max("most").alias("hi"),
+        F.sum(F.xxhash64("row", "most").cast("decimal(20,0)")).alias("same"),
+    )
+    lists = ws.save(lists.filter("members > 2 or (members = 2 and x.n <= y.most and y.n <= x.most)"), "lists")
+    twos = lists.filter("members = 2").select(F.col("x.row").alias("u"), F.col("y.row").alias("v")).distinct()
+    # lists of the same entries count once
+    more = lists.filter("members > 2").groupBy("members", "same").agg(F.min(F.struct("key", "lo", "hi")).alias("l")).select("l.*")
+    xs = [f"x{i}" for i in range(FOLD)]
+    folded = reps.select("row", *[_folded(i).alias(x) for i, x in enumerate(xs)])
+    kept = ws.save(posts.join(more, "key").filter("most >= lo and n <= hi").select("key", "row", "n", "most"), "kept")
+    posts = ws.save(kept.join(folded, "row"), "posts")
+    ws.drop("kept")
+
+    # a few leaders of each list, the nearest ones tried first
+    me = F.struct("row", "n", "most", *xs)
+    slack = F.col("most") - F.col("n")
+    wanted = [F.max_by(me, F.struct(slack, F.xxhash64("row", F.lit(s)))) for s in range(CENTRAL)]
+    wanted += [F.min_by(me, F.xxhash64("row", F.lit(s), "key")) for s in range(LEADERS - CENTRAL)]
+    chosen = posts.groupBy("key").agg(*[w.alias(f"l{i}") for i, w in enumerate(wanted)])
     tried = (
         posts.join(chosen.select("key", F.explode(F.array_distinct(F.array(*[f"l{s}" for s in range(LEADERS)]))).alias("l")), "key")
-        .select("rep", "n", *xs, F.col("l.rep").alias("other"), F.col("l.n").alias("on"), *[F.col(f"l.{x}").alias(f"y{i}") for i, x in enumerate(xs)])
-        .filter((F.col("rep") != F.col("other")) & (F.least("n", "on") * b >= F.greatest("n", "on") * a))
+        .select("row", "n", "most", *xs, F.col("l.row").alias("other"), F.col("l.n").alias("on"), F.col("l.most").alias("om"), *[F.col(f"l.{x}").alias(f"y{i}") for i, x in enumerate(xs)])
+        .filter("row <> other and n <= om and on <= most")
         .withColumn("far", _far("x", "y", FOLD))
         .filter(F.col("far") * (a + b) <= (F.col("n") + F.col("on")) * (b - a))
     )
-    best = Window.partitionBy("rep").orderBy("far", F.xxhash64("rep", "other"))
+    best = Window.partitionBy("row").orderBy("far", F.xxhash64("row", "other"))
     pairs = (
-        tried.select("rep", "other", "far").distinct().withColumn("r", F.row_number().over(best)).filter(F.col("r") <= TRIES)
-        .select(F.least("rep", "other").alias("u"), F.greatest("rep", "other").alias("v")).distinct()
+        tried.select("row", "other", "far").distinct().withColumn("r", F.row_number().over(best)).filter(F.col("r") <= TRIES)
+        .select(F.least("row", "other").alias("u"), F.greatest("row", "other").alias("v")).unionByName(twos).distinct()
     )
     links = _verified(docs, reps, pairs, ws, "first", k, a, b)
+    ws.drop("lists")
     labels = components(links, ws, "cc1")
 
     # what is left: pairs across components within a list
-    placed = posts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    placed = posts.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     xs = [f"x{i}" for i in range(BITS // 64)]
-    whole = reps.select("rep", *[F.col("bits")[i].alias(x) for i, x in enumerate(xs)]).dropDuplicates(["rep"])
-    placed = ws.save(placed.join(mixed, "key").select("key", "rep", "n", "label").join(whole, "rep"), "mixed")
-    p = placed.select("key", F.col("rep").alias("u"), "n", F.col("label").alias("lu"), *xs)
-    q = placed.select(F.col("key").alias("key2"), F.col("rep").alias("v"), F.col("n").alias("m"), F.col("label").alias("lv"), *[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)])
+    whole = reps.select("row", *[F.col("bits")[i].alias(x) for i, x in enumerate(xs)])
+    placed = ws.save(placed.join(mixed, "key").select("key", "row", "n", "most", "label").join(whole, "row"), "mixed")
+    p = placed.select("key", F.col("row").alias("u"), "n", F.col("most").alias("pm"), F.col("label").alias("lu"), *xs)
+    q = placed.select(F.col("key").alias("key2"), F.col("row").alias("v"), F.col("n").alias("m"), F.col("most").alias("qm"), F.col("label").alias("lv"), *[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)])
     across = p.join(
         q,
         (F.col("key") == F.col("key2"))
         & (F.col("u") < F.col("v"))
         & (F.col("lu") != F.col("lv"))
-        & (F.least("n", "m") * b >= F.greatest("n", "m") * a)
+        & (F.col("n") <= F.col("qm"))
+        & (F.col("m") <= F.col("pm"))
         & (_far("x", "y", BITS // 64) * (a + b) <= (F.col("n") + F.col("m")) * (b - a)),
     )
     more = _verified(docs, reps, across.select("u", "v").distinct(), ws, "second", k, a, b)
@@ -384,21 +464,51 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             whole.join(lab, "node", "left").withColumn("was", F.coalesce("label", "node")).drop("label")
             .join(upper, "was", "left").select("node", F.coalesce("top", "was").alias("label"))
         )
-    return rows.join(labels, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")).alias("component_id")
-    )
+    return ws.save(labels, "labels")
+
+
+def _numbered(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """row, doc_id, mark (hash of the text) and text as bytes. Rows are numbered as they are
+    signed, and the signatures are written, so each number is made once only."""
+    text = F.encode(F.col("text").cast("string"), "UTF-8")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), text.alias("text"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Sets of distinct k-word shingles and the components of documents whose sets reach num/den.
+
+    docs: doc_id (integer) and text; further columns are ignored. Returns doc_id, n_shingles
+    and component_id, one row for each row of docs. Null or empty texts: no shingles, component
+    of their own. Repeated rows are linked like one. Rows that share a doc_id but not their text
+    are linked each by its own text. A null doc_id is never linked; its component_id is null. An
+    empty table gives an empty result.
+    """
+    ws = Workspace(docs.sparkSession, "jaccard")
+    found = _grouped(_numbered(docs, ws), k, num, den, ws)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the near duplicates: of each component the row of least doc_id stays.
 
-    Rows with a null doc_id, and texts without words, stay. Of repeated rows with the least
-    doc_id one stays.
+    Rows with a null doc_id, and texts without words, stay. Where several texts of one component
+    share the least doc_id, one of them stays; so does one of rows repeated in doc_id and text.
+    Texts that share an id and nothing else all stay. Further columns may have any names.
     """
-    found = jaccard_components(docs.select("doc_id", "text"), k, num, den).filter("doc_id is not null and n_shingles > 0")
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    again = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id"))
-    once = kept.join(again, F.col("doc_id").cast("long") == F.col("again_id"), "left_anti")
-    twice = kept.join(again, F.col("doc_id").cast("long") == F.col("again_id"), "left_semi")
-    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+    ws = Workspace(docs.sparkSession, "jaccard")
+    found = ws.save(_grouped(_numbered(docs, ws), k, num, den, ws).filter("doc_id is not null and n > 0"), "found")
+    heads = found.filter("doc_id = component_id").groupBy("component").agg(F.min("mark").alias("kept"), F.max("mark").alias("other"))
+    heads = heads.filter("kept <> other").drop("other")
+    below = found.filter("doc_id <> component_id").select("doc_id", "mark")
+    beside = found.filter("doc_id = component_id").join(maybe_broadcast(heads, LEFT_OUT), "component").filter("mark <> kept").select("doc_id", "mark")
+    gone = ws.save(below.unionByName(beside).distinct(), "gone")
+    again = ws.save(found.filter("doc_id = component_id").groupBy("doc_id", "mark").agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "again")
+    names = list(docs.columns)
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    kept = wide.join(maybe_broadcast(gone, LEFT_OUT), ["doc_id", "mark"], "left_anti")
+    if again.limit(1).count():
+        again = maybe_broadcast(again, LEFT_OUT)
+        once = kept.join(again, ["doc_id", "mark"], "left_anti")
+        twice = kept.join(again, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.first("r").alias("r")).select("r", "doc_id", "mark")
+        kept = once.unionByName(twice)
+    return kept.select("r.*")
