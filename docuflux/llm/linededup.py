@@ -1,105 +1,134 @@
-"""Substring dedup by line hashing: units are lines, cut further after the end of a sentence, as
-passages are also copied into the middle of lines. Units are normalised (A-Z lower-cased, white
-space runs to one space, trimmed) and digested; digests are grouped over the whole corpus; the
-occurrence that ranks first (doc_id, then row, then place) stays and the others are removed.
-Units of fewer than `min_words` words are no evidence of copying and stay.
+"""Substring dedup by line hashing: units are lines, cut further after . ! ? , ; : before white
+space, as passages are also copied into the middle of lines. From each unit the shortest run of
+units with `min_words` words is hashed, so that short lines and sentences count together with
+their neighbours. Runs are normalised (A-Z lower-cased, white space to one space) and digested;
+digests are grouped over the whole corpus; the occurrence that ranks first (doc_id, then row, then
+place) stays. Repeated runs that touch or overlap make a stretch; stretches of `least` words or
+more are removed. Shorter ones, which are met by chance or are set phrases, stay.
+
+Passages whose own units are all cut elsewhere in the other text (one long clause with other words
+on the same line) are no units and are not found.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import Workspace, arrow_map, text_slices
-
-SPLIT = re.compile(rb"(?<=[.!?])(?=[\x20\x09\x0b-\x0d])|(?<=\n)")
-WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
-MIN_WORDS = 6
-
-
-def units(text: bytes, min_words: int) -> list[tuple[int, int, bytes, int]]:
-    """(start, end, digest, words) in bytes of each unit with enough words, without outer space."""
-    out, at = [], 0
-    for piece in SPLIT.split(text):
-        words = WORDS.findall(piece)
-        if len(words) >= min_words:
-            start = at + piece.find(words[0])
-            end = at + len(piece.rstrip(b"\x20\x09\n\x0b\x0c\r"))
-            out.append((start, end, xxhash.xxh3_128_digest(b" ".join(words).lower()), len(words)))
-        at += len(piece)
-    return out
+from pyspark.sql.window import Window
+
+from .common import Workspace, arrow_map, maybe_broadcast, text_slices
+
+#: Words of a hashed run, and words of a stretch that is removed, at least.
+MIN_WORDS, LEAST = 8, 25
+ENDS = np.isin(np.arange(256), list(b".!?,;:"))
+FIELDS = ["doc_id", "row", "at", "words", "start", "end", "h1", "h2"]
+TYPES = ", ".join(f"{c} long" for c in FIELDS)
+
+
+def places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word in bytes."""
+    inside = np.concatenate([[False], ~((raw == 32) | ((raw >= 9) & (raw <= 13))), [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
+def runs(text: bytes, min_words: int) -> tuple[np.ndarray, ...]:
+    """at, words (in words), start, end (in code points), h1 and h2 of each unit's run."""
+    raw = np.frombuffer(text, np.uint8)
+    start, end = places(raw)
+    n = len(start)
+    if n < min_words:
+        return tuple(np.empty(0, np.int64) for _ in FIELDS[2:])
+    lines = np.concatenate([[0], np.cumsum(raw == 10)])
+    cut = ENDS[raw[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1]])
+    stops = np.append(np.flatnonzero(cut) + 1, n)
+    first = np.concatenate([[0], stops[:-1]])
+    to = np.searchsorted(stops, first + min_words)
+    first, to = first[to < len(stops)], stops[to[to < len(stops)]]
+    words = text.lower().split()
+    digests = b"".join([xxhash.xxh3_128_digest(b" ".join(words[a:b])) for a, b in zip(first.tolist(), to.tolist(), strict=True)])
+    halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    a, b = start[first], end[to - 1]
+    if not text.isascii():
+        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        a, b = points[a], points[b]
+    return first, to - first, a, b, halves[:, 0], halves[:, 1]
 
 
 def _worker(min_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, "text"):
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            rows = batch.column(batch.schema.get_field_index("row")).to_pylist()
-            out = []
-            for doc, row, text in zip(ids, rows, texts, strict=True):
-                text = text or b""
-                plain, at, count = text.isascii(), 0, 0
-                for start, end, digest, words in units(text, min_words):
-                    a, b = start, end
-                    if not plain:
-                        count += len(text[at:start].decode("utf-8", "replace"))
-                        a, b, at = count, count + len(text[start:end].decode("utf-8", "replace")), start
-                    out.append((doc, row, a, b, words, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "row", "start", "end", "words", "h1", "h2"])
+            found = [runs(text or b"", min_words) for text in texts]
+            sizes = np.array([len(f[0]) for f in found])
+            take = pa.array(np.repeat(np.arange(len(texts)), sizes))
+            own = [batch.column(batch.schema.get_field_index(c)).take(take) for c in FIELDS[:2]]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(np.concatenate([f[i] for f in found]).astype(np.int64)) for i in range(len(FIELDS) - 2)]], FIELDS)
 
     return work
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Each unit to remove: doc_id, row, start, end (code points of the text), words, and the
-    document that keeps the first occurrence (kept_doc_id, kept_start)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"), F.monotonically_increasing_id().alias("row"))
-    found = Workspace(docs.sparkSession, "units").save(
-        arrow_map(rows, _worker(min_words), "doc_id long, row long, start long, end long, words long, h1 long, h2 long"), "units"
-    )
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
+def repeated_stretches(rows: DataFrame, min_words: int = MIN_WORDS, least: int = LEAST) -> DataFrame:
+    """Each stretch to remove: doc_id, row, start, end (code points of the text), words, and
+    kept_doc_ids (documents that keep the first occurrences of its runs).
+
+    rows: row (a stable number of each row), doc_id, text.
+    """
+    ws = Workspace(rows.sparkSession, "units")
+    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    found = ws.save(arrow_map(own, _worker(min_words), TYPES), "runs")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
     firsts = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("seen")).filter("seen > 1").drop("seen")
-    return (
-        found.join(firsts, ["h1", "h2"])
-        .filter(rank != F.col("first"))
-        .select("doc_id", "row", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    # repeats that overlap the first occurrence would take words of the copy that stays
+    apart = (F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + F.col("words"))
+    gone = ws.save(found.join(firsts, ["h1", "h2"]).filter(apart).select("doc_id", "row", "at", "words", "start", "end", F.col("first.doc_id").alias("kept")), "gone")
+    ws.drop("runs")
+    order = Window.partitionBy("row").orderBy("at", "words").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = (F.col("at") > F.coalesce(F.max(F.col("at") + F.col("words")).over(order), F.lit(-1))).cast("int")
+    here = Window.partitionBy("row").orderBy("at", "words").rowsBetween(Window.unboundedPreceding, 0)
+    stretch = gone.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(here))
+    whole = stretch.groupBy("row", "doc_id", "stretch").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("words")) - F.min("at")).alias("words"), F.collect_set("kept").alias("kept_doc_ids")
     )
+    return whole.filter(F.col("words") >= least).drop("stretch")
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each row of docs that loses text: doc_id, n_removed units, removed_words, spans
-    ("start:end" by start, code points, comma-joined) and kept_doc_ids (documents that keep them).
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, least: int = LEAST) -> DataFrame:
+    """One row for each row of docs that loses text: doc_id, n_removed stretches, removed_words,
+    spans ("start:end" by start, code points, comma-joined) and kept_doc_ids (documents that keep them).
 
-    docs: doc_id (integer), text; further columns are ignored. Null and empty texts have no units.
-    Rows with null doc_id rank last. Of rows that repeat the first in table order keeps its text.
-    An empty table gives none. A text's own later repeats are removed too.
+    docs: doc_id (integer), text; further columns are ignored. Null, empty and shorter texts have
+    no runs. Rows with null doc_id rank last. Of rows that repeat the first in table order keeps
+    its text. An empty table gives none. A text's own later repeats are removed too.
     """
-    gone = repeated_units(docs, min_words)
-    return gone.groupBy("row", "doc_id").agg(
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # numbered once, as the runs are written
+    return repeated_stretches(rows, min_words, least).groupBy("row", "doc_id").agg(
         F.count("*").alias("n_removed"),
         F.sum("words").alias("removed_words"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
-        F.array_sort(F.collect_set("kept_doc_id")).alias("kept_doc_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_doc_ids")))).alias("kept_doc_ids"),
     ).drop("row")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated units cut from `text`, and their spans in `removed_spans`
-    (array of start, end); other columns stay. Texts that lose nothing stay as they are."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    gone = repeated_units(docs, min_words).groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = numbered.join(gone, "_row", "left")
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, least: int = LEAST) -> DataFrame:
+    """docs with the repeated stretches cut from `text`, and their spans in `removed_spans`
+    (array of start, end); other columns stay, whatever their names, but for one of that name.
+    Texts that lose nothing stay as they are. The rows are written once with their numbers."""
+    ws = Workspace(docs.sparkSession, "lines")
+    names = [c for c in docs.columns if c != "removed_spans"]
+    numbered = ws.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("r")), "rows")
+    gone = repeated_stretches(numbered.select("row", "r.doc_id", "r.text"), min_words, least)
+    gone = gone.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined = numbered.join(maybe_broadcast(gone, 100_000), "row", "left").withColumn("text", F.col("r.text"))
     # the stretches between spans, in order
     kept = F.expr(
-        "array_join(transform(sequence(0, size(_spans)), i -> substring(text,"
-        " cast(if(i = 0, 0, _spans[i - 1].end) + 1 as int),"
-        " cast(if(i = size(_spans), char_length(text), _spans[i].start) - if(i = 0, 0, _spans[i - 1].end) as int))), '')"
+        "array_join(transform(sequence(0, size(spans)), i -> substring(text,"
+        " cast(if(i = 0, 0, spans[i - 1].end) + 1 as int),"
+        " cast(if(i = size(spans), char_length(text), spans[i].start) - if(i = 0, 0, spans[i - 1].end) as int))), '')"
     )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce("_spans", F.expr("array()")).alias("removed_spans"))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == "text" else F.col("r").getField(c).alias(c) for c in names], F.coalesce("spans", F.expr("array()")).alias("removed_spans"))
