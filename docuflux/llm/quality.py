@@ -1,11 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules follow fixed limits. For further rules, labelled documents are split by a hash of
-their id: one half finds which cutoffs reject far more bad than good documents, the other half
-(the holdout) certifies cutoffs. A cutoff passes if the chance of seeing as few rejected good
-documents as there are, were its false rejection rate above `risk`, is at most `delta` divided
-by the number of tests (Bonferroni over strata, rules and cutoffs): an exact binomial tail.
-Each stratum and rule takes its strictest certified cutoff; without one it rejects nothing.
+their id. One half orders, in each stratum, the cutoffs that reject far more bad than good
+documents, those that reject the least share of good ones first. The other half (the holdout)
+certifies: step by step one more cutoff joins the policy, and the policy passes if the chance of
+seeing as few rejected good documents as there are, were its false rejection rate above `risk`, is
+at most `delta` divided by the number of strata, an exact binomial tail. The first step that fails
+ends the stratum's sequence. As the order is fixed before the holdout is seen, testing in sequence
+needs no correction over cutoffs; Bonferroni corrects over strata. With no rejected document a
+stratum needs ln(delta / strata) / ln(1 - risk) good holdout documents to certify anything (436 for
+four strata), whatever the method.
 
 DataFrame functions only. Counts cover all labelled rows; the tail's sum starts at its largest
 term and its length grows with the root of the counts.
@@ -17,6 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace, maybe_broadcast
 
@@ -102,39 +107,48 @@ def lower_tail(k: str, n: str, p: float) -> Column:
     return F.when(F.col(n) == 0, F.lit(1.0)).when(kd > nd * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), top * total))
 
 
+def held(doc_id: Column) -> Column:
+    """Whether a labelled document belongs to the holdout: by the first digit of its id's MD5."""
+    return F.substring(F.md5(doc_id.cast("string")), 1, 1) < "8"
+
+
 def thresholds(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) of each certified cutoff that is its rule's strictest in the stratum."""
+    """(stratum, rule, cutoff, k, n) of each rule's strictest certified cutoff; k of n good holdout
+    documents are rejected by the policy up to this cutoff."""
     # of labels that repeat the lowest holds
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = found.filter("not base_failed and doc_id is not null").join(marks, "doc_id")
-    rows = rows.withColumn("held", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0)
-    grid = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), (F.col(rule) >= c).alias("hit")) for rule, cs in RULES.items() for c in cs])
-    good, held = F.col("quality") == 1, F.col("held")
-    hit = F.col("g.hit")
+    rows = found.filter("not base_failed and doc_id is not null").join(marks, "doc_id").withColumn("held", held(F.col("doc_id")))
+    rows = rows.select("stratum", "held", (F.col("quality") == 1).alias("fine"), F.array(*RULES).alias("v"))
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(rule).alias("rule"), F.lit(c).alias("cutoff")) for i, (rule, cs) in enumerate(RULES.items()) for c in cs])
+    hit = F.get("v", F.col("g.i")) >= F.col("g.cutoff")
     tests = (
-        rows.select("stratum", "quality", "held", F.explode(grid).alias("g"))
-        .groupBy("stratum", "g.rule", "g.cutoff")
-        .agg(
-            F.count_if(good & held).alias("n"), F.count_if(good & held & hit).alias("k"),
-            F.count_if(good & ~held).alias("good"), F.count_if(good & ~held & hit).alias("good_hit"),
-            F.count_if(~good & ~held).alias("bad"), F.count_if(~good & ~held & hit).alias("bad_hit"),
-        )
+        rows.filter(~F.col("held")).select("stratum", "fine", "v", F.explode(grid).alias("g")).groupBy("stratum", "g")
+        .agg(F.count_if("fine").alias("good"), F.count_if(F.col("fine") & hit).alias("good_hit"), F.count_if(~F.col("fine")).alias("bad"), F.count_if(~F.col("fine") & hit).alias("bad_hit"))
     )
-    strata = found.select("stratum").distinct().count()
-    m = max(1, strata * sum(map(len, RULES.values())))
-    # the other half's verdict: bad documents are hit at least three times as often, and at all
+    # bad documents are hit at least three times as often, and at all
     useful = (F.col("bad_hit") > 0) & (F.col("bad_hit") * F.greatest("good", F.lit(1)) >= 3 * F.col("good_hit") * F.greatest("bad", F.lit(1)))
-    sure = lower_tail("k", "n", risk / len(RULES)) <= delta / m
-    return tests.filter(useful).filter(sure).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    order = Window.partitionBy("stratum").orderBy(F.col("good_hit") / F.greatest("good", F.lit(1)), F.desc("bad_hit"), "g.i", F.desc("g.cutoff"))
+    tests = tests.filter(useful).select("stratum", "g.*", F.row_number().over(order).alias("step"))
+    by = tests.groupBy("stratum").agg(F.collect_list(F.struct("i", "cutoff", "step")).alias("tests"))
+    # the step at which each good holdout document is first rejected
+    steps = F.transform(F.filter("tests", lambda t: F.get("v", t["i"]) >= t["cutoff"]), lambda t: t["step"])
+    seen = rows.filter("held and fine").join(maybe_broadcast(by, 100_000), "stratum").groupBy("stratum", F.array_min(steps).alias("step")).agg(F.count("*").alias("c"))
+    total = seen.groupBy("stratum").agg(F.sum("c").alias("n"))
+    strata = max(1, found.select("stratum").distinct().count())
+    upto = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    tested = tests.join(total, "stratum").join(seen, ["stratum", "step"], "left").withColumn("k", F.sum(F.coalesce("c", F.lit(0))).over(upto))
+    sure = F.min((lower_tail("k", "n", risk) <= delta / strata).cast("int")).over(upto)
+    passed = tested.withColumn("sure", sure).filter("sure = 1")
+    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.max("k").alias("k"), F.max("n").alias("n"))
 
 
 def rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """For each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, and stratum.
+    base_failed, kept, rejected_by (certified rules that reject it, comma-joined) and stratum.
 
     docs: doc_id, text, `stratum`; labels: doc_id, quality (1 good); further columns are ignored.
     In a stratum at most a share `risk` of good documents that pass the base rules is rejected,
-    with confidence 1 - delta over all strata and rules at once. Null texts count as empty and
+    by all certified rules together, with confidence 1 - delta over all strata at once. Null texts count as empty and
     fail the base rules; a null stratum is one of its own; labels without a document, and null
     labels, say nothing. Rows that repeat give a row each. Without labels nothing is rejected
     beyond the base rules. Empty tables give no rows.
@@ -145,10 +159,8 @@ def rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     by = limits.groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
     by = by.select(F.col("stratum").alias("_s"), *[F.col(r).alias(f"_{r}") for r in RULES])
     joined = found.join(maybe_broadcast(by, 100_000), F.col("stratum") == F.col("_s"), "left")
-    rejected = F.lit(False)
-    for r in RULES:
-        rejected = rejected | F.coalesce(F.col(r) >= F.col(f"_{r}"), F.lit(False))
+    rejecting = F.concat_ws(",", *[F.when(F.col(r) >= F.col(f"_{r}"), F.lit(r)) for r in RULES])
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~rejected).alias("kept"), "stratum",
+        (~F.col("base_failed") & (rejecting == "")).alias("kept"), rejecting.alias("rejected_by"), "stratum",
     )
