@@ -63,11 +63,12 @@ def over(nodes: DataFrame, place: Column, *order: str) -> DataFrame:
     return nodes.groupBy("volume", place.alias("place")).agg(F.sha2(F.array_join(F.transform(listed, lambda c: c["node"]), ""), 256).alias("node"))
 
 
-def tree(leaf: DataFrame, depth: int) -> list[DataFrame]:
-    """(volume, place, node) of levels 0 (places of records) to depth (a root for each volume)."""
-    levels = [over(leaf, place_of(F.col("id")))]  # one record each, or those that share an id
-    for _ in range(depth):
-        levels.append(over(levels[-1], F.floor(F.col("place") / FAN).cast("long"), "place"))  # FAN children at most
+def tree(leaf: DataFrame, depth: int, ws: Workspace, name: str) -> list[DataFrame]:
+    """(volume, place, node) of levels 0 (places of records) to depth (a root for each volume).
+    Each level is written, so that a descent reads it instead of digesting the leaves again."""
+    levels = [ws.save(over(leaf, place_of(F.col("id"))), f"{name}0")]  # one record each, or those that share an id
+    for i in range(depth):
+        levels.append(ws.save(over(levels[-1], F.floor(F.col("place") / FAN).cast("long"), "place"), f"{name}{i + 1}"))  # FAN children at most
     return levels
 
 
@@ -111,7 +112,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, DataFrame]
     ws = Workspace(primary.sparkSession, "warc")
     a, b = ws.save(leaves(primary), "primary"), ws.save(leaves(replica), "replica")
     depth = depth_of()
-    up, other = tree(a, depth), tree(b, depth)
+    up, other = tree(a, depth, ws, "up"), tree(b, depth, ws, "other")
     roots = ws.save(
         up[depth].select("volume", F.col("node").alias("root")).join(other[depth].select("volume", F.col("node").alias("replica_root")), "volume", "full"), "roots"
     )
