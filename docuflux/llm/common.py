@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docuflux.session import ship
 
@@ -82,7 +83,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLIC
             yield batch.slice(start), values[start:]
 
 
-def arrow_map(df: DataFrame, worker: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, worker: Callable, schema: str | T.StructType) -> DataFrame:
     """mapInArrow over batches that are bounded in bytes as well as rows."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -104,7 +105,7 @@ def kept_rows(docs: DataFrame, keep: Callable[[], Callable[[list], list]]) -> Da
             yield batch.select(["_row"]).filter(pa.array(judge(texts), pa.bool_()))
 
     rows = packed(docs)
-    return arrow_map(rows, work, f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*")
+    return arrow_map(rows, work, T.StructType([rows.schema["_row"]])).select("_row.*")
 
 
 def ascii_lower(column):

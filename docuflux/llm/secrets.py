@@ -17,8 +17,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_map, text_slices
+from .common import arrow_map, packed, text_slices
 
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -28,7 +29,6 @@ HEX = re.compile(rb"[0-9a-f]+")
 CHECKED = {b"ghp_": 30, b"gho_": 30, b"ghu_": 30, b"ghs_": 30, b"ghr_": 30, b"npm_": 30}
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 TOKEN_BODY = re.compile(rb"[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-CARD = re.compile(rb"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
 BASE = ("assign", "access", "hex")
 #: Least lengths of what each base kind matches.
 LEAST = {"assign": 6, "access": 20, "hex": 24}
@@ -152,12 +152,10 @@ def secrets(docs: DataFrame, redact: bool = False) -> DataFrame:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """docs with each secret in `text` replaced by its kind, and n_chars to match; all columns stay."""
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(F.col("text").alias("text"), *[F.col(c) for c in rest]).alias("_row"), F.encode("text", "UTF-8").alias("text"))
-    schema = f"_row {packed.schema['_row'].dataType.simpleString()}, {FOUND}"
-    out = arrow_map(packed, _worker(True), schema)
-    text = F.coalesce("clean", F.col("_row.text"))
-    columns = {c: F.col("_row")[c] for c in docs.columns} | {"text": text}
+    rows = packed(docs)
+    out = arrow_map(rows, _worker(True), T.StructType([rows.schema["_row"], *T.StructType.fromDDL(FOUND)]))
+    own = lambda c: F.col("_row").getField(c)
+    columns = {c: own(c) for c in docs.columns} | {"text": F.coalesce("clean", own("text"))}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("clean").isNull(), columns["n_chars"]).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("clean").isNull(), own("n_chars")).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[columns[c].alias(c) for c in docs.columns])

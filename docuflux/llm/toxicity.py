@@ -9,24 +9,27 @@ Training picks, each round, the worst window of each row (a toxic text need not
 throughout) and another one of clean rows. A final logistic fit on the rows' worst windows
 makes 0.5 the likelier-toxic line.
 
-The model is fitted on at most `SAMPLE` labelled rows, those of least digest of their id; scoring
-covers all rows. Only the text is an input.
+The model is fitted on at most `SAMPLE` labelled rows, those of least digest of their id, and
+`SAMPLE_BYTES` of their texts; scoring covers all rows. Only the text is an input.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_slices
+from .common import arrow_map, kept_rows, text_slices
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 SAMPLE, BATCH = 4000, 256
+#: Bytes of texts that a fit takes; the rest of the sample is left out.
+SAMPLE_BYTES = 64 << 20
 #: Optimiser steps whatever the number of rows, and how often the worst windows are picked anew.
 STEPS, ROUNDS = 120, 6
 WIDTH, STRIDE = 64, 48
@@ -345,7 +348,8 @@ class Scorer:
         rows = []
         for text in texts:
             rows.append(np.array([place.setdefault(w, len(place) + 1) for w in words_of(text)], np.int64))
-        fresh = [w for i, w in enumerate(place) if i >= first] if first else list(place)
+        # words are kept in the order in which they came, the newest last
+        fresh = list(islice(reversed(place), len(place) - first))[::-1]
         words = Words(fresh)
         more = model.network.projected(model.network.inputs(words, model.odds.stats(words)))
         if first:
@@ -386,9 +390,17 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).join(marks, F.col("doc_id") == F.col("_id"))
     # the ids come first, so that the texts of so many rows are all that is sorted and sent
     ids = known.select(F.col("doc_id").alias("_pick")).distinct().orderBy(F.md5(F.col("_pick").cast("string"))).limit(sample)
-    rows = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_pick"), "left_semi").select("doc_id", "text", "_toxic").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.text)))
-    return Model([bytes(r.text) for r in rows], [int(r["_toxic"]) for r in rows])
+    rows = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_pick"), "left_semi").select("doc_id", "text", "_toxic")
+    # of rows that share an id the text of least digest; the driver takes texts up to SAMPLE_BYTES
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "_toxic"), F.md5("text")).alias("r")).select("doc_id", "r.*")
+    held, texts = 0, []
+    for r in rows.orderBy(F.md5(F.col("doc_id").cast("string"))).toLocalIterator():
+        held += len(r.text)
+        if texts and held > SAMPLE_BYTES:
+            break
+        texts.append((r.doc_id, bytes(r.text), int(r["_toxic"])))
+    texts.sort(key=lambda r: r[:2])
+    return Model([t for _, t, _ in texts], [y for *_, y in texts])
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -406,12 +418,11 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows scored 0.5 or higher; all columns stay. Rows that share a doc_id and
-    a text go together."""
-    key = F.struct("doc_id", F.xxhash64("text").alias("k"))
+    """docs without the rows scored 0.5 or higher, in one pass; all columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
-    marked = docs.select(key.alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-    out = arrow_map(marked, _worker(sent), f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, score double")
-    gone = out.filter("score >= 0.5").select(F.col("doc_id.doc_id").alias("_gone_id"), F.col("doc_id.k").alias("_gone_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    return keyed.join(gone, keyed.doc_id.eqNullSafe(F.col("_gone_id")) & (F.col("_text_key") == F.col("_gone_key")), "left_anti").drop("_text_key")
+
+    def keep():
+        scorer = Scorer(sent.value)
+        return lambda texts: (np.round(scorer.scores(texts).astype(np.float64), 6) < 0.5).tolist()
+
+    return kept_rows(docs, keep)
