@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, licenses, linededup, passages, quality, secrets, sharding, toxicity, warc
+from . import bpe, decontam, jaccard_join, licenses, linededup, quality, secrets, sharding, toxicity, warc
 from .common import table
 from .sql import ORACLES
 
@@ -41,20 +41,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.removals(table(spark, sf_dir, "documents"))
 
 
-def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages of over 50 words, whatever the lines and sentences that hold them."""
-    return passages.removals(table(spark, sf_dir, "documents"))
-
-
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("stratum")
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of the pages' records in which stated records are damaged: of ids whose
-    crc32 mod 97 is 0 one byte is changed, mod 97 is 1 the record is lost."""
+    number (the first seven hexadecimal digits of the id's MD5) mod 97 is 0 one byte is changed, mod
+    97 is 1 the record is lost."""
     primary = warc.records(table(spark, sf_dir, "pages"))
-    fate = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(97))
+    fate = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 7), 16, 10).cast("long"), F.lit(97))
     hurt = F.expr("concat(substring(bytes, 1, 40), X'00', substring(bytes, 42, octet_length(bytes)))")
     replica = primary.withColumn("fate", fate).filter("fate <> 1").select("volume", "id", F.when(F.col("fate") == 0, hurt).otherwise(F.col("bytes")).alias("bytes"))
     leaves, _ = warc.audit(primary, replica)
@@ -74,7 +70,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_secret_scan, op5_bpe, op6_line_dedup, op7_quality_rules, op8_warc_fixity, op9_decontamination, op10_license_scan, op6_passages]
+    own = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_secret_scan, op5_bpe, op6_line_dedup, op7_quality_rules, op8_warc_fixity, op9_decontamination, op10_license_scan]
     return {f.__name__: f for f in own}
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from .licenses import LEAST, TEMPLATES
+from .licenses import LEAST, TEMPLATES, leads
+from .linededup import LEAST as LEAST_WORDS
+from .linededup import MIN_WORDS
+from .quality import DELTA, RISK, RULES
+from .warc import VOLUME
 
 SPACE = r"[\x20\x09-\x0D]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,43 +47,129 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 def license_scan() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
+    at = ", ".join(f"({quoted(w)}, {i}, {q})" for w, i, q in leads(LEAST))
     normal = "trim(regexp_replace(" + LOWER.format("{}") + ", '[^a-z0-9]+', ' ', 'g'))"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return rf"""
-WITH t AS (SELECT template, license, {grams} AS g FROM
+WITH t AS (SELECT template, license, len(w) AS size, {grams} AS g FROM
   (SELECT template, license, string_split({normal.format("body")}, ' ') AS w FROM (VALUES {rows}) v(template, license, body))),
+tg AS (SELECT template, license, len(g) AS n, unnest(g) AS gram FROM t),
 lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents),
 units AS (SELECT doc_id, unnest(range(len(l))) AS unit, unnest(l) AS line FROM lines
   UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(l) > 1),
 u AS (SELECT doc_id, unit, {grams} AS g FROM (SELECT doc_id, unit, string_split({normal.format("line")}, ' ') AS w FROM units)),
-tg AS (SELECT template, license, len(g) AS n, unnest(g) AS gram FROM t),
 ug AS (SELECT doc_id, unit, len(g) AS m, unnest(g) AS gram FROM u WHERE len(g) <= (SELECT max(n) FROM tg) * 3),
 met AS (SELECT doc_id, unit, template, license, 2 * count(*) / (m + n) AS dice FROM ug JOIN tg USING (gram)
   GROUP BY doc_id, unit, template, license, m, n HAVING 2 * count(*) / (m + n) >= {LEAST} - 1e-12),
 best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, template) = 1),
-by_doc AS (SELECT doc_id, count(*) AS n_units, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
-  arg_min(license, (-dice, template)) AS best_license, max(dice) AS best_dice FROM best GROUP BY 1)
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses, best_license, round(best_dice, 6) AS best_dice
+ws AS (SELECT doc_id, string_split({normal.format("text")}, ' ') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM ws),
+laid AS (SELECT DISTINCT doc_id, p0.template, greatest(i - q, 0) AS a, i - q + size AS b
+  FROM p JOIN (VALUES {at}) p0(word, template, q) USING (word) JOIN t USING (template)),
+cut AS (SELECT doc_id, template, a, b, {grams} AS g FROM (SELECT DISTINCT doc_id, template, a, least(b, len(w)) AS b, w[a + 1:least(b, len(w))] AS w FROM laid JOIN ws USING (doc_id))),
+cg AS (SELECT doc_id, template, a, b, len(g) AS m, unnest(g) AS gram FROM cut),
+slid AS (SELECT doc_id, -2 - a AS unit, template, license, 2 * count(*) / (m + n) AS dice FROM cg JOIN tg USING (gram, template)
+  GROUP BY doc_id, a, b, template, license, m, n HAVING 2 * count(*) / (m + n) >= {LEAST} - 1e-12),
+every AS (SELECT doc_id, unit, template, license, dice FROM best UNION ALL SELECT doc_id, unit, template, license, dice FROM slid),
+by_doc AS (SELECT doc_id, count_if(unit >= -1) AS n_units, count_if(unit < -1) AS n_windows, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+  arg_min(license, (-dice, template)) AS best_license, max(dice) AS best_dice FROM every GROUP BY 1)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_windows, 0) AS n_windows, coalesce(licenses, '') AS licenses, best_license, round(best_dice, 6) AS best_dice
 FROM documents d LEFT JOIN by_doc USING (doc_id)"""
 
 
-def line_dedup(min_words: int = 6) -> str:
-    """Units are cut at line ends, and after . ! or ? before white space; see the operator."""
-    cut = r"string_split(regexp_replace(regexp_replace(text, '([.!?])([\x20\x09\x0B-\x0D])', '\1' || chr(1) || '\2', 'g'), '(\n)', '\1' || chr(1), 'g'), chr(1))"
+def line_dedup(min_words: int = MIN_WORDS, least: int = LEAST_WORDS) -> str:
+    """Units are cut at line ends, and after . ! ? , ; : before white space; see the operator."""
+    cut = r"string_split(regexp_replace(regexp_replace(text, '([.!?,;:])([\x20\x09\x0B-\x0D])', '\1' || chr(1) || '\2', 'g'), '(\n)', '\1' || chr(1), 'g'), chr(1))"
     return rf"""
 WITH p AS (SELECT doc_id, {cut} AS p FROM documents),
 u AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS piece,
   unnest(list_transform(range(1, len(p) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0))) AS before FROM p),
-v AS (SELECT doc_id, cast(before + length(piece) - length(regexp_replace(piece, '^{SPACE}', '')) AS bigint) AS s,
+v AS (SELECT doc_id, i, cast(before + length(piece) - length(regexp_replace(piece, '^{SPACE}', '')) AS bigint) AS s,
   cast(before + length(regexp_replace(piece, '{SPACE}$', '')) AS bigint) AS e,
   {LOWER.format(rf"trim(regexp_replace(piece, '{SPACE}', ' ', 'g'))")} AS unit FROM u),
-k AS (SELECT *, len(string_split(unit, ' ')) AS words FROM v WHERE len(string_split(unit, ' ')) >= {min_words}),
-r AS (SELECT *, first_value(doc_id) OVER o AS kept, row_number() OVER o AS rn FROM k WINDOW o AS (PARTITION BY unit ORDER BY doc_id, s))
-SELECT doc_id, count(*) AS n_removed, cast(sum(words) AS bigint) AS removed_words, string_agg(s || ':' || e, ',' ORDER BY s, e) AS spans,
-  list_sort(list_distinct(list(kept))) AS kept_doc_ids FROM r WHERE rn > 1 GROUP BY 1"""
+k AS (SELECT doc_id, i, s, e, unit, len(string_split(unit, ' ')) AS n FROM v WHERE unit <> ''),
+c AS MATERIALIZED (SELECT *, cast(sum(n) OVER w AS bigint) AS upto, cast(sum(n) OVER w - n AS bigint) AS pos, row_number() OVER w AS place FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+l AS MATERIALIZED (SELECT doc_id, list(unit ORDER BY place) AS units FROM c GROUP BY 1),
+r AS (SELECT x.doc_id, x.pos, x.s, y.e, y.upto - x.pos AS words, array_to_string(units[x.place:y.place], ' ') AS run
+  FROM (SELECT *, pos + {min_words} AS want FROM c) x ASOF JOIN c y ON x.doc_id = y.doc_id AND x.want <= y.upto JOIN l ON l.doc_id = x.doc_id),
+f AS (SELECT *, first_value(doc_id) OVER o AS kept, first_value(pos) OVER o AS kept_pos FROM r WINDOW o AS (PARTITION BY run ORDER BY doc_id, pos)),
+g AS (SELECT *, pos > coalesce(max(pos + words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh
+  FROM f WHERE doc_id <> kept OR pos >= kept_pos + words),
+h AS (SELECT *, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY pos) AS stretch FROM g),
+t AS (SELECT doc_id, stretch, min(s) AS s, max(e) AS e, max(pos + words) - min(pos) AS words, list(DISTINCT kept) AS kept FROM h GROUP BY ALL HAVING max(pos + words) - min(pos) >= {least})
+SELECT doc_id, count(*) AS n_removed, cast(sum(words) AS bigint) AS removed_words, string_agg(s || ':' || e, ',' ORDER BY s) AS spans,
+  list_sort(list_distinct(flatten(list(kept)))) AS kept_doc_ids FROM t GROUP BY 1"""
+
+
+def quality() -> str:
+    """Features, the order on one half of the labels, and the tests on the other; see the operator."""
+    grid = ", ".join(f"({i}, '{rule}', {c})" for i, (rule, cs) in enumerate(RULES.items()) for c in cs)
+    part = lambda a, b, m: f"CASE WHEN {b} > 0 THEN {a} * {m} // {b} ELSE 0 END"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '?') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, stratum, t, list_filter(string_split_regex(t, '{SPACE}'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: length(regexp_replace(x, '{SPACE}', '', 'g')) > 0) AS l FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
+b AS (SELECT doc_id, stratum, cast(len(w) AS bigint) AS n_words, cast(length(array_to_string(w, '')) AS bigint) AS word_chars,
+  cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS bigint) AS n_symbols, cast(len(l) AS bigint) AS n_lines,
+  cast(len(l) - len(list_distinct(l)) AS bigint) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,
+  [{part("n_symbols", "word_chars", 1000)}, {part("n_dup_lines", "n_lines", 100)}, {part("n_repeat_words", "n_words", 100)}, {part("word_chars", "n_words", 10)}] AS v FROM b),
+m AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+x AS (SELECT stratum, v, quality = 1 AS fine, substr(md5(cast(doc_id AS varchar)), 1, 1) < '8' AS held FROM f JOIN m USING (doc_id) WHERE NOT base_failed),
+grid(i, rule, cutoff) AS (VALUES {grid}),
+n AS (SELECT stratum, i, rule, cutoff, count_if(fine) AS good, count_if(fine AND v[i + 1] >= cutoff) AS good_hit, count_if(NOT fine) AS bad,
+  count_if(NOT fine AND v[i + 1] >= cutoff) AS bad_hit FROM x, grid WHERE NOT held GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY good_hit / greatest(good, 1), bad_hit DESC, i, cutoff DESC) AS step FROM n
+  WHERE bad_hit > 0 AND bad_hit * greatest(good, 1) >= 3 * good_hit * greatest(bad, 1)),
+h AS (SELECT row_number() OVER () AS id, stratum, v FROM x WHERE held AND fine AND stratum IN (SELECT stratum FROM o)),
+s AS (SELECT id, h.stratum, min(step) AS step FROM h LEFT JOIN o ON o.stratum = h.stratum AND v[i + 1] >= cutoff GROUP BY 1, 2),
+q AS (SELECT o.*, (SELECT count(*) FROM s WHERE s.stratum = o.stratum) AS n, (SELECT count(*) FROM s WHERE s.stratum = o.stratum AND s.step <= o.step) AS k FROM o),
+p AS (SELECT *, CASE WHEN n = 0 OR k > n * {RISK} THEN 1.0 ELSE
+  list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END AS tail FROM q),
+y AS (SELECT *, bool_and(tail <= {DELTA} / (SELECT count(DISTINCT stratum) FROM f)) OVER (PARTITION BY stratum ORDER BY step) AS sure FROM p),
+z AS (SELECT stratum, i, rule, min(cutoff) AS cutoff FROM y WHERE sure GROUP BY ALL),
+j AS (SELECT doc_id, string_agg(rule, ',' ORDER BY i) AS rejected_by FROM f JOIN z USING (stratum) WHERE v[i + 1] >= cutoff GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM f LEFT JOIN j USING (doc_id)"""
+
+
+def fixity() -> str:
+    """Records, their layout and the stated damage; a loss moves the records behind it."""
+    line = "chr(13) || chr(10)"
+    head = f"'WARC/1.1' || {line} || 'WARC-Type: response' || {line} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {line} || 'WARC-Target-URI: ' || url || {line}"
+    record = f"{head} || 'Content-Type: text/html' || {line} || 'Content-Length: ' || octet_length(encode(html)) || {line} || {line} || html || {line} || {line}"
+    return rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, page_id // {VOLUME} AS volume, {record} AS record, cast('0x' || substr(md5(cast(page_id AS varchar)), 1, 7) AS bigint) % 97 AS fate FROM p),
+l AS (SELECT page_id, volume, fate, octet_length(encode(record)) AS length, sha256(record) AS record_sha256 FROM r)
+SELECT page_id, volume, row_number() OVER w - 1 AS seq, cast(sum(length) OVER w - length AS bigint) AS "offset", length, record_sha256,
+  CASE fate WHEN 0 THEN 'corrupt' WHEN 1 THEN 'missing' ELSE 'ok' END AS status,
+  CASE WHEN fate <> 1 THEN cast(-coalesce(sum(length) FILTER (fate = 1) OVER w, 0) AS bigint) END AS shift
+FROM l WINDOW w AS (PARTITION BY volume ORDER BY page_id)"""
+
+
+def sharding(shards: int = 16) -> str:
+    """Rendezvous hashing by the MD5 of the id and the shard, all weights 1; slots by the MD5 of the
+    id. CRC-32 goes byte by byte over a table made from its polynomial."""
+    unit = "(cast('0x' || substr(md5(name || ':' || s), 1, 13) AS bigint) + 0.5) / 4503599627370496.0"
+    return rf"""
+WITH tbl AS (SELECT list(c ORDER BY n) AS tbl FROM (SELECT n, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) AS c FROM range(256) r(n))),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, cast(doc_id AS varchar) AS name FROM documents),
+z AS (SELECT h, list_reduce(list_transform(range(length(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) AS bigint)),
+  lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1]), 4294967295) AS c FROM (SELECT DISTINCT h FROM d), tbl),
+c AS (SELECT doc_id, s, -ln({unit}) AS score FROM d, range({shards + 1}) r(s)),
+b AS (SELECT doc_id, cast(arg_min(s, score) FILTER (s < {shards}) AS int) AS shard, cast(arg_min(s, score) AS int) AS grown_shard FROM c GROUP BY 1)
+SELECT doc_id, length(h) // 2 + 1 AS size, xor(c, 4294967295) AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(name), doc_id) - 1 AS slot, grown_shard FROM d JOIN z USING (h) JOIN b USING (doc_id)"""
 
 
 ORACLES = {
+    "op2_sharding": sharding(),
+    "op8_warc_fixity": fixity(),
+    "op7_quality_rules": quality(),
     "op1_jaccard_join": jaccard(),
     "op6_line_dedup": line_dedup(),
     "op9_decontamination": decontamination(),
