@@ -12,7 +12,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules of docuflux.plans that register queries.
-MODULES = ("text", "retrieval", "ingest", "structure", "layout", "operations")
+MODULES = ("text", "guards", "retrieval", "ingest", "structure", "layout", "operations")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
