@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docuflux.operators.groups import by_group
+
 LAST, SUMMARISE_FROM = 6, 4
 WINDOW, LIMIT, GAP = "60 seconds", 60, "24 hours"
 
@@ -50,24 +51,24 @@ def breaker(calls: DataFrame, key: str, failures: int = 5, reset_s: int = 30) ->
     """State of each key's circuit breaker after its calls (key, ts, failed): closed, open or
     half_open. While open, calls are refused until reset_s after it opened; then one call decides."""
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: list[dict]) -> list[dict]:
         state, bad, opened, refused = "closed", 0, None, 0
-        for ts, failed in rows.sort_values(["ts", "failed"])[["ts", "failed"]].itertuples(index=False):
-            if state == "open" and (ts - opened).total_seconds() < reset_s:
+        for row in rows:
+            if state == "open" and (row["ts"] - opened).total_seconds() < reset_s:
                 refused += 1
                 continue
             if state == "open":
                 state = "half_open"
-            if not failed:
+            if not row["failed"]:
                 state, bad = "closed", 0
             else:
                 bad += 1
                 if state == "half_open" or bad >= failures:
-                    state, opened = "open", ts
-        return pd.DataFrame({key: [rows[key].iloc[0]], "state": [state], "refused": [refused]})
+                    state, opened = "open", row["ts"]
+        return [{key: rows[0][key], "state": state, "refused": refused}]
 
     kind = calls.schema[key].dataType.simpleString()
-    return calls.select(key, "ts", "failed").groupBy(key).applyInPandas(walk, f"{key} {kind}, state string, refused long")
+    return by_group(calls.select(key, "ts", "failed"), [key], ["ts", "failed"], walk, f"{key} {kind}, state string, refused long")
 
 
 def golden(feedback: DataFrame) -> DataFrame:
@@ -75,15 +76,29 @@ def golden(feedback: DataFrame) -> DataFrame:
     return feedback.filter("rating = 'down' and question is not null").select("question", F.coalesce("answer", F.lit("")).alias("ground_truth"))
 
 
+def numbered(rows: DataFrame, key: str, order: str, name: str = "number", block: int = 1 << 16) -> DataFrame:
+    """rows with their number from 1 in the key's order of an integer column; no task holds a key.
+
+    Rows are counted by key and block of the order, the counts' running sums are what stands before
+    a block, and rows are numbered within their block. Ties are numbered in no stated order.
+    """
+    cut = rows.withColumn("_block", F.floor(F.col(order) / block))
+    counts = cut.groupBy(key, "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy(key, "_block").orderBy(order))
+    joined = cut.withColumn("_at", at).join(counts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_at")).cast("long").alias(name))
+
+
 def batched(rows: DataFrame, key: str, order: str, size: int = 50) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """rows with the number from 0 of their batch of `size` in the key's order."""
+    return numbered(rows, key, order, "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("long"))
 
 
 def ranges(rows: DataFrame, key: str, number: str) -> DataFrame:
     """Runs of consecutive numbers of each key: first, last."""
-    w = Window.partitionBy(key).orderBy(number)
-    run = rows.select(key, number).distinct().withColumn("run", F.col(number) - F.row_number().over(w))
+    run = numbered(rows.select(key, number).distinct(), key, number, "run").withColumn("run", F.col(number) - F.col("run"))
     return run.groupBy(key, "run").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("run")
 
 
@@ -92,3 +107,43 @@ def page_numbers(spec: Column) -> Column:
     parts = F.split(F.regexp_replace(spec, r"\s", ""), ",")
     one = lambda p: F.sequence(F.split_part(p, F.lit("-"), F.lit(1)).cast("int"), F.element_at(F.split(p, "-"), -1).cast("int"))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
+
+
+# review of synthesized answers, queue and locks ------------------------------------------------
+
+
+def reviewed(pending: DataFrame, verdicts: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(approved entries, those that stay pending). pending: entry_id, question, answer, best_score;
+    verdicts: entry_id, approve, ts; the latest verdict of an entry holds, of equal times rejection.
+    Verdicts on unknown entries do nothing; an entry queued twice is one."""
+    once = pending.dropDuplicates(["entry_id"])
+    last = verdicts.groupBy("entry_id").agg(F.max_by("approve", F.struct("ts", ~F.col("approve"))).alias("approve"))
+    both = once.join(last, "entry_id", "left")
+    fields = ["entry_id", F.trim("answer").alias("page_content"), F.lit("synthesized").alias("source_type"), F.col("question").alias("source_question"), "best_score"]
+    return both.filter("approve").select(*fields, F.lit(True).alias("reviewed"), at.alias("approved_at")), both.filter("approve is null").drop("approve")
+
+
+def claimed(jobs: DataFrame, locks: DataFrame, now: Column, ttl_s: int = 600) -> DataFrame:
+    """Queued jobs (file_name, seq, ...) with status: run, or skipped where another holds the file's
+    lock (file_name, locked_at) or an earlier job of the batch has it. Locks end after ttl_s."""
+    held = locks.filter(F.col("locked_at") + F.expr(f"INTERVAL {int(ttl_s)} SECONDS") > now).select(F.col("file_name").alias("_held")).distinct()
+    first = F.row_number().over(Window.partitionBy("file_name").orderBy("seq")) == 1
+    rows = jobs.withColumn("_first", first).join(held, F.col("file_name") == F.col("_held"), "left")
+    return rows.withColumn("status", F.when(F.col("_held").isNull() & F.col("_first"), "run").otherwise("skipped")).drop("_held", "_first")
+
+
+def attempted(jobs: DataFrame, most: int = 3) -> DataFrame:
+    """Jobs with ok, again (worth another try) and attempts so far: status done, retry or failed, and attempts after this one."""
+    tries = F.col("attempts") + 1
+    status = F.when(F.col("ok"), "done").when(F.col("again") & (tries < most), "retry").otherwise("failed")
+    return jobs.withColumns({"status": status, "attempts": tries})
+
+
+def compared(metrics: DataFrame, baseline: str) -> DataFrame:
+    """Whether each strategy beats the baseline in any metric. metrics: strategy and numbers."""
+    names = [c for c in metrics.columns if c != "strategy"]
+    base = metrics.filter(F.col("strategy") == baseline).select(*[F.col(c).alias(f"_{c}") for c in names])
+    better = F.lit(False)
+    for c in names:
+        better = better | (F.col(c) > F.col(f"_{c}"))
+    return metrics.filter(F.col("strategy") != baseline).crossJoin(F.broadcast(base)).select("strategy", better.alias("passed"))

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from docuflux.functions import text as t
 
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
+#: Rows that may be broadcast once counted, and query vectors of a block.
+BROADCAST_ROWS, QUERY_BLOCK = 1_000_000, 4096
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_: str = "doc_id") -> DataFrame:
@@ -18,34 +20,52 @@ def bm25(docs: DataFrame, queries: DataFrame, id_: str = "doc_id") -> DataFrame:
 
     docs: id, text; queries: query_id, text. Corpus statistics cover all documents; a negative idf
     is EPSILON times the mean of all idf, negatives included. Repeated query terms count again.
-    Only terms of the queries reach the join with the postings.
+    Tokens meet the queries' terms before they are counted, so only those are shuffled; numbers of
+    documents by term come with the corpus' size, in the row without a term, from one pass.
     """
     words = docs.select(F.col(id_).alias("id"), t.bm25_tokens(F.col("text")).alias("w"))
-    sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    tf = words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(sizes)).select("term", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+    own = F.concat(F.array_distinct("w"), F.array(F.lit(None).cast("string")))
+    df = words.select(F.size("w").alias("len"), F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total"))
+    sizes = df.filter("term is null").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+    idf = df.filter("term is not null").crossJoin(F.broadcast(sizes)).select("term", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
-    idf = idf.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
     asked = queries.select("query_id", F.explode(t.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = tf.join(idf, "term").join(asked, "term")
+    terms = small(asked.select("term").distinct())
+    idf = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
+    tf = words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    hits = tf.join(small(idf), "term").join(small(asked), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
+def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, marked for broadcast if a count that stops at the limit says that they are few."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
 def top(scores: DataFrame, k: int, id_: str = "id") -> DataFrame:
     """The k best of each query with their rank from 1; equal scores (to 9 places) by id."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_)
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score): cosine of each query vector (a stated, small set) with all vectors.
+def dense(vectors: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, score): cosine of each query vector (a stated set) with all vectors.
 
-    vectors: id, embedding; queries: query_id, vector. Zero vectors score 0.
+    vectors: id, embedding; queries: query_id, vector. Zero vectors score 0. Queries are taken in
+    blocks that are broadcast, each against all rows; what ranks them cuts before it shuffles.
     """
-    pairs = vectors.join(F.broadcast(queries))
-    return pairs.select("query_id", "id", F.coalesce(F.nanvl(t.cosine(F.col("embedding"), F.col("vector")), F.lit(0.0)), F.lit(0.0)).alias("score"))
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
+    rows = vectors.select("id", F.explode(F.array(unit(F.col("embedding")))).alias("v"))
+    asked = queries.select("query_id", F.explode(F.array(unit(F.col("vector")))).alias("q"))
+    blocks = max(1, -(-asked.count() // block))
+    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    out = None
+    for i in range(blocks):
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        part = rows.join(F.broadcast(own)).select("query_id", "id", F.coalesce(F.nanvl(dot, F.lit(0.0)), F.lit(0.0)).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fused(*ranked: DataFrame) -> DataFrame:
@@ -99,7 +119,8 @@ def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def page(rows: DataFrame, key: str, offset: int, size: int) -> DataFrame:
-    """A page by key with next_cursor, null at the end."""
-    more = rows.orderBy(key).offset(offset + size).limit(1).agg((F.count("*") > 0).alias("more"))
-    cut = rows.orderBy(key).offset(offset).limit(size)
-    return cut.crossJoin(F.broadcast(more)).withColumn("next_cursor", F.when(F.col("more"), F.lit(offset + size))).drop("more")
+    """A page in the order of a unique key with next_cursor, null at the end. Only the first
+    offset + size + 1 rows are gathered."""
+    first = rows.orderBy(key).limit(offset + size + 1).withColumn("_at", F.row_number().over(Window.orderBy(key)))
+    more = F.max("_at").over(Window.partitionBy()) > offset + size
+    return first.withColumn("next_cursor", F.when(more, F.lit(offset + size))).filter((F.col("_at") > offset) & (F.col("_at") <= offset + size)).drop("_at")

@@ -17,7 +17,7 @@ SIZE, OVERLAP, SEPARATORS = 800, 100, ["\n\n", "\n", ".", " ", ""]
 
 def elements(pages: DataFrame) -> DataFrame:
     """(page_id, seq, type, level, content) of headings and paragraphs in order."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h[1-6]|p)>.*?</(?:h[1-6]|p)>"), F.lit(0))
+    tags = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h[1-6]|p)(?:\s[^>]*)?>.*?</(?:h[1-6]|p)>"), F.lit(0))
     rows = pages.select("page_id", F.posexplode(tags).alias("seq", "tag"))
     level = F.when(F.col("tag").startswith("<h"), F.substring("tag", 3, 1).cast("int"))
     content = F.regexp_replace(F.regexp_replace("tag", "<[^>]*>", " "), r"\s+", " ")

@@ -9,7 +9,7 @@ from docuflux.registry import register
 
 from .text import read
 
-ELEMENTS = r"""x AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h[1-6]|p)>.*?</(?:h[1-6]|p)>') AS tags FROM pages),
+ELEMENTS = r"""x AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h[1-6]|p)(?:\s[^>]*)?>.*?</(?:h[1-6]|p)>') AS tags FROM pages),
   r AS (SELECT page_id, unnest(range(len(tags))) AS seq, unnest(tags) AS tag FROM x),
   e AS (SELECT page_id, seq, CASE WHEN starts_with(tag, '<h') THEN 'heading' ELSE 'paragraph' END AS type,
     CASE WHEN starts_with(tag, '<h') THEN substr(tag, 3, 1)::INT END AS level,
