@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docuflux.operators.groups import by_group
+
 #: Chunk size and overlap in characters, and separators from coarse to fine.
 SIZE, OVERLAP, SEPARATORS = 800, 100, ["\n\n", "\n", ".", " ", ""]
 
@@ -162,24 +164,22 @@ def merged_tables(rows: DataFrame) -> DataFrame:
     """Table fragments joined along next_table_id: doc_id, id, n_parts, content, page_end.
 
     rows: doc_id, id, page_number, content, next_table_id, previous_table_id. A fragment whose
-    predecessor is absent is a head; a chain ends before a fragment that it holds already; a mere
-    cycle has no head and gives nothing. One document's fragments are a group.
+    predecessor is absent is a head; a chain ends before a fragment that it holds already, or at an
+    id that is absent; a mere cycle has no head and gives nothing. A
+    document's fragments are a group.
     """
+    own = rows.select("doc_id", "id", F.col("next_table_id").alias("next"), F.col("previous_table_id").alias("before"), "page_number", "content")
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        by = {int(r.id): r for r in part.itertuples()}
+    def chains(part: list[dict]) -> list[dict]:
+        by = {r["id"]: r for r in part}
         out = []
-        for i, row in by.items():
-            before = row.previous_table_id
-            if not pd.isna(before) and int(before) in by:
-                continue
-            chain, at = [], i
-            while at in by and at not in chain:
-                chain.append(at)
-                after = by[at].next_table_id
-                at = -1 if pd.isna(after) else int(after)
-            texts = [by[c].content for c in chain if by[c].content]
-            out.append((row.doc_id, i, len(chain), "\n".join(texts), int(by[chain[-1]].page_number)))
-        return pd.DataFrame(out, columns=["doc_id", "id", "n_parts", "content", "page_end"])
-
-    return rows.groupBy("doc_id").applyInPandas(walk, "doc_id long, id long, n_parts long, content string, page_end long")
+        for head in (r for r in part if r["before"] not in by):
+            seen, at = [], head["id"]
+            while at in by and at not in seen:
+                seen.append(at)
+                at = by[at]["next"]
+            texts = [by[c]["content"] for c in seen if by[c]["content"]]
+            out.append({"doc_id": head["doc_id"], "id": head["id"], "n_parts": len(seen), "content": "\n".join(texts), "page_end": by[seen[-1]]["page_number"]})
+        return out
+
+    return by_group(own, ["doc_id"], ["id"], chains, "doc_id long, id long, n_parts long, content string, page_end long")

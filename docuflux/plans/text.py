@@ -114,15 +114,14 @@ def f16(spark, sf_dir):
 
 @register(
     "f19_similarity",
-    """SELECT a.doc_id, round(CASE WHEN a.s = b.s THEN 1.0 ELSE 1 - levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)) END, 6) AS similarity
-    FROM (SELECT doc_id, regexp_replace(left(text, 80), '[^ -~]', '', 'g') AS s FROM documents) a
-    JOIN (SELECT doc_id, regexp_replace(left(text, 80), '[^ -~]', '', 'g') AS s FROM documents) b ON b.doc_id = a.doc_id + 1 WHERE a.s <> '' AND b.s <> ''""",
+    """SELECT a.page_id, round(CASE WHEN a.s = b.s THEN 1.0 WHEN a.s = '' OR b.s = '' THEN 0.0 ELSE 1 - levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)) END, 6) AS similarity
+    FROM (SELECT page_id, url AS s FROM pages) a JOIN (SELECT page_id, url AS s FROM pages) b ON b.page_id = a.page_id + 1""",
 )
 def f19(spark, sf_dir):
-    """Each document's first line stretch against that of the next id."""
-    heads = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 80), "[^ -~]", "").alias("s")).filter("s <> ''")
-    other = heads.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("o"))
-    return heads.join(other, "doc_id").select("doc_id", F.round(t.similarity(F.col("s"), F.col("o")), 6).alias("similarity"))
+    """Each page's whole address against that of the next page."""
+    urls = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("s"))
+    other = urls.select((F.col("page_id") - 1).alias("page_id"), F.col("s").alias("o"))
+    return urls.join(other, "page_id").select("page_id", F.round(t.similarity(F.col("s"), F.col("o")), 6).alias("similarity"))
 
 
 @register("f20_replacement", "SELECT doc_id, 0.0::double + (length(text) - length(replace(text, chr(65533), ''))) / greatest(length(text), 1) AS ratio FROM documents")
@@ -133,3 +132,74 @@ def f20(spark, sf_dir):
 @register("f22_words", r"SELECT doc_id, i AS pos, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents))")
 def f22(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.bm25_tokens(F.col("text"))).alias("pos", "word"))
+
+
+#: Words that stand for the list a caller gives.
+COMMON_WORDS = ["the", "and", "of", "que", "der", "et"]
+
+
+@register(
+    "f12_stopwords",
+    f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS w FROM documents)
+    SELECT doc_id, CASE WHEN regexp_matches(text, '[؀-ۿ]') THEN 'Arabic' WHEN regexp_matches(lower(text), '[{t.PORTUGUESE_LETTERS}]') THEN 'European Portuguese'
+      WHEN len(w) >= 4 AND len(list_filter(w, lambda x: list_contains({[*COMMON_WORDS]}, x))) / len(w) > 0.5 THEN 'European Portuguese' ELSE 'English' END AS label FROM w""",
+)
+def f12_stopwords(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", t.language(F.col("text"), COMMON_WORDS).alias("label"))
+
+
+@register("s7_dispatch", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'html' WHEN 3 THEN 'text' WHEN 4 THEN 'text' END AS loader FROM pages")
+def s7(spark, sf_dir):
+    from docuflux.sources import files
+
+    name = F.expr("concat('a/b', page_id, case page_id % 6 when 0 then '.PDF?x=.md' when 1 then '.docx' when 2 then '.htm#.pdf' when 3 then '.txt' when 4 then '.markdown' else '.xlsx' end)")
+    return read(spark, sf_dir, "pages").select("page_id", files.dispatch(t.extension(name)).alias("loader"))
+
+
+@register("s6_pdf_parsers", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pypdf' WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 'opendataloader' ELSE 'pypdf' END END AS parser FROM pages")
+def s6(spark, sf_dir):
+    from docuflux.sources import files
+
+    asked = F.expr("case page_id % 3 when 0 then 'pypdf' when 2 then 'other' end")
+    return read(spark, sf_dir, "pages").select("page_id", files.pdf_parser(asked, F.col("page_id") % 2 == 0).alias("parser"))
+
+
+@register("s9_fallback", "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN md5(text) WHEN doc_id % 2 = 0 THEN 'f' END AS text, CASE WHEN doc_id % 3 = 0 THEN 'primary' WHEN doc_id % 2 = 0 THEN 'fallback' ELSE 'failed' END AS parser FROM documents")
+def s9(spark, sf_dir):
+    from docuflux.sources import files
+
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
+    first = rows.select("path", F.when(F.col("doc_id") % 3 == 0, F.md5("text")).alias("text"))
+    return files.with_fallback(first, rows.select("path", F.when(F.col("doc_id") % 2 == 0, "f").alias("text")))
+
+
+@register("s18_keyed", "SELECT * FROM documents WHERE doc_id IN (3, 50, 77)")
+def s18(spark, sf_dir):
+    return read(spark, sf_dir, "documents").filter(F.col("doc_id").isin(3, 50, 77))
+
+
+#: A tree for each page: a heading, a section with a paragraph and a picture, a table with a blank cell, a header.
+@register("g2_tree_walk", """WITH e AS (SELECT page_id AS doc_id, unnest([0, 1, 2, 3, 4, 5]) AS seq, url FROM pages)
+  SELECT doc_id, seq::INT AS seq, [1, 0, 3, 4, 5, 6][seq + 1]::INT AS id, CASE seq WHEN 0 THEN 2 ELSE 1 END::INT AS page_number, ['heading', 'section', 'paragraph', 'picture', 'table', 'list'][seq + 1] AS type,
+    [url, '', 'inner', 'seen', 'a | b', 'one' || chr(10) || 'two'][seq + 1] AS content, CASE seq WHEN 0 THEN 1 END::INT AS heading_level, CASE seq WHEN 4 THEN 9 END::INT AS next_table_id FROM e""")
+def g2_tree(spark, sf_dir):
+    from docuflux.sources import files
+
+    tree = F.concat(
+        F.lit('{"kids":[{"type":"heading","id":1,"page number":2,"heading level":1,"content":"'), F.col("url"),
+        F.lit('"},{"type":"section","kids":[{"type":"paragraph","id":3,"content":"inner"},{"type":"picture","id":4,"description":"seen"}]},{"id":8,"content":"no type"},{"type":"header","content":"h"},'
+              '{"type":"table","id":5,"next table id":9,"rows":[{"cells":[{"kids":[{"type":"paragraph","content":"a"}]},{"kids":[{"type":"paragraph","content":""}]}]},{"cells":[{"kids":[{"type":"paragraph","content":"b"}]}]}]},'
+              '{"type":"list","id":6,"list items":[{"content":"one"},{"kids":[{"type":"paragraph","content":"two"}]},{"content":""}]}]}'),
+    )
+    trees = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), tree.alias("json"))
+    return files.elements(trees).drop("previous_table_id")
+
+
+@register("g4_table_chains", """SELECT doc_id, 1 AS id, 3 AS n_parts, 'a1' || chr(10) || 'c3' AS content, 3 AS page_end FROM documents UNION ALL SELECT doc_id, 7, 1, 'o7', 7 FROM documents""")
+def g4(spark, sf_dir):
+    """For each document a chain of three (the middle one blank), an orphan and a cycle of two."""
+    from docuflux.operators import structure as st
+
+    rows = [(1, 1, "a1", 2, None), (2, 2, "", 3, 1), (3, 3, "c3", None, 2), (7, 7, "o7", 99, 98), (8, 8, "x", 9, 9), (9, 9, "y", 8, 8)]
+    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(p).cast("long").alias("page_number"), F.lit(c).alias("content"), F.lit(n).cast("long").alias("next_table_id"), F.lit(b).cast("long").alias("previous_table_id")) for i, p, c, n, b in rows])
+    return st.merged_tables(read(spark, sf_dir, "documents").select("doc_id", F.explode(parts).alias("e")).select("doc_id", "e.*"))
