@@ -60,7 +60,7 @@ def k8(spark, sf_dir):
     return st.elements(read(spark, sf_dir, "pages")).groupBy("page_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("text"))
 
 
-@register("k4_json")
+@register("k4_json", f"""WITH {ELEMENTS} SELECT page_id, '{{"number of kids":' || count(*) || ',"kids":[' || string_agg('{{"id":' || seq || ',"type":"' || type || '"' || CASE WHEN level IS NOT NULL THEN ',"heading level":' || level ELSE '' END || ',"content":' || to_json(content) || '}}', ',' ORDER BY seq) || ']}}' AS json FROM e GROUP BY 1""")
 def k4(spark, sf_dir):
     kid = F.struct(F.col("seq").alias("id"), "type", F.col("level").alias("heading level"), "content")
     return st.elements(read(spark, sf_dir, "pages")).groupBy("page_id").agg(F.to_json(F.struct(F.count("*").alias("number of kids"), F.array_sort(F.collect_list(kid)).alias("kids"))).alias("json"))

@@ -4,13 +4,16 @@ from docuflux import registry
 
 from .compare import TINY, same
 
+#: Queries that SQL does not express; tests/test_engine.py holds their operators against plain versions.
+BRUTE = {"f9_mask_pii", "r2_mmr", "g1_chunks", "s4_html_text", "f10_sanitize", "t8_reading_order", "x7_breaker", "g5_two_levels", "r5_hierarchical", "w11_page_edges", "w14_lists", "w15_levels"}
+
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, name):
     df = registry.queries()[name](spark, TINY)
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert df.count() >= 0
+        assert name in BRUTE and df.count() > 0
     else:
         same(df, sql)
 
