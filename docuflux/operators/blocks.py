@@ -200,30 +200,34 @@ def page_edges(objects: DataFrame, page_height: Column, top: bool = True, rounds
     of over EDGE_GAP, and that lies in the outer third. Alike: texts that overlap in place, of one
     size, and equal but for a number that goes up with the page; other kinds in the same place."""
     order = Window.partitionBy(*PAGE).orderBy("seq" if top else F.desc("seq"))
-    digits = F.regexp_replace("text", r"\d+", "0")
-    number = F.regexp_extract("text", r"(\d+)", 1).try_cast("long")
-    rows = objects.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rounds)
-    gap = (F.lag("y0").over(order) - F.col("y1")) if top else (F.col("y0") - F.lag("y1").over(order))
-    rows = rows.withColumn("adjacent", (F.col("k") == 1) | (gap <= EDGE_GAP)).withColumns({"masked": digits, "number": number})
-    fields = F.struct("page", "kind", "x0", "y0", "x1", "y1", "text", "masked", "number", "font_size")
-    grown = None
-    for k in range(1, rounds + 1):
-        own = rows.filter(F.col("k") == k)
-        if grown is not None:  # only pages whose edge holds all that lies outside
-            own = own.filter("adjacent").join(grown.filter(F.col("k") == k - 1).select(*PAGE), PAGE, "left_semi")
-        w = Window.partitionBy("doc_id").orderBy("page").rangeBetween
-        alike = F.lit(False)
-        for step in (1, 2):
-            for at in (step, -step):
-                o = F.first(fields).over(w(at, at))
-                over = (F.least("x1", o["x1"]) > F.greatest("x0", o["x0"])) & (F.least("y1", o["y1"]) > F.greatest("y0", o["y0"]))
-                counted = (F.col("masked") == o["masked"]) & ((o["number"] - F.col("number")) == at)
-                texts = (F.col("kind") == "text") & (o["kind"] == "text") & over & (o["font_size"] == F.col("font_size")) & ((o["text"] == F.col("text")) | F.coalesce(counted, F.lit(False)))
-                place = (F.col("kind") != "text") & (o["kind"] == F.col("kind")) & (o["x0"] == F.col("x0")) & (o["y0"] == F.col("y0")) & (o["x1"] == F.col("x1")) & (o["y1"] == F.col("y1"))
-                alike = alike | F.coalesce(texts | place, F.lit(False))
-        found = own.withColumn("alike", alike).filter("alike").drop("alike")
-        grown = found if grown is None else grown.unionByName(found)
-    return grown.filter(in_zone(top, page_height)).select(*PAGE, "seq")
+    masked, number = F.regexp_replace("text", r"\d+", "0"), F.regexp_extract("text", r"(\d+)", 1).try_cast("long")
+    cut = objects.withColumns({"k": F.row_number().over(order), "masked": masked, "number": number}).filter(F.col("k") <= rounds)
+
+    def alike(a: dict, b: dict, step: int) -> bool:
+        if a["kind"] != b["kind"]:
+            return False
+        if a["kind"] != "text":
+            return all(a[c] == b[c] for c in ("x0", "y0", "x1", "y1"))
+        over = min(a["x1"], b["x1"]) > max(a["x0"], b["x0"]) and min(a["y1"], b["y1"]) > max(a["y0"], b["y0"])
+        counted = a["masked"] == b["masked"] and None not in (a["number"], b["number"]) and b["number"] - a["number"] == step
+        return over and a["font_size"] == b["font_size"] and (a["text"] == b["text"] or counted)
+
+    def grow(rows: list[dict]) -> list[dict]:
+        at = {(r["page"], r["k"]): r for r in rows}
+        edge, found = sorted({r["page"] for r in rows}), []
+        for k in range(1, rounds + 1):
+            here = {}
+            for page in edge:
+                r, outer = at.get((page, k)), at.get((page, k - 1))
+                if r and (k == 1 or (outer["y0"] - r["y1"] if top else r["y0"] - outer["y1"]) <= EDGE_GAP):
+                    here[page] = r
+            edge = [p for p, r in here.items() if any(p + n in here and alike(r, here[p + n], n) for n in (1, -1, 2, -2))]
+            found += [here[p] for p in edge]
+        return found
+
+    fields = ["seq", "kind", "x0", "y0", "x1", "y1", "text", "font_size", "k", "masked", "number"]
+    rows = by_group(cut.select(*PAGE, *fields), ["doc_id"], ["page", "k"], grow, "doc_id long, page long, seq long, y0 double, y1 double")
+    return rows.filter(in_zone(top, page_height)).select(*PAGE, "seq")
 
 
 # lists, levels, ids -----------------------------------------------------------------------------
