@@ -193,3 +193,25 @@ def x3(spark, sf_dir):
 def x2(spark, sf_dir):
     jobs = read(spark, sf_dir, "events").select("event_id", (F.col("value") < 50).alias("ok"), (F.col("event_id") % 3 > 0).alias("again"), (F.col("event_id") % 4).alias("attempts"))
     return ops.attempted(jobs).select("event_id", "status", "attempts")
+
+
+@register("e2_embeddings", r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+  p AS (SELECT doc_id, list_transform(w, lambda x: cast('0x' || substr(md5(x), 1, 4) AS INT) % 16) AS p FROM w), c AS (SELECT doc_id, list_transform(range(16), lambda i: len(list_filter(p, lambda x: x = i))::DOUBLE) AS c FROM p)
+  SELECT doc_id, list_transform(c, lambda x: round(coalesce(x / nullif(sqrt(list_dot_product(c, c)), 0), 0), 6)) AS embedding FROM c""")
+def e2(spark, sf_dir):
+    from docuflux.operators import providers
+
+    embed = providers.EMBEDDERS.make("hash")
+    return read(spark, sf_dir, "documents").select("doc_id", F.transform(embed(F.col("text")), lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@register("t5_reranked", f"""WITH q AS (SELECT d.doc_id AS id, b.item_id AS query_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank, {TOKENS('b.text')} AS asked, {TOKENS('d.text')} AS said FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+  s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(said, asked)) / greatest(len(asked), 1) DESC, rank) AS new_rank FROM q) SELECT query_id, id, new_rank FROM s WHERE new_rank <= 3""")
+def t5(spark, sf_dir):
+    from docuflux.operators import providers
+
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    docs = read(spark, sf_dir, "documents").join(items, F.col("doc_id") % 40 == F.col("query_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    ranked = docs.select("query_id", F.col("doc_id").alias("id"), rank.alias("rank"), "question", F.col("text").alias("page_content"))
+    return providers.RERANKERS.make("overlap")(ranked, 3).select("query_id", "id", "new_rank")

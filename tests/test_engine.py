@@ -268,3 +268,33 @@ def test_numbers_by_block(spark):
 
 def test_script_and_html():
     assert structure.html_text("<div>a<style>p{}</style><noscript>n</noscript> <b>b</b>&lt;</div>") == "a b <"
+
+
+def test_registries_and_options(spark):
+    from docuflux.operators import providers
+
+    assert providers.EMBEDDERS.make(" Test ") and providers.RERANKERS.make("none")
+    with pytest.raises(ValueError, match="unknown embedder"):
+        providers.EMBEDDERS.make("other")
+    got = providers.Options.from_text("--chunk-size=300", "sanitize", "pages=1-3", "furniture=false")
+    assert (got.chunk_size, got.sanitize, got.pages, got.furniture, got.parser) == (300, True, "1-3", False, "auto")
+    with pytest.raises(ValueError, match="unknown option"):
+        providers.Options.from_text("colour=red")
+    said = spark.createDataFrame([("when do gates open", "The park is large. All gates open at nine. Dogs stay out.")], "q string, c string")
+    assert said.select(providers.MODELS.make("fake")(F.col("q"), F.col("c")).alias("a")).first().a == "All gates open at nine."
+
+
+def test_queue_retries_until_done(spark, tmp_path):
+    from docuflux.streaming import queue
+
+    rows = [(f"j{i}", "url", name, ".md", f"h{i}", 0, datetime(2024, 1, 1, 0, 0, i)) for i, name in enumerate(["good", "flaky", "bad", "wrong", "good"])]
+    folder, results = str(tmp_path / "jobs"), str(tmp_path / "results")
+    spark.createDataFrame(rows, queue.JOB).coalesce(1).write.json(folder)
+
+    def work(jobs):
+        ok = (F.col("file_name") == "good") | ((F.col("file_name") == "flaky") & (F.col("attempts") == 1))
+        return jobs.withColumns({"ok": ok, "again": F.col("file_name") != "wrong"})
+
+    queue.run(spark, folder, work, results, str(tmp_path / "checkpoint"))
+    got = {r.job: (r.file_name, r.status, r.attempts) for r in queue.outcome(spark, results).collect()}
+    assert got == {"j0": ("good", "done", 1), "j1": ("flaky", "done", 2), "j2": ("bad", "failed", 3), "j3": ("wrong", "failed", 1), "j4": ("good", "skipped", 0)}
