@@ -49,8 +49,8 @@ TEMPLATES = [
 ]
 
 
-#: Words that make poor anchors; they are taken last.
-COMMON = set("a an and any are be by for have in is it may not of on or that the this to under was with you".split())
+#: Words that make poor leads, as do those of up to three letters, which other languages have too; they are taken last.
+COMMON = set("a all an and any are be been by can do for from have if in is it may more must no not of on one only or other our shall should some such than that the their them then there these they this those to under was were when where whether which will with without would you your".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -76,7 +76,7 @@ def leads(least: float, templates=TEMPLATES) -> list[tuple[str, int, int]]:
         need = math.ceil(least / (2 - least) * len(grams) - 1e-9)
         while len(left := [g for g in grams if not chosen & set(g)]) >= max(1, need):
             counts = {w: sum(w in g for g in left) for g in left for w in g}
-            chosen.add(max(counts, key=lambda w: (w not in COMMON, counts[w], len(w), w)))
+            chosen.add(max(counts, key=lambda w: (w not in COMMON and len(w) > 3, w not in COMMON, counts[w], len(w), w)))
     return [(w, i, q) for i, (_, text) in enumerate(templates) for q, w in enumerate(words_of(text)) if w in chosen]
 
 
