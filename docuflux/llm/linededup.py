@@ -25,6 +25,8 @@ from .common import Workspace, arrow_map, maybe_broadcast, text_slices
 
 #: Words of a hashed run, and words of a stretch that is removed, at least.
 MIN_WORDS, LEAST = 8, 25
+#: Digests are grouped in so many passes, each with its part of them, so that no more than that part is shuffled at a time.
+PASSES = 2
 ENDS = np.isin(np.arange(256), list(b".!?,;:"))
 FIELDS = ["doc_id", "row", "at", "words", "start", "end", "h1", "h2"]
 TYPES = ", ".join(f"{c} long" for c in FIELDS)
@@ -82,10 +84,14 @@ def repeated_stretches(rows: DataFrame, min_words: int = MIN_WORDS, least: int =
     own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
     found = ws.save(arrow_map(own, _worker(min_words), TYPES), "runs")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
-    firsts = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("seen")).filter("seen > 1").drop("seen")
     # repeats that overlap the first occurrence would take words of the copy that stays
     apart = (F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + F.col("words"))
-    gone = ws.save(found.join(firsts, ["h1", "h2"]).filter(apart).select("doc_id", "row", "at", "words", "start", "end", F.col("first.doc_id").alias("kept")), "gone")
+    gone = None
+    for i in range(PASSES):
+        part = found.filter(F.pmod(F.col("h1"), F.lit(PASSES)) == i)
+        firsts = part.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("seen")).filter("seen > 1").drop("seen")
+        again = ws.save(part.join(firsts, ["h1", "h2"]).filter(apart).select("doc_id", "row", "at", "words", "start", "end", F.col("first.doc_id").alias("kept")), f"gone{i}")
+        gone = again if gone is None else gone.unionByName(again)
     ws.drop("runs")
     order = Window.partitionBy("row").orderBy("at", "words").rowsBetween(Window.unboundedPreceding, -1)
     fresh = (F.col("at") > F.coalesce(F.max(F.col("at") + F.col("words")).over(order), F.lit(-1))).cast("int")
