@@ -89,10 +89,11 @@ def repeated_stretches(rows: DataFrame, min_words: int = MIN_WORDS, least: int =
     gone = None
     for i in range(PASSES):
         part = found.filter(F.pmod(F.col("h1"), F.lit(PASSES)) == i)
-        firsts = part.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("seen")).filter("seen > 1").drop("seen")
+        # written, so that the join deals both sides out anew and can split a digest that very many rows have
+        firsts = ws.save(part.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("seen")).filter("seen > 1").drop("seen"), f"firsts{i}")
         again = ws.save(part.join(firsts, ["h1", "h2"]).filter(apart).select("doc_id", "row", "at", "words", "start", "end", F.col("first.doc_id").alias("kept")), f"gone{i}")
         gone = again if gone is None else gone.unionByName(again)
-    ws.drop("runs")
+    ws.drop("runs", *[f"firsts{i}" for i in range(PASSES)])
     order = Window.partitionBy("row").orderBy("at", "words").rowsBetween(Window.unboundedPreceding, -1)
     fresh = (F.col("at") > F.coalesce(F.max(F.col("at") + F.col("words")).over(order), F.lit(-1))).cast("int")
     here = Window.partitionBy("row").orderBy("at", "words").rowsBetween(Window.unboundedPreceding, 0)
