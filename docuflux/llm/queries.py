@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, licenses, linededup, quality, secrets, sharding, toxicity, warc
+from . import bpe, decontam, jaccard_join, licenses, linededup, quality, secrets, sharding, spelling, toxicity, vectorcodes, warc
 from .common import table
 from .sql import ORACLES
 
@@ -69,8 +69,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectorcodes.coded(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.lit(books.text() if books else "").cast("binary"), 256)
+    return vectorcodes.with_label_error(codes).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_secret_scan, op5_bpe, op6_line_dedup, op7_quality_rules, op8_warc_fixity, op9_decontamination, op10_license_scan]
+    own = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_secret_scan, op5_bpe, op6_line_dedup, op7_quality_rules, op8_warc_fixity, op9_decontamination, op10_license_scan, op11_vector_codes, op12_spelling_variants]
     return {f.__name__: f for f in own}
 
 

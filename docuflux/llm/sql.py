@@ -6,6 +6,7 @@ from .licenses import LEAST, TEMPLATES, leads
 from .linededup import LEAST as LEAST_WORDS
 from .linededup import MIN_WORDS
 from .quality import DELTA, RISK, RULES
+from .spelling import LETTERS, ONE_IN, RATIO, TIMES
 from .warc import VOLUME
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -151,18 +152,67 @@ SELECT page_id, volume, row_number() OVER w - 1 AS seq, cast(sum(length) OVER w
 FROM l WINDOW w AS (PARTITION BY volume ORDER BY page_id)"""
 
 
+#: CRC-32 goes byte by byte over a table made from its polynomial; `crc(h)` is that of hexadecimal bytes.
+CRC_TABLE = "tbl AS (SELECT list(c ORDER BY n) AS tbl FROM (SELECT n, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) AS c FROM range(256) r(n)))"
+
+
+def crc(h: str) -> str:
+    return rf"""xor(list_reduce(list_transform(range(length({h}) // 2), lambda i: cast('0x' || substr({h}, 2 * i + 1, 2) AS bigint)),
+  lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"""
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain Lloyd rounds: every part against every entry."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT r, q, arg_min(e, (d, e)) AS e, min(d) AS d FROM
+  (SELECT p.r, q, c.e, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{t} c USING (q)) GROUP BY 1, 2)""")
+        if t < rounds:
+            steps.append(f"""c{t + 1} AS MATERIALIZED (SELECT q, e, list(coalesce(n.x, o.x) ORDER BY j) AS v FROM (SELECT q, e, unnest(v) AS x, unnest(range(len(v))) AS j FROM c{t}) o
+  LEFT JOIN (SELECT q, e, j, cast((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS bigint) AS x FROM
+    (SELECT q, e, unnest(v) AS x, unnest(range(len(v))) AS j FROM a{t} JOIN p USING (r, q)) GROUP BY 1, 2, 3) n USING (q, e, j) GROUP BY 1, 2)""")
+    return rf"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x AS double)) AS bigint)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, q, v[q * (len(v) // {parts}) + 1:(q + 1) * (len(v) // {parts})] AS v FROM k, range({parts}) t(q)),
+c0 AS (SELECT q, r - 1 AS e, v FROM p WHERE r <= {entries}),
+{", ".join(steps)},
+books AS (SELECT sha256(string_agg(x, ',' ORDER BY q, e, j)) AS codebooks_sha256 FROM (SELECT q, e, unnest(v) AS x, unnest(range(len(v))) AS j FROM c{rounds})),
+coded AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY q) AS code, cast(sum(d) AS bigint) AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, codebooks_sha256 FROM coded JOIN k USING (r), books"""
+
+
+def spelling() -> str:
+    """Near words share a pattern with one letter left open."""
+    low = LOWER.format("text")
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({low}, '[a-zA-ZÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= {LETTERS} GROUP BY 1, 2),
+hashed AS (SELECT run, n, {crc("x")} AS h FROM (SELECT run, n, hex(encode(coalesce(cast(doc_id AS varchar), '') || ':' || run)) AS x FROM runs), tbl),
+w AS MATERIALIZED (SELECT word, sum(n) AS n FROM (SELECT CASE WHEN h % {ONE_IN} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= {LETTERS} GROUP BY 1 HAVING sum(n) >= {TIMES}),
+r AS MATERIALIZED (SELECT word, left(word, i) || '*' || substr(word, i + 2) AS pattern FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+x AS MATERIALIZED (SELECT word, left(word, i) || '*' || substr(word, i + 1) AS pattern FROM (SELECT word, unnest(range(length(word) + 1)) AS i FROM w)),
+near AS MATERIALIZED (SELECT a.word, b.word AS near FROM r a JOIN r b USING (pattern) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word FROM x a JOIN r b USING (pattern) UNION SELECT b.word, a.word FROM x a JOIN r b USING (pattern)),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(near, (-w.n, near)) AS near, max(w.n) AS near_n FROM near JOIN w ON w.word = near.near GROUP BY 1),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {RATIO} * w.n THEN near END AS form, CASE WHEN near_n >= {RATIO} * w.n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+way AS (SELECT word, form AS root, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, step) AS root FROM way GROUP BY 1)
+SELECT word, form, coalesce(root, word) AS root, cast(n AS bigint) AS n, n_near, cast(form_n AS bigint) AS form_n FROM f LEFT JOIN last USING (word)"""
+
+
 def sharding(shards: int = 16) -> str:
     """Rendezvous hashing by the MD5 of the id and the shard, all weights 1; slots by the MD5 of the
-    id. CRC-32 goes byte by byte over a table made from its polynomial."""
+    id."""
     unit = "(cast('0x' || substr(md5(name || ':' || s), 1, 13) AS bigint) + 0.5) / 4503599627370496.0"
     return rf"""
-WITH tbl AS (SELECT list(c ORDER BY n) AS tbl FROM (SELECT n, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) AS c FROM range(256) r(n))),
+WITH {CRC_TABLE},
 d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, cast(doc_id AS varchar) AS name FROM documents),
-z AS (SELECT h, list_reduce(list_transform(range(length(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) AS bigint)),
-  lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1]), 4294967295) AS c FROM (SELECT DISTINCT h FROM d), tbl),
+z AS (SELECT h, {crc("h")} AS c FROM (SELECT DISTINCT h FROM d), tbl),
 c AS (SELECT doc_id, s, -ln({unit}) AS score FROM d, range({shards + 1}) r(s)),
 b AS (SELECT doc_id, cast(arg_min(s, score) FILTER (s < {shards}) AS int) AS shard, cast(arg_min(s, score) AS int) AS grown_shard FROM c GROUP BY 1)
-SELECT doc_id, length(h) // 2 + 1 AS size, xor(c, 4294967295) AS text_crc32, 'key' AS law, shard,
+SELECT doc_id, length(h) // 2 + 1 AS size, c AS text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY md5(name), doc_id) - 1 AS slot, grown_shard FROM d JOIN z USING (h) JOIN b USING (doc_id)"""
 
 
@@ -174,4 +224,6 @@ ORACLES = {
     "op6_line_dedup": line_dedup(),
     "op9_decontamination": decontamination(),
     "op10_license_scan": license_scan(),
+    "op11_vector_codes": vector_codes(),
+    "op12_spelling_variants": spelling(),
 }
