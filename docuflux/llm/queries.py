@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, licenses, linededup, quality, secrets, sharding, spelling, toxicity, vectorcodes, warc
+from . import bpe, decontam, jaccard_join, licenses, linededup, quality, quality_net, secrets, sharding, spelling, toxicity, vectorcodes, warc
 from .common import table
 from .sql import ORACLES
 
@@ -79,8 +79,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_secret_scan, op5_bpe, op6_line_dedup, op7_quality_rules, op8_warc_fixity, op9_decontamination, op10_license_scan, op11_vector_codes, op12_spelling_variants]
+    own = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_secret_scan, op5_bpe, op6_line_dedup, op7_quality_rules, op8_warc_fixity, op9_decontamination, op10_license_scan, op11_vector_codes, op12_spelling_variants, op13_quality_classifier]
     return {f.__name__: f for f in own}
 
 
