@@ -105,7 +105,7 @@ def found_in(text: Column, least: float, templates) -> Column:
     lead = F.lit("(?i)(?<![A-Za-z0-9])(?:" + "|".join(names) + ")(?![A-Za-z0-9])")
     table = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("g")) for i, name, _, g in known])
     at = F.create_map(*[x for w in names for x in (F.lit(w), F.array(*[F.struct(F.lit(i).alias("template"), F.lit(q).alias("q"), F.lit(known[i][2]).alias("size")) for v, i, q in some if v == w]))])
-    smallest, largest = math.ceil(low * min(len(g) for *_, g in known) - 1e-9), max(len(g) for *_, g in known) / low
+    smallest = math.ceil(low * min(len(g) for *_, g in known) - 1e-9)
 
     def dice(g: Column, t: Column) -> Column:
         return 2 * F.size(F.array_intersect(g, t["g"])) / (F.size(g) + t["n"])
@@ -136,7 +136,7 @@ def found_in(text: Column, least: float, templates) -> Column:
     words = lambda x: F.split(normal(x), " ")
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("unit"), x.alias("x"))), lambda u: F.rlike(u["x"], lead))
     by_line = F.flatten(F.transform(lines, lambda u: let(words(u["x"]), lambda w: best(u["unit"], w))))
-    whole = lambda w: F.when(F.contains(text, F.lit("\n")) & (F.size(w) <= 4 * largest), best(F.lit(-1), w)).otherwise(F.array().cast(KIND))
+    whole = lambda w: F.when(F.contains(text, F.lit("\n")), best(F.lit(-1), w)).otherwise(F.array().cast(KIND))
     of_text = let(words(text), lambda w: F.concat(whole(w), windows(w)))
     return F.when(F.rlike(text, lead), F.concat(by_line, of_text)).otherwise(F.array().cast(KIND))
 

@@ -374,9 +374,10 @@ def test_licenses(spark, edge, none):
         (1, "x\nLICENSED under the apache license; version 2.0\ny"), (2, "Released under the MIT License!"), (3, None), (4, "_Released_under_the_MIT_License_"),
         (5, "Copyright 2024 Foo Inc. Licensed under the Apache License, Version 2.0. See NOTICE."), (6, "# a tool\n" * 9 + wrap(gpl, 7) + "\nmore lines\n" * 9),
         (7, "about\n" * 20 + wrap(mit, 9) + "\nint main" * 300), (8, "words of no licence " * 50),
+        (9, wrap(" ".join([mit] * 12), 9)),  # many words, few distinct bigrams
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit(1))
-    want = {1: "Apache-2.0", 2: "MIT", 3: None, 4: "MIT", 5: "Apache-2.0", 6: "GPL-3.0-or-later", 7: "MIT", 8: None}
+    want = {1: "Apache-2.0", 2: "MIT", 3: None, 4: "MIT", 5: "Apache-2.0", 6: "GPL-3.0-or-later", 7: "MIT", 8: None, 9: "MIT"}
     for given in (df, df.repartition(4)):
         got = licenses.scan(given).collect()
         assert {r.doc_id: r.best_license for r in got} == want
