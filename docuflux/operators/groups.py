@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
-from itertools import groupby
-from operator import itemgetter
+from itertools import groupby, islice
+from operator import attrgetter, itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,3 +41,53 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], function: Calla
             yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in columns} for r in done], schema=arrow)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, kind)
+
+
+def stepped(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Callable[..., tuple]], extra: str) -> DataFrame:
+    """rows with the columns `extra` added: start() begins a group of equal keys and gives a function
+    that takes a row's `columns`, in order, and returns its values of `extra`.
+
+    A worker holds a batch and what the function keeps, whatever a group's size; the other columns
+    pass through as Arrow has them.
+    """
+    ship(rows.sparkSession)
+    kind, places = T.StructType.fromDDL(extra), [rows.columns.index(c) for c in keys]
+    own = [rows.columns.index(c) for c in columns]
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = to_arrow_schema(kind)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for batch in batches:
+            groups = zip(*[batch.column(i).to_pylist() for i in places], strict=True)
+            values = zip(*[batch.column(i).to_pylist() for i in own], strict=True)
+            out = []
+            for key, value in zip(groups, values, strict=True):
+                if step is None or key != now:
+                    now, step = key, start()
+                out.append(step(*value))
+            new = [pa.array(column, field.type) for column, field in zip(zip(*out, strict=True), added, strict=True)] if out else [pa.array([], f.type) for f in added]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added.names])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, T.StructType([*rows.schema.fields, *kind.fields]))
+
+
+def flowed(rows: DataFrame, keys: list[str], order: list[str], function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """function(rows of a group as named tuples, in order, one by one) for each group of equal keys; the
+    tuples that it yields, in the order of `schema`, are the result. A worker holds a batch and what
+    the function keeps, whatever a group's size."""
+    ship(rows.sparkSession)
+    kind, columns = T.StructType.fromDDL(schema), list(rows.columns)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(kind)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = namedtuple("Row", columns)
+        every = (row(*values) for batch in batches for values in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        made = (out for _, group in groupby(every, key=attrgetter(*keys)) for out in function(group))
+        while done := list(islice(made, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, kind)

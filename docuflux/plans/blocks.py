@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docuflux.operators import blocks as b
 from docuflux.operators import layout as lay
+from docuflux.operators import paragraphs as pg
 from docuflux.registry import register
 
 from .layout import OBJECTS, objects
@@ -100,13 +102,35 @@ PARAGRAPHS = f"""{LINES}, li AS (SELECT doc_id, page, max(seq) AS seq, min(x0) A
   pa AS (SELECT *, sum((alignment IS NULL)::INT) OVER {P} AS paragraph FROM al)"""
 
 
-@register("w8_paragraphs", f"WITH {PARAGRAPHS} SELECT doc_id, page, seq, alignment, paragraph FROM pa")
+@register("w8_aligned_runs", f"WITH {PARAGRAPHS} SELECT doc_id, page, seq, alignment, paragraph FROM pa")
 def w8(spark, sf_dir):
     rows = b.text_lines(chunks(spark, sf_dir))
     lines = rows.groupBy("doc_id", "page", "line").agg(F.max("seq").alias("seq"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1", "font_size")]).drop("line")
     return b.paragraphs(lines).select("doc_id", "page", "seq", "alignment", "paragraph")
 
 
+def set_lines(spark, sf_dir):
+    """Whole documents as set lines: each of their lines is cut into rows of 60 characters, eight to a
+    page; a document is set justified (every other first row moved in), left, centred or right, by
+    its id, and with or without room between its lines."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "whole"))
+    i, p, way = F.col("i"), F.col("p"), F.col("doc_id") % 4
+    cut = rows.select("doc_id", "p", "whole", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("whole"), F.lit(1)) - 1) / 60).cast("int"))).alias("i"))
+    page = Window.partitionBy("doc_id", "page").orderBy("p", "i")
+    flat = cut.select("doc_id", F.floor(p / 8).cast("long").alias("page"), "p", "i", F.trim(F.expr("substring(whole, i * 60 + 1, 60)")).alias("text")).withColumn("seq", F.row_number().over(page).cast("long"))
+    wide = F.when((way == 0) & (F.length("text") > 55), 300.0).otherwise(F.length("text") * 5.0)
+    left = F.when(way == 2, 200.0 - wide / 2).when(way == 3, 350.0 - wide).otherwise(50.0 + F.when((way == 0) & (i == 0) & (p % 2 == 0), 20.0).otherwise(0.0))
+    right = F.when((way == 0) & (i == 0) & (p % 2 == 0), F.least(left + wide, F.lit(350.0))).otherwise(left + wide)
+    y0 = 20000.0 - F.col("seq") * 14 - F.when(F.col("doc_id") % 3 > 0, p % 8 * 10).otherwise(0)
+    return flat.select("doc_id", "page", "seq", left.alias("x0"), y0.alias("y0"), right.alias("x1"), (y0 + 10).alias("y1"), "text", (10.0 + p % 8 % 7 % 2).alias("font_size"), F.lit(400.0).alias("font_weight"), F.lit("c").alias("color"))
+
+
+@register("w8_paragraphs")
+def w8_paragraphs(spark, sf_dir):
+    """The nine passes over all documents; a plain version is in the tests."""
+    return pg.detected(set_lines(spark, sf_dir))
+
+
 BOOST = """c{n} AS (SELECT doc_id, page, {v}, count(*) AS n FROM o GROUP BY ALL), m{n} AS (SELECT *, coalesce(arg_min({v}, (-n, {v})) FILTER ({v} BETWEEN {lo} AND {hi}) OVER (PARTITION BY doc_id, page), 0) AS m FROM c{n}),
   b{n} AS (SELECT doc_id, page, {v}, row_number() OVER (PARTITION BY doc_id, page ORDER BY {v}) / count(*) OVER (PARTITION BY doc_id, page) AS boost FROM m{n} WHERE {v} > m AND {v} BETWEEN {a} AND {z})"""
 RARE = BOOST.format(n=1, v="font_size", lo=10, hi=13, a=10, z=32) + ",\n  " + BOOST.format(n=2, v="font_weight", lo=395, hi=405, a=400, z=900)
