@@ -30,10 +30,12 @@ def bm25(docs: DataFrame, queries: DataFrame, id_: str = "doc_id") -> DataFrame:
     idf = df.filter("term is not null").crossJoin(F.broadcast(sizes)).select("term", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
     asked = queries.select("query_id", F.explode(t.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = small(asked.select("term").distinct())
+    some = asked.select("term").distinct()
+    terms = small(some)
+    few = terms is not some  # then the idf of these terms are few as well
     idf = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
     tf = words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    hits = tf.join(small(idf), "term").join(small(asked), "term")
+    hits = tf.join(F.broadcast(idf) if few else idf, "term").join(small(asked), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 

@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docuflux.functions import text as t
-from docuflux.operators import ingest
+from docuflux.operators import index, ingest
+from docuflux.operators import versions as vs
 from docuflux.registry import register
+from docuflux.session import shared_folder
 
+from .retrieval import BM25_SQL, asked
 from .text import STRIP, read
 
 ALTERED = "CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '^[^\\n]*', 'Changed line of ' || doc_id) ELSE text END"
@@ -75,3 +78,38 @@ def k3(spark, sf_dir):
     """The latest state of each user, from two halves of the events."""
     ev = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("version"))
     return ingest.upserted(ev.filter("event_id % 2 = 0"), ev.filter("event_id % 2 = 1"), ["user_id"], "version").drop("version")
+
+
+def texts(spark, sf_dir):
+    """All documents before and after the change."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = F.regexp_replace(F.col("text"), F.lit(r"^[^\n]*"), F.concat(F.lit("Changed line of "), F.col("doc_id")))
+    return docs, docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, changed).otherwise(F.col("text")))
+
+
+@register("a2_index_search", f"WITH {BM25_SQL.replace('FROM documents)', f'FROM (SELECT doc_id, {ALTERED} AS text FROM documents WHERE doc_id % 7 <> 3))')} SELECT query_id, id, round(score, 6) AS score, rank FROM br WHERE rank <= 10")
+def a2_index(spark, sf_dir):
+    """An index of all documents; then every third one changes and every seventh goes."""
+    old, new = texts(spark, sf_dir)
+    store = vs.Versions(spark, shared_folder(spark, "index"), 16)
+    index.update(store, old.select(F.col("doc_id").alias("id"), "text"))
+    changed = new.filter("doc_id % 3 = 0 and doc_id % 7 <> 3").select(F.col("doc_id").alias("id"), "text")
+    index.update(store, changed, new.filter("doc_id % 7 = 3").select(F.col("doc_id").alias("id")))
+    return index.search(store, asked(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def stored(docs, status):
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "c")).select("doc_id", "place", t.strip(F.col("c")).alias("text")).filter("text <> ''")
+    return lines.select("doc_id", "place", F.md5("text").alias("chunk_hash"), "text"), docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("content_hash"), F.lit(status).alias("status"))
+
+
+@register("k3_chunk_sets", rf"""WITH v AS (SELECT doc_id, text AS was, {ALTERED} AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM v), c AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT md5({STRIP('c')}), ',' ORDER BY md5({STRIP('c')})) AS hashes FROM l WHERE {STRIP('c')} <> '' GROUP BY 1)
+  SELECT doc_id, md5(coalesce(text, '')) AS content_hash, CASE WHEN doc_id % 3 = 0 THEN 'replaced' ELSE 'ingested' END AS status, coalesce(n, 0)::INT AS n_chunks, md5(coalesce(hashes, '')) AS chunk_hashes FROM v LEFT JOIN c USING (doc_id)""")
+def k3_sets(spark, sf_dir):
+    """All documents are stored; then those that changed take the place of their old chunk sets."""
+    old, new = texts(spark, sf_dir)
+    store = vs.Versions(spark, shared_folder(spark, "chunks"), 16)
+    vs.replace_documents(store, *stored(old, "ingested"))
+    vs.replace_documents(store, *stored(new.filter("doc_id % 3 = 0"), "replaced"))
+    sets = store.read("chunks", vs.CHUNKS).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("chunk_hash")), ",").alias("hashes"))
+    return store.read("states", vs.STATES).join(sets, "doc_id", "left").select("doc_id", "content_hash", "status", "n_chunks", F.md5(F.coalesce("hashes", F.lit(""))).alias("chunk_hashes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,3 +32,15 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(here.parent).as_posix())
     context.addPyFile(str(path))
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for a job's tables in the one that spark.checkpoint.dir names, which executors
+    share; where that is unset, as in tests on one machine, a temporary one is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+        base = tempfile.mkdtemp(prefix="docuflux-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/docuflux/{label}-{uuid.uuid4().hex[:12]}"
