@@ -42,8 +42,10 @@ def rate_windows(calls: DataFrame, key: str, ts: str = "ts", width: str = WINDOW
 
 
 def sessions(calls: DataFrame, key: str, ts: str = "ts", gap: str = GAP) -> DataFrame:
-    """Stretches of a key's activity that end after a gap: state with a sliding time to live."""
-    out = calls.groupBy(F.col(key), F.session_window(ts, gap)).agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"))
+    """Stretches of a key's activity that end after a gap: state with a sliding time to live. What
+    comes just as the time is over begins a new one, so windows are a microsecond shorter than the gap."""
+    length = F.expr(f"cast('{gap}' AS interval) - cast('1 microsecond' AS interval)")
+    out = calls.groupBy(F.col(key), F.session_window(ts, length)).agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"))
     return out.select(key, F.col("session_window.start").alias("start"), "last_ts", "n")
 
 
