@@ -3,8 +3,9 @@ space, as passages are also copied into the middle of lines. From each unit the
 units with `min_words` words is hashed, so that short lines and sentences count together with
 their neighbours. Runs are normalised (A-Z lower-cased, white space to one space) and digested;
 digests are grouped over the whole corpus; the occurrence that ranks first (doc_id, then row, then
-place) stays. Repeated runs that touch or overlap make a stretch; stretches of `least` words or
-more are removed. Shorter ones, which are met by chance or are set phrases, stay.
+place) stays, also where other repeats overlap it: what repeats cover and no first occurrence does
+makes stretches, and those of `least` words or more are removed. Shorter ones, which are met by
+chance or are set phrases, stay.
 
 Passages whose own units are all cut elsewhere in the other text (one long clause with other words
 on the same line) are no units and are not found.
@@ -12,14 +13,16 @@ on the same line) are no units and are not found.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Workspace, arrow_map, maybe_broadcast, text_slices
 
@@ -84,24 +87,76 @@ def repeated_stretches(rows: DataFrame, min_words: int = MIN_WORDS, least: int =
     own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
     found = ws.save(arrow_map(own, _worker(min_words), TYPES), "runs")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
+    first = (F.col("row") == F.col("first.row")) & (F.col("at") == F.col("first.at"))
     # repeats that overlap the first occurrence would take words of the copy that stays
     apart = (F.col("row") != F.col("first.row")) | (F.col("at") >= F.col("first.at") + F.col("words"))
-    gone = None
+    met = None
     for i in range(PASSES):
         part = found.filter(F.pmod(F.col("h1"), F.lit(PASSES)) == i)
         # written, so that the join deals both sides out anew and can split a digest that very many rows have
         firsts = ws.save(part.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("seen")).filter("seen > 1").drop("seen"), f"firsts{i}")
-        again = ws.save(part.join(firsts, ["h1", "h2"]).filter(apart).select("doc_id", "row", "at", "words", "start", "end", F.col("first.doc_id").alias("kept")), f"gone{i}")
-        gone = again if gone is None else gone.unionByName(again)
+        again = part.join(firsts, ["h1", "h2"]).filter(apart | first)
+        again = ws.save(again.select("doc_id", "row", "at", "words", "start", "end", F.when(~first, F.col("first.doc_id")).alias("kept"), first.alias("stays")), f"met{i}")
+        met = again if met is None else met.unionByName(again)
     ws.drop("runs", *[f"firsts{i}" for i in range(PASSES)])
-    order = Window.partitionBy("row").orderBy("at", "words").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = (F.col("at") > F.coalesce(F.max(F.col("at") + F.col("words")).over(order), F.lit(-1))).cast("int")
-    here = Window.partitionBy("row").orderBy("at", "words").rowsBetween(Window.unboundedPreceding, 0)
-    stretch = gone.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(here))
-    whole = stretch.groupBy("row", "doc_id", "stretch").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("words")) - F.min("at")).alias("words"), F.collect_set("kept").alias("kept_doc_ids")
-    )
-    return whole.filter(F.col("words") >= least).drop("stretch")
+    # a row that only keeps loses nothing
+    losing = met.groupBy("row").agg(F.bool_and("stays").alias("whole")).filter("not whole").select("row")
+    dealt = met.join(losing, "row", "left_semi").repartition("row").sortWithinPartitions("row", "at", "words")
+    return arrow_map(dealt, _cutter(least), "doc_id long, row long, start long, end long, words long, kept_doc_ids array<long>")
+
+
+def united(spans: list[tuple]) -> list[list]:
+    """Spans (at, upto, start, end) in order, those that touch or overlap as one."""
+    out: list[list] = []
+    for at, upto, start, end in spans:
+        if out and at <= out[-1][1]:
+            if upto > out[-1][1]:
+                out[-1][1], out[-1][3] = upto, end
+        else:
+            out.append([at, upto, start, end])
+    return out
+
+
+def cuts(runs: list[tuple], least: int) -> list[tuple]:
+    """(start, end, words, keepers) of a row's stretches to remove: what repeats cover and no first
+    occurrence does. runs: at, words, start, end, kept, stays, by at. Beside a first occurrence a
+    stretch leaves one character of the space before it, and takes the space behind it."""
+    spans = lambda stays: united([(at, at + n, s, e) for at, n, s, e, _, own in runs if own == stays])
+    held, out, k = spans(True), [], 0
+    for at, upto, start, end in spans(False):
+        while k < len(held) and held[k][1] < at:
+            k += 1
+        j = k
+        while j < len(held) and held[j][0] <= upto:
+            if held[j][0] > at:
+                out.append((at, held[j][0], start, held[j][2] - 1))
+            at, start = held[j][1], held[j][3]
+            j += 1
+        if at < upto:
+            out.append((at, upto, start, end))
+    pieces = [p for p in out if p[1] - p[0] >= least]
+    keepers: list[set] = [set() for _ in pieces]
+    begins = [p[0] for p in pieces]
+    for at, n, _, _, kept, own in runs:
+        if not own:
+            for i in range(max(0, bisect_right(begins, at) - 1), bisect_left(begins, at + n)):
+                if pieces[i][1] > at:
+                    keepers[i].add(kept)
+    return [(s, e, b - a, sorted(own, key=lambda x: (x is None, x))) for (a, b, s, e), own in zip(pieces, keepers, strict=True)]
+
+
+def _cutter(least: int):
+    names = ["row", "doc_id", "at", "words", "start", "end", "kept", "stays"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row's runs are as many as its units at most
+        rows = (r for b in batches for r in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in names], strict=True))
+        made = ((doc, row, *cut) for (row, doc), own in groupby(rows, key=itemgetter(0, 1)) for cut in cuts([r[2:] for r in own], least))
+        while part := list(islice(made, 4096)):
+            doc, row, start, end, words, kept = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (doc, row, start, end, words)], pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "row", "start", "end", "words", "kept_doc_ids"])
+
+    return work
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, least: int = LEAST) -> DataFrame:

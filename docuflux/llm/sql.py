@@ -91,15 +91,16 @@ v AS (SELECT doc_id, i, cast(before + length(piece) - length(regexp_replace(piec
 k AS (SELECT doc_id, i, s, e, unit, len(string_split(unit, ' ')) AS n FROM v WHERE unit <> ''),
 c AS MATERIALIZED (SELECT *, cast(sum(n) OVER w AS bigint) AS upto, cast(sum(n) OVER w - n AS bigint) AS pos, row_number() OVER w AS place FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 l AS MATERIALIZED (SELECT doc_id, list(unit ORDER BY place) AS units FROM c GROUP BY 1),
-r AS (SELECT x.doc_id, x.pos, x.s, y.e, y.upto - x.pos AS words, array_to_string(units[x.place:y.place], ' ') AS run
+r AS (SELECT x.doc_id, x.pos, x.place, y.place AS last, y.upto - x.pos AS words, array_to_string(units[x.place:y.place], ' ') AS run
   FROM (SELECT *, pos + {min_words} AS want FROM c) x ASOF JOIN c y ON x.doc_id = y.doc_id AND x.want <= y.upto JOIN l ON l.doc_id = x.doc_id),
-f AS (SELECT *, first_value(doc_id) OVER o AS kept, first_value(pos) OVER o AS kept_pos FROM r WINDOW o AS (PARTITION BY run ORDER BY doc_id, pos)),
-g AS (SELECT *, pos > coalesce(max(pos + words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh
-  FROM f WHERE doc_id <> kept OR pos >= kept_pos + words),
-h AS (SELECT *, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY pos) AS stretch FROM g),
-t AS (SELECT doc_id, stretch, min(s) AS s, max(e) AS e, max(pos + words) - min(pos) AS words, list(DISTINCT kept) AS kept FROM h GROUP BY ALL HAVING max(pos + words) - min(pos) >= {least})
-SELECT doc_id, count(*) AS n_removed, cast(sum(words) AS bigint) AS removed_words, string_agg(s || ':' || e, ',' ORDER BY s) AS spans,
-  list_sort(list_distinct(flatten(list(kept)))) AS kept_doc_ids FROM t GROUP BY 1"""
+f AS MATERIALIZED (SELECT *, first_value(doc_id) OVER o AS kept, first_value(pos) OVER o AS kept_pos, count(*) OVER (PARTITION BY run) > 1 AS again FROM r WINDOW o AS (PARTITION BY run ORDER BY doc_id, pos)),
+g AS MATERIALIZED (SELECT *, doc_id = kept AND pos = kept_pos AS stays FROM f WHERE again AND (doc_id <> kept OR pos = kept_pos OR pos >= kept_pos + words)),
+m AS (SELECT doc_id, place, bool_or(stays) AS held, bool_or(NOT stays) AS gone FROM (SELECT doc_id, stays, unnest(range(place, last + 1)) AS place FROM g) GROUP BY 1, 2),
+q AS (SELECT c.*, coalesce(held, false) AS held, coalesce(gone AND NOT held, false) AS cut FROM c LEFT JOIN m USING (doc_id, place)),
+h AS (SELECT *, sum((cut AND NOT coalesce(lag_cut, false))::int) OVER (PARTITION BY doc_id ORDER BY place) AS stretch FROM (SELECT *, lag(cut) OVER n AS lag_cut, CASE WHEN lag(held) OVER n THEN lag(e) OVER n ELSE s END AS cs, CASE WHEN lead(held) OVER n THEN lead(s) OVER n - 1 ELSE e END AS ce FROM q WINDOW n AS (PARTITION BY doc_id ORDER BY place)) WHERE cut),
+t AS (SELECT doc_id, stretch, min(place) AS a, max(place) AS b, min(cs) AS s, max(ce) AS e, sum(n) AS words FROM h GROUP BY ALL HAVING sum(n) >= {least}),
+k2 AS (SELECT t.doc_id, list_sort(list(DISTINCT kept)) AS kept FROM t JOIN g ON g.doc_id = t.doc_id AND g.place <= t.b AND g.last >= t.a AND NOT stays GROUP BY 1)
+SELECT doc_id, count(*) AS n_removed, cast(sum(words) AS bigint) AS removed_words, string_agg(s || ':' || e, ',' ORDER BY s) AS spans, any_value(k2.kept) AS kept_doc_ids FROM t JOIN k2 USING (doc_id) GROUP BY 1"""
 
 
 def quality() -> str:

@@ -216,6 +216,50 @@ def test_line_dedup(spark, edge, none):
     assert linededup.removals(edge).count() == 0
 
 
+def test_line_dedup_keeps_first_occurrences(spark):
+    """A run over the end of one passage and the beginning of another is first in doc 1, so that doc 1
+    keeps it although the second passage is first in doc 0; whatever is named as keeper holds the run."""
+    sentence = lambda k, n: " ".join(f"s{k}w{i}" for i in range(n)) + "."
+    a, b = [sentence(k, 6) for k in range(6)], [sentence(k, 6) for k in range(10, 18)]
+    rows = [(0, " ".join(b)), (1, " ".join(a + b)), (2, " ".join(a + b[:1]))]
+    out = {r.doc_id: r for r in linededup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1]
+    # the runs of a's last sentence reach over b's first two: as far as doc 2 has them they are kept
+    assert out[1].text == " ".join(a + b[:1]) + " " * out[1].text.endswith(" ")
+    assert out[2].text == "" and [len(out[i].removed_spans) for i in range(3)] == [0, 1, 1]
+    got = {r.doc_id: r.kept_doc_ids for r in linededup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [0], 2: [1]}
+
+
+def test_line_dedup_by_plain_cover(spark, texts):
+    """Every word of a removed stretch is in a repeat, and none in a first occurrence, of runs found by plain loops."""
+    first, runs = {}, {}
+    for doc in sorted(texts):
+        data = (texts[doc] or "").encode()
+        low = data.lower().split()
+        runs[doc] = [(at, n, tuple(low[at : at + n])) for at, n in zip(*(x.tolist() for x in linededup.runs(data, linededup.MIN_WORDS)[:2]), strict=True)]
+        for at, _, words in runs[doc]:
+            first.setdefault(words, (doc, at, []))[2].append((doc, at))
+    want = {}
+    for doc, own in runs.items():
+        held, gone = set(), set()
+        for at, n, words in own:
+            keeper, place, seen = first[words]
+            if len(seen) > 1 and (keeper, place) == (doc, at):
+                held |= set(range(at, at + n))
+            elif keeper != doc or at >= place + n:
+                gone |= set(range(at, at + n))
+        cut, size, count = sorted(gone - held), 0, [0, 0]
+        for i, w in enumerate(cut):
+            size = size + 1 if i and cut[i - 1] == w - 1 else 1
+            if i + 1 == len(cut) or cut[i + 1] != w + 1:
+                count = [count[0] + 1, count[1] + size] if size >= linededup.LEAST else count
+        if count[0]:
+            want[doc] = tuple(count)
+    got = {r.doc_id: (r.n_removed, r.removed_words) for r in linededup.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_line_dedup_finds_long_passages(spark, texts):
     """Documents with a window of 51 words that an earlier one has, but for passages that are one clause in another line."""
     first, want = {}, set()
