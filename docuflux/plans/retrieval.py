@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docuflux.operators import retrieval as r
+from docuflux.operators import vectors as vx
 from docuflux.registry import register
 
 from .text import read
@@ -45,6 +46,14 @@ def t1(spark, sf_dir):
     return r.top(r.dense(all_, q), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
+@register("j8_vector_index")
+def j8_index(spark, sf_dir):
+    """The ten nearest of each asking vector by the index; its recall is held against all rows in the tests."""
+    all_, q = vectors(spark, sf_dir)
+    centres = vx.fit(all_)
+    return vx.search(vx.indexed(all_, centres), q, centres, 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+
+
 @register("a1_rrf", f"""WITH {DENSE_SQL}, n AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY abs(id - query_id), id) AS rank FROM d),
   u AS (SELECT query_id, id, rank, 0 AS l FROM dr WHERE rank <= 20 UNION ALL SELECT query_id, id, rank, 1 FROM n WHERE rank <= 20),
   f AS (SELECT query_id, id, sum(1 / (60 + rank)) AS s, min((l, rank)) AS seen FROM u GROUP BY ALL)
