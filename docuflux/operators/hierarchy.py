@@ -222,8 +222,8 @@ def selected(strategy: str, plans: dict[str, Callable[[], DataFrame]]) -> DataFr
 def weak_answers(scores: DataFrame, synthesized: DataFrame, threshold: float, k: int, learning: bool) -> DataFrame:
     """For questions whose best score is below the threshold: their k best (query_id, id, place,
     origin), and when learning, the k best synthesized answers behind them."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    low = r.top(scores.withColumn("best", best).filter(F.col("best") < threshold).drop("best"), k)
+    weak = scores.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") < threshold)
+    low = r.top(scores.join(weak, "query_id", "left_semi"), k)
     out = low.select("query_id", "id", F.col("rank").alias("place"), F.lit("documents").alias("origin"))
     if learning:
         more = r.top(synthesized.join(low.select("query_id").distinct(), "query_id", "left_semi"), k)

@@ -105,8 +105,8 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
 
 def gated(scores: DataFrame, threshold: float) -> DataFrame:
     """All rows of the queries whose best score reaches the threshold, with best_score."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return scores.withColumn("best_score", best).filter(F.col("best_score") >= threshold)
+    best = scores.groupBy("query_id").agg(F.max("score").alias("best_score")).filter(F.col("best_score") >= threshold)
+    return scores.join(best, "query_id").select(*scores.columns, "best_score")
 
 
 def boosted(ranked: DataFrame, flag: str) -> DataFrame:

@@ -64,7 +64,7 @@ def p13(spark, sf_dir):
 
 
 #: Chunks of a baseline: four to a line, each beginning where the one before it ends, or apart.
-CHUNKS = f"""{OBJECTS}, q AS (SELECT * REPLACE (50.0 + (seq % 4) * 20 + CASE WHEN seq % 8 = 6 THEN 9 ELSE 0 END AS x0, 70.0 + (seq % 4) * 20 AS x1, 700.0 - (seq % 10) // 4 * 20 AS y0, 710.0 - (seq % 10) // 4 * 20 AS y1, 702.0 - (seq % 10) // 4 * 20 AS baseline, 10.0 + seq // 40 % 2 AS font_size, 400.0 AS font_weight, 'c' AS color, left(text, 5) AS text) FROM o)"""
+CHUNKS = f"""{OBJECTS}, q AS (SELECT * REPLACE (50.0 + (seq % 4) * 20 + CASE WHEN seq % 8 = 6 THEN 9 ELSE 0 END AS x0, 70.0 + (seq % 4) * 20 AS x1, 700.0 - (seq % 10) // 4 * 20 AS y0, 710.0 - (seq % 10) // 4 * 20 AS y1, 702.0 - (seq % 10) // 4 * 20 AS baseline, 10.0 + seq // 40 % 2 AS font_size, 400.0 AS font_weight, 'c' AS color) FROM o)"""
 
 
 def chunks(spark, sf_dir):
@@ -72,7 +72,7 @@ def chunks(spark, sf_dir):
     row = F.floor(s % 10 / 4) * 20
     return o.withColumns({
         "x0": 50.0 + s % 4 * 20 + F.when(s % 8 == 6, 9).otherwise(0), "x1": 70.0 + s % 4 * 20, "y0": 700.0 - row, "y1": 710.0 - row, "baseline": 702.0 - row, "font_size": 10.0 + F.floor(s / 40) % 2,
-        "font_weight": F.lit(400.0), "color": F.lit("c"), "text": F.substring("text", 1, 5),
+        "font_weight": F.lit(400.0), "color": F.lit("c")
     })
 
 

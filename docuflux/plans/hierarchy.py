@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 from docuflux.functions import text as t
 from docuflux.operators import hierarchy as h
 from docuflux.operators import operations as ops
+from docuflux.operators import retrieval as r
 from docuflux.operators import structure as st
 from docuflux.registry import register
 
+from .retrieval import DENSE_SQL, HYBRID_SQL, hybrid, vectors
 from .structure import ELEMENTS
 from .text import STRIP, TOKENS, read
 
@@ -129,21 +131,25 @@ def a4(spark, sf_dir):
     return h.context(rows.select("query_id", "place", F.col("chunk_hash").alias("page_content")))
 
 
-@register("r7_weak_answers", """WITH b AS (SELECT event_id % 40 AS query_id, event_id AS id, round(value / 100, 6) AS score FROM events WHERE event_id % 40 < 20), y AS (SELECT event_id % 40 AS query_id, event_id AS id, round(value / 100, 6) AS score FROM events WHERE event_id % 40 >= 10),
-  l AS (SELECT * FROM b QUALIFY max(score) OVER (PARTITION BY query_id) < 0.998),
-  lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM l), yr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM y WHERE query_id IN (SELECT query_id FROM l))
+#: A best cosine below which a question counts as weakly answered.
+WEAK = 0.37
+#: Answers are vectors of even labels, synthesized ones those of odd labels; a vector does not answer itself.
+BOTH = f"""{DENSE_SQL}, a AS (SELECT d.*, e.label % 2 = 0 AS own FROM d JOIN embeddings e ON e.vec_id = d.id WHERE d.id <> d.query_id)"""
+
+
+@register("r7_weak_answers", f"""WITH {BOTH}, l AS (SELECT * FROM a WHERE own QUALIFY max(score) OVER (PARTITION BY query_id) < {WEAK}),
+  lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM l), yr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM a WHERE NOT own AND query_id IN (SELECT query_id FROM l))
   SELECT query_id, id, r::INT AS place, 'documents' AS origin FROM lr WHERE r <= 3 UNION ALL SELECT query_id, id, (r + 3)::INT, 'synthesized' FROM yr WHERE r <= 3""")
 def r7(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select((F.col("event_id") % 40).alias("query_id"), F.col("event_id").alias("id"), F.round(F.col("value") / 100, 6).alias("score"))
-    return h.weak_answers(rows.filter("query_id < 20"), rows.filter("query_id >= 10"), 0.998, 3, True)
+    all_, q = vectors(spark, sf_dir)
+    scores = r.dense(all_, q).filter("id <> query_id").join(all_.select("id", (F.col("label") % 2 == 0).alias("own")), "id")
+    return h.weak_answers(scores.filter("own").drop("own"), scores.filter("not own").drop("own"), WEAK, 3, True)
 
 
-@register("r4_reranked", """SELECT query_id, id, r AS rank FROM (SELECT event_id % 40 AS query_id, event_id AS id, row_number() OVER (PARTITION BY event_id % 40 ORDER BY round(value, 9) DESC, event_id) AS r FROM events) WHERE r <= 4""")
+@register("r4_reranked", HYBRID_SQL.format(k=12, columns="query_id, id, rank", rows="x WHERE rank <= 4"))
 def r4(spark, sf_dir):
-    from docuflux.operators import retrieval as r
-
-    rows = read(spark, sf_dir, "events").select((F.col("event_id") % 40).alias("query_id"), F.col("event_id").alias("id"), F.col("value").alias("score"))
-    plans = {"hybrid_rerank": lambda: h.identity_rerank(r.top(rows, 12), 4)}
+    """Hybrid retrieval of twelve, handed to the reranker, which keeps four."""
+    plans = {"hybrid_rerank": lambda: h.identity_rerank(hybrid(spark, sf_dir, 12), 4)}
     return h.selected("hybrid_rerank", plans).select("query_id", "id", "rank")
 
 

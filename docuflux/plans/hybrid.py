@@ -43,13 +43,13 @@ def j11(spark, sf_dir):
     return y.nearest_images(n, t)
 
 
-@register("b14_trusted", rf"""WITH {NODES}, ascii AS (SELECT * REPLACE (left(regexp_replace(text, '[^ -~]', '', 'g'), 30) AS text) FROM t), na AS (SELECT * REPLACE (left(regexp_replace(text, '[^ -~]', '', 'g'), 30) AS text) FROM n),
+@register("b14_trusted", rf"""WITH {NODES}, ascii AS (SELECT * REPLACE (regexp_replace(text, '[^ -~]', '?', 'g') AS text) FROM t), na AS (SELECT * REPLACE (regexp_replace(text, '[^ -~]', '?', 'g') AS text) FROM n),
   m AS (SELECT t.doc_id, t.page, t.seq, min(n.seq) AS node FROM t {NEAR5} GROUP BY ALL), st AS (SELECT m.doc_id, m.page, m.node AS seq, string_agg(a.text, ' ' ORDER BY m.seq) AS stream FROM m JOIN ascii a USING (doc_id, page, seq) GROUP BY ALL),
   s AS (SELECT na.doc_id, na.page, na.seq, stream, CASE WHEN stream IS NULL THEN NULL WHEN stream = text THEN 1.0 WHEN stream = '' OR text = '' THEN 0.0 ELSE 1 - levenshtein(stream, text) / greatest(length(stream), length(text)) END AS sim FROM na LEFT JOIN st USING (doc_id, page, seq))
   SELECT doc_id, page, seq, round(sim, 6) AS similarity, CASE WHEN stream IS NULL THEN 'ocr-fallback' WHEN sim >= 0.5 THEN 'stream' ELSE 'ocr' END AS source FROM s""")
 def b14(spark, sf_dir):
-    """A node's label is a field of 30 printable characters at most, as are the chunks'."""
-    label = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 30)
+    """Whole texts; each other character counts as a question mark, as the SQL's distance is one of bytes."""
+    label = F.regexp_replace("text", "[^ -~]", "?")
     n, t = both(spark, sf_dir)
     return y.trusted(n.withColumn("text", label), t.withColumn("text", label)).select("doc_id", "page", "seq", F.round("similarity", 6).alias("similarity"), "source")
 

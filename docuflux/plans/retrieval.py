@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docuflux.functions import text as t
 from docuflux.operators import retrieval as r
 from docuflux.operators import vectors as vx
 from docuflux.registry import register
@@ -80,21 +81,44 @@ def r2(spark, sf_dir):
     return r.mmr(got.select("query_id", "id", "score", "rank", "embedding"), 3)
 
 
-@register("r3_hybrid", f"""WITH {BM25_SQL}, {DENSE_SQL}, dd AS (SELECT query_id, id, rank FROM dr),
-  m AS (SELECT b.item_id AS query_id, dd.id, dd.rank FROM benchmark b JOIN dd ON dd.query_id = (b.item_id % 10) * 50 WHERE dd.rank <= 10),
-  u AS (SELECT query_id, id, rank, 0 AS l FROM m UNION ALL SELECT query_id, id, rank, 1 FROM br WHERE rank <= 10),
+#: A question's vector is the mean of those whose ids are the places of its first words in the alphabet of the
+#: table: no encoder is at hand, so a question is a bag of known vectors, each question one of its own.
+QUESTION_SQL = f"""w0 AS (SELECT item_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+  wv AS (SELECT item_id AS query_id, i, cast('0x' || substr(md5(w[i + 1]), 1, 7) AS bigint) % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT item_id, w, unnest(range(len(w))) AS i FROM w0)),
+  qe AS (SELECT query_id, list(s ORDER BY p) AS v FROM (SELECT query_id, p, sum(x) AS s FROM (SELECT query_id, unnest(range(len(embedding))) AS p, unnest(embedding::DOUBLE[]) AS x FROM wv JOIN embeddings USING (vec_id)) GROUP BY ALL) GROUP BY 1),
+  qd AS (SELECT query_id, vec_id AS id, {COS.format(a="embedding", b="v")} AS score FROM embeddings, qe),
+  qr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM qd)"""
+HYBRID_SQL = f"""WITH {BM25_SQL}, {QUESTION_SQL},
+  u AS (SELECT query_id, id, rank, 0 AS l FROM qr WHERE rank <= {{k}} UNION ALL SELECT query_id, id, rank, 1 FROM br WHERE rank <= {{k}}),
   f AS (SELECT query_id, id, sum(1 / (60 + rank)) AS s, min((l, rank)) AS seen FROM u GROUP BY ALL),
   x AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, seen) AS rank FROM f)
-  SELECT x.query_id, x.id, x.rank, round(s, 6) AS score, left(d.text, 40) AS head FROM x LEFT JOIN documents d ON d.doc_id = x.id WHERE rank <= 3""")
+  SELECT {{columns}} FROM {{rows}}"""
+
+
+def questions(spark, sf_dir):
+    """(query_id, vector): the sum of the vectors that a question's words stand for."""
+    vecs = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "x"))
+    n = read(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
+    words = asked(spark, sf_dir).select("query_id", F.explode(t.bm25_tokens(F.col("text"))).alias("w")).crossJoin(F.broadcast(n))
+    own = words.select("query_id", (F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("long") % F.col("n")).alias("vec_id"))
+    sums = own.join(vecs, "vec_id").groupBy("query_id", "p").agg(F.sum("x").alias("x"))
+    parts = F.array_sort(F.collect_list(F.struct("p", "x")))
+    return sums.groupBy("query_id").agg(F.transform(parts, lambda e: e["x"]).alias("vector"))
+
+
+def hybrid(spark, sf_dir, k):
+    """The k best of each question by its vector, and by BM25, fused."""
+    all_, _ = vectors(spark, sf_dir)
+    near = r.top(r.dense(all_, questions(spark, sf_dir)), k).select("query_id", "id", "rank")
+    return r.fused(near, r.top(r.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir)), k))
+
+
+@register("r3_hybrid", HYBRID_SQL.format(k=10, columns="x.query_id, x.id, x.rank, round(s, 6) AS score, d.text", rows="x LEFT JOIN documents d ON d.doc_id = x.id WHERE rank <= 3"))
 def r3(spark, sf_dir):
-    """Dense and BM25 lists fused; an item's vector is that of one of ten stated ids."""
-    docs, items = read(spark, sf_dir, "documents"), asked(spark, sf_dir)
-    all_, q = vectors(spark, sf_dir)
-    near = r.top(r.dense(all_, q), 10).withColumnRenamed("query_id", "vec")
-    near = items.select("query_id", ((F.col("query_id") % 10) * 50).alias("vec")).join(near, "vec").select("query_id", "id", "rank")
-    out = r.fused(near, r.top(r.bm25(docs, items), 10)).filter("rank <= 3")
-    heads = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("head"))
-    return out.join(heads, "id", "left").select("query_id", "id", "rank", F.round("score", 6).alias("score"), "head")
+    """Dense and BM25 lists fused, with the whole texts."""
+    out = hybrid(spark, sf_dir, 10).filter("rank <= 3")
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return out.join(texts, "id", "left").select("query_id", "id", "rank", F.round("score", 6).alias("score"), "text")
 
 
 @register("t6_boost", f"WITH {DENSE_SQL}, k AS (SELECT dr.query_id, dr.id, dr.rank, e.label % 2 = 0 AS flag FROM dr JOIN embeddings e ON e.vec_id = dr.id WHERE dr.rank <= 10) SELECT query_id, id, flag, row_number() OVER (PARTITION BY query_id ORDER BY flag::int DESC, rank) AS rank FROM k")

@@ -109,8 +109,7 @@ def k12(spark, sf_dir):
     return w.report(read(spark, sf_dir, "documents").groupBy(F.col("source").alias("strategy")).agg(F.count("*").alias("chunks"), F.max("n_chars").alias("longest")))
 
 
-@register("a12_page_counts", "SELECT doc_id, ((length(t) - length(replace(t, '@@', ''))) // 2 + 1)::INT AS pages FROM (SELECT doc_id, replace(text || chr(10) || '---' || chr(10) || 'x', chr(10) || '---' || chr(10), '@@') AS t FROM documents WHERE NOT contains(text, '@@'))")
+@register("a12_page_counts", "SELECT doc_id, len(string_split(text || chr(10) || '---' || chr(10) || 'x', chr(10) || '---' || chr(10)))::INT AS pages FROM documents")
 def a12(spark, sf_dir):
     """Pages of a Markdown text by its rules; each document gets one rule at its end."""
-    text = F.concat(F.col("text"), F.lit("\n---\nx"))
-    return read(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("@@"))).select("doc_id", F.size(F.split(text, "\n---\n")).alias("pages"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(F.split(F.concat(F.col("text"), F.lit("\n---\nx")), "\n---\n")).alias("pages"))
