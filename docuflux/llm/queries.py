@@ -53,7 +53,7 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fate = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 7), 16, 10).cast("long"), F.lit(97))
     hurt = F.expr("concat(substring(bytes, 1, 40), X'00', substring(bytes, 42, octet_length(bytes)))")
     replica = primary.withColumn("fate", fate).filter("fate <> 1").select("volume", "id", F.when(F.col("fate") == 0, hurt).otherwise(F.col("bytes")).alias("bytes"))
-    leaves, _ = warc.audit(primary, replica)
+    leaves, _, _ = warc.audit(primary, replica)
     return leaves.select(F.col("id").alias("page_id"), "volume", "seq", "offset", "length", "record_sha256", "status", "shift")
 
 

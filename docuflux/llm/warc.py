@@ -1,8 +1,9 @@
 """WARC Merkle fixity audit: records are laid out in volumes at ordered offsets and digested;
 each volume's leaves stand at the places of their record ids, nodes are digests over FAN
-children, and two replicas are compared from the roots down, through mismatching nodes only.
-No digest holds an offset, so that a lost record changes its own leaf and no other; how far
-the records behind it have moved is told apart from that.
+children with the length and the number of records of each child's range of offsets, and two
+replicas are compared from the roots down, through mismatching nodes only. Ranges are bound by
+length and order, not by where they begin, so that a lost record changes its own leaf and those
+above it and no other; how far the records behind it have moved is told apart from that.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def leaves(recs: DataFrame) -> DataFrame:
         (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).cast("long").alias("offset"),
     )
     node = F.sha2(F.concat_ws(":", "id", "length", "record_sha256"), 256)
-    return placed.select("volume", "seq", "id", "offset", "length", "record_sha256", node.alias("node"))
+    return placed.select("volume", "seq", "id", "offset", "length", "record_sha256", node.alias("node"), F.lit(1).cast("long").alias("n"))
 
 
 def place_of(id_: Column) -> Column:
@@ -58,13 +59,15 @@ def place_of(id_: Column) -> Column:
 
 
 def over(nodes: DataFrame, place: Column, *order: str) -> DataFrame:
-    """(volume, place, node): digests over the nodes that share a place, in the given order."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, "node")))
-    return nodes.groupBy("volume", place.alias("place")).agg(F.sha2(F.array_join(F.transform(listed, lambda c: c["node"]), ""), 256).alias("node"))
+    """(volume, place, node, length, n): digests over the nodes that share a place, in the given order, and
+    over the length and the number of records of each one's range, and the whole range's."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, "node", "length", "n")))
+    bound = F.transform(listed, lambda c: F.concat_ws(":", c["node"], c["length"], c["n"]))
+    return nodes.groupBy("volume", place.alias("place")).agg(F.sha2(F.array_join(bound, ","), 256).alias("node"), F.sum("length").alias("length"), F.sum("n").alias("n"))
 
 
 def tree(leaf: DataFrame, depth: int, ws: Workspace, name: str) -> list[DataFrame]:
-    """(volume, place, node) of levels 0 (places of records) to depth (a root for each volume).
+    """(volume, place, node, length, n) of levels 0 (places of records) to depth (a root for each volume).
     Each level is written, so that a descent reads it instead of digesting the leaves again."""
     levels = [ws.save(over(leaf, place_of(F.col("id"))), f"{name}0")]  # one record each, or those that share an id
     for i in range(depth):
@@ -99,9 +102,24 @@ def paired(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return both.unionByName(rest.withColumn("status", status))
 
 
-def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compares two replicas' records (see records()): all leaves of either with their status, and
-    the volumes' roots (volume, root, replica_root).
+def differing(mine: DataFrame, theirs: DataFrame, wrong: DataFrame) -> DataFrame:
+    """The ranges to copy again: volume, start, end, n (offsets in the primary's volume and its records
+    there), replica_start, replica_end, replica_n. Mismatching places (volume, place) that follow
+    each other are one range; a side without records there has no offsets and n 0."""
+    along = Window.partitionBy("volume").orderBy("place")
+    runs = wrong.withColumn("range", F.col("place") - F.row_number().over(along))
+
+    def side(leaf: DataFrame, mark: str) -> DataFrame:
+        held = leaf.withColumn("place", place_of(F.col("id"))).join(runs, ["volume", "place"])
+        return held.groupBy("volume", "range").agg(F.min("offset").alias(f"{mark}start"), F.max(F.col("offset") + F.col("length")).alias(f"{mark}end"), F.count("*").alias(f"{mark}n"))
+
+    both = side(mine, "").join(side(theirs, "replica_"), ["volume", "range"], "full").drop("range")
+    return both.fillna(0, ["n", "replica_n"])
+
+
+def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compares two replicas' records (see records()): all leaves of either with their status, the
+    volumes' roots (volume, root, replica_root) and the differing ranges (see differing()).
 
     Returned leaves: volume, seq, id, offset, length, record_sha256 (of the primary; of the replica
     where only that has the record), status: ok, corrupt (another digest under the id), missing
@@ -127,7 +145,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, DataFrame]
         wrong = within(up[level], "mine").join(within(other[level], "theirs"), ["volume", "place"], "full")
         wrong = wrong.filter(~F.col("mine").eqNullSafe(F.col("theirs"))).select("volume", "place")
         wrong = ws.save(wrong, f"wrong{level}")
-    at = lambda leaf, how: leaf.withColumn("place", place_of(F.col("id"))).join(wrong, ["volume", "place"], how).drop("place", "node")
+    at = lambda leaf, how: leaf.withColumn("place", place_of(F.col("id"))).join(wrong, ["volume", "place"], how).drop("place", "node", "n")
     found = ws.save(paired(at(a, "left_semi"), at(b, "left_semi")), "found")
     own = F.coalesce("here", "there")
     columns = ["volume", "id", *[own[c].alias(c) for c in ("seq", "offset", "length", "record_sha256")], "status"]
@@ -138,4 +156,4 @@ def audit(primary: DataFrame, replica: DataFrame) -> tuple[DataFrame, DataFrame]
     before = F.coalesce(F.sum("grown").over(Window.partitionBy("volume").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = F.when(F.col("status").isin("ok", "corrupt"), F.coalesce("moved", before)).cast("long")
     shown = located.unionByName(intact).withColumn("shift", shift)
-    return shown.select("volume", "seq", "id", "offset", "length", "record_sha256", "status", "shift"), roots
+    return shown.select("volume", "seq", "id", "offset", "length", "record_sha256", "status", "shift"), roots, differing(a, b, wrong)

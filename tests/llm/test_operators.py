@@ -351,13 +351,42 @@ def test_warc(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "é" * i) for i in range(300)] + [(None, None, None)], "page_id long, url string, html string")
     a = warc.records(pages)
     hurt = a.filter("id <> 299").selectExpr("volume", "id", "case when id = 7 then concat(bytes, X'00') else bytes end as bytes")
-    leaves, roots = warc.audit(a, hurt)
+    leaves, roots, _ = warc.audit(a, hurt)
     by = {}
     for r in leaves.collect():
         by.setdefault(r.status, set()).add(r.id)
     assert 7 in by["corrupt"] and by["missing"] == {299} and {0, 1, 6} <= by["ok"] and "extra" not in by
-    same_leaves, same_roots = warc.audit(a, a)
-    assert {r.status for r in same_leaves.collect()} == {"ok"} and same_roots.filter("root <> replica_root").count() == 0
+    same_leaves, same_roots, none = warc.audit(a, a)
+    assert {r.status for r in same_leaves.collect()} == {"ok"} and same_roots.filter("root <> replica_root").count() == 0 and none.isEmpty()
+
+
+def test_warc_ranges(spark):
+    """Nodes bind the lengths and numbers of their ranges; ranges that differ are given on both sides."""
+    pages = spark.createDataFrame([(i, "u", "x" * (i % 9)) for i in range(40)], "page_id long, url string, html string")
+    a = warc.records(pages)
+    b = a.filter("id not in (10, 11, 39)").selectExpr("volume", "id", "case when id in (12, 30) then concat(bytes, X'00') else bytes end as bytes")
+    size = {r.id: len(r.bytes) for r in a.collect()}
+    there = {r.id: len(r.bytes) for r in b.collect()}
+    before = lambda sizes, i: sum(n for j, n in sizes.items() if j < i)
+    leaves, roots, ranges = warc.audit(a, b)
+    got = sorted(tuple(r) for r in ranges.select("start", "end", "n", "replica_start", "replica_end", "replica_n").collect())
+    want = [(before(size, 10), before(size, 13), 3, before(there, 12), before(there, 13), 1), (before(size, 30), before(size, 31), 1, before(there, 30), before(there, 31), 1), (before(size, 39), before(size, 40), 1, None, None, 0)]
+    assert got == want and roots.count() == 1
+    # a node differs as soon as a child's range has another length, though all digests of records were equal
+    one = spark.createDataFrame([(0, 0, "d", 5, 1)], "volume long, place long, node string, length long, n long")
+    digest = lambda rows: warc.over(rows, F.col("place"), "place").first().node
+    assert len({digest(one), digest(one.withColumn("length", F.lit(6).cast("long"))), digest(one.withColumn("n", F.lit(2).cast("long")))}) == 3
+
+
+def test_warc_empty_replicas(spark):
+    rows = [(1, "u", "a"), (2, None, None), (None, "v", "b"), (2, None, None)]
+    pages = spark.createDataFrame([(*r, "x", 0, 0) for r in rows], "page_id long, url string, html string, id string, n int, volume int")
+    a, empty = warc.records(pages), warc.records(pages.limit(0))
+    for mine, theirs, status in ((a, empty, "missing"), (empty, a, "extra")):
+        leaves, roots, ranges = warc.audit(mine, theirs)
+        assert [r.status for r in leaves.collect()] == [status] * 4 and {(r.n, r.replica_n) for r in ranges.collect()} in ({(3, 0), (1, 0)}, {(0, 3), (0, 1)})
+        assert all((r.root is None) != (r.replica_root is None) for r in roots.collect())
+    assert all(x.count() == 0 for x in warc.audit(empty, empty))
 
 
 def test_warc_losses_stay_local(spark):
