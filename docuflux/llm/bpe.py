@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, text_slices
 
-#: Entries of a worker's memories of pairs and words, and of stretches between white space.
-KEPT, CHUNKS = 1 << 18, 3 << 18
+#: Entries of a worker's memories of pairs and words, and of stretches between white space; longer ones are not remembered.
+KEPT, CHUNKS, LONG = 1 << 18, 3 << 18, 64
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 #: Fixed pattern of the public tokenizer.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -199,15 +199,18 @@ class Codec:
     def _chunk(self, chunk: str) -> bytes:
         """The ids, as 32-bit integers, of a stretch without white space."""
         found = b"".join([self.words.get(p) or self._word(p) for p in self.pieces(chunk)])
-        if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
-        self.chunks[chunk] = found
+        if len(chunk) <= LONG:
+            if len(self.chunks) >= CHUNKS:
+                self.chunks.clear()
+            self.chunks[chunk] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        if len(self.words) >= KEPT:
-            self.words.clear()
-        found = self.words[word] = array("i", self.encode_word(word)).tobytes()
+        found = array("i", self.encode_word(word)).tobytes()
+        if len(word) <= LONG:
+            if len(self.words) >= KEPT:
+                self.words.clear()
+            self.words[word] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
