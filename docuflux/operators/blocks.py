@@ -270,38 +270,39 @@ def labelled_lists(nodes: DataFrame) -> DataFrame:
     return by_group(nodes.select(*PAGE, "seq", "text"), ["doc_id"], ["page", "seq"], find, "doc_id long, page long, seq long, list int, item int")
 
 
+def level_walk(part: list[dict]) -> list[dict]:
+    """Levels of a document's headings, lists and tables; see `levels`."""
+    stack, titled, known, out = [], False, {}, []
+    for r in part:
+        if r["type"] == "heading":
+            first = r["heading_level"] == 1 and not titled
+            titled = titled or first
+            level = "Doctitle" if first else "Subtitle"
+        elif r["type"] in ("list", "table"):
+            at = known.get(r["linked"])
+            if at is None:
+                at = stack.index(r["style"]) if r["style"] in stack else None
+            if at is None:
+                stack.append(r["style"])
+                at = len(stack) - 1
+            else:
+                del stack[at + 1 :]
+            known[r["seq"]] = at
+            level = str(at + 1)
+        else:
+            continue
+        out.append({"doc_id": r["doc_id"], "seq": r["seq"], "level": level})
+    return out
+
+
 def levels(rows: DataFrame) -> DataFrame:
     """Level of every heading, list and table in document order. rows: doc_id, seq, type, heading_level,
     style (what lists of one level share), linked (seq of the table or list that this one goes on).
 
     The first heading of level 1 is Doctitle, others Subtitle. A list or table takes the level of its
     style on the stack, which is cut behind it, or goes on top; one that goes on takes its part's level."""
-
-    def walk(part: list[dict]) -> list[dict]:
-        stack, titled, known, out = [], False, {}, []
-        for r in part:
-            if r["type"] == "heading":
-                first = r["heading_level"] == 1 and not titled
-                titled = titled or first
-                level = "Doctitle" if first else "Subtitle"
-            elif r["type"] in ("list", "table"):
-                at = known.get(r["linked"])
-                if at is None:
-                    at = stack.index(r["style"]) if r["style"] in stack else None
-                if at is None:
-                    stack.append(r["style"])
-                    at = len(stack) - 1
-                else:
-                    del stack[at + 1 :]
-                known[r["seq"]] = at
-                level = str(at + 1)
-            else:
-                continue
-            out.append({"doc_id": r["doc_id"], "seq": r["seq"], "level": level})
-        return out
-
     cut = rows.select("doc_id", "seq", "type", "heading_level", "style", "linked")
-    return by_group(cut, ["doc_id"], ["seq"], walk, "doc_id long, seq long, level string")
+    return by_group(cut, ["doc_id"], ["seq"], level_walk, "doc_id long, seq long, level string")
 
 
 def numbered(objects: DataFrame) -> DataFrame:

@@ -73,10 +73,11 @@ def stepped(rows: DataFrame, keys: list[str], order: list[str], columns: list[st
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, T.StructType([*rows.schema.fields, *kind.fields]))
 
 
-def flowed(rows: DataFrame, keys: list[str], order: list[str], function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+def flowed(rows: DataFrame, keys: list[str], order: list[str], function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, dealt: bool = False) -> DataFrame:
     """function(rows of a group as named tuples, in order, one by one) for each group of equal keys; the
     tuples that it yields, in the order of `schema`, are the result. A worker holds a batch and what
-    the function keeps, whatever a group's size."""
+    the function keeps, whatever a group's size. dealt: rows are together by the keys already, as
+    after a window over them, and are not shuffled again."""
     ship(rows.sparkSession)
     kind, columns = T.StructType.fromDDL(schema), list(rows.columns)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -90,4 +91,5 @@ def flowed(rows: DataFrame, keys: list[str], order: list[str], function: Callabl
         while done := list(islice(made, BATCH)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, kind)
+    together = rows if dealt else rows.repartition(*keys)
+    return together.sortWithinPartitions(*keys, *order).mapInArrow(work, kind)

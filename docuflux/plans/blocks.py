@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from docuflux.operators import blocks as b
 from docuflux.operators import layout as lay
 from docuflux.operators import paragraphs as pg
+from docuflux.operators import run
 from docuflux.registry import register
 
 from .layout import OBJECTS, objects
@@ -229,3 +230,25 @@ def g10(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("seq"))
     text = F.when(F.col("seq") == 1, F.concat(F.lit("(수신) a : b"), F.col("doc_id"))).when(F.col("seq") == 2, "경유").when(F.col("seq") == 4 + F.col("doc_id") % 3, F.concat(F.lit("제목: "), F.col("doc_id"))).otherwise("text")
     return b.address_tables(rows.withColumn("text", text))
+
+
+def set_objects(spark, sf_dir):
+    """set_lines as page objects: each line in two texts, the first lines of pages in large bold type, labels
+    on the second to fourth; with tiny text, art behind the page and text beside it among them."""
+    rows = set_lines(spark, sf_dir)
+    seq, half = F.col("seq"), F.floor(F.length("text") / 2).cast("int")
+    label = F.when(seq.between(2, 4), F.concat((seq - 1).cast("string"), F.lit(". "))).otherwise("")
+    part = lambda n, kind, text, x0, x1, y1: F.struct((seq * 8 + n).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"), x0.alias("x0"), x1.alias("x1"), y1.alias("y1"))
+    middle = F.col("x0") + (F.col("x1") - F.col("x0")) / 2
+    parts = [
+        part(0, "text", F.concat(label, F.substring("text", F.lit(1), half)), F.col("x0"), middle, F.col("y1")), part(1, "text", F.expr("substring(text, cast(length(text) / 2 as int) + 1)"), middle, F.col("x1"), F.col("y1")),
+        part(2, "text", F.lit("tiny"), F.col("x0"), middle, F.col("y0") + 1), part(3, "art", F.lit(None).cast("string"), F.lit(0.0), F.lit(595.0), F.lit(30000.0)), part(4, "text", F.lit("beside"), F.lit(-90.0), F.lit(-10.0), F.col("y1")),
+    ]
+    flat = rows.select("doc_id", "page", "y0", F.when(seq == 1, 14.0).otherwise(F.lit(10.0)).alias("font_size"), F.when(seq == 1, 700.0).otherwise(400.0).alias("font_weight"), "color", F.explode(F.array(*parts)).alias("p"))
+    return flat.select("doc_id", "page", "p.seq", "p.kind", "p.text", "p.x0", F.when(F.col("p.kind") == "art", 0.0).otherwise(F.col("y0")).alias("y0"), "p.x1", "p.y1", "font_size", "font_weight", "color")
+
+
+@register("b19_layout_run")
+def b19(spark, sf_dir):
+    """The whole run over all documents; the tests hold it against its steps one after the other."""
+    return run.layout(set_objects(spark, sf_dir), F.lit(595.0), F.lit(30000.0))

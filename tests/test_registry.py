@@ -5,7 +5,7 @@ from docuflux import registry
 from .compare import TINY, same
 
 #: Queries that SQL does not express; other tests hold them or their operators against plain versions.
-BRUTE = {"w20_split_rows", "w8_paragraphs", "w13_linked_lists", "w14_label_lists", "j8_vector_index", "f9_mask_pii", "r2_mmr", "g1_chunks", "s4_html_text", "f10_sanitize", "t8_reading_order", "x7_breaker", "g5_two_levels", "r5_hierarchical", "w11_page_edges", "w14_lists", "w15_levels"}
+BRUTE = {"w20_split_rows", "w8_paragraphs", "w13_linked_lists", "w14_label_lists", "j8_vector_index", "b19_layout_run", "f9_mask_pii", "r2_mmr", "g1_chunks", "s4_html_text", "f10_sanitize", "t8_reading_order", "x7_breaker", "g5_two_levels", "r5_hierarchical", "w11_page_edges", "w14_lists", "w15_levels"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
