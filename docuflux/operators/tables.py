@@ -7,19 +7,22 @@ within it, or a window by a page's object.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docuflux.operators.groups import stepped
+from docuflux.operators.groups import flowed, stepped
 from docuflux.operators.layout import PAGE
 
 # Depth of nesting, and limits of tables whose rows were not ruled.
 DEPTH = 10
 MOST_ROWS, LEAST_COLUMNS, DENSE_LINES, DENSE_COLUMNS, MORE_BANDS, OVERSIZED = 2, 3, 8, 2, 2, 4
-BAND_NEAR, BAND_SHARE, BAND_REACH, ROW_ORDER = 3.0, 0.6, 6.0, 1.5
+BAND_NEAR, BAND_SHARE, ROW_ORDER = 3.0, 0.6, 1.5
+#: Points between texts of a table without borders, side by side and one below the other.
+ACROSS, DOWN = 30.0, 20.0
 # End of fixed values.
 
 BOX = ["x0", "y0", "x1", "y1"]
@@ -191,3 +194,60 @@ def aligned_groups(objects: DataFrame, gap: float = 3.0, near: float = 0.1) -> D
     far = F.col("x0") - F.lag("x1").over(w) > gap * (high + F.lag(high).over(w)) / 2
     by = found.withColumn("far", F.coalesce(far, F.lit(False))).groupBy(*PAGE, "cluster").agg(F.bool_or("far").alias("far"))
     return by.groupBy(*PAGE).agg(F.count_if("far").alias("groups"))
+
+
+# tables without borders -------------------------------------------------------------------------
+
+
+def neighbours(a, b, across: float, down: float) -> bool:
+    """Whether two texts stand in one row or one column: side by side, overlapping by half of the lower
+    one's height, or one below the other and overlapping from side to side, and close."""
+    wide, high = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
+    return (high >= 0.5 * min(a.y1 - a.y0, b.y1 - b.y0) and -wide <= across) or (wide > 0 and -high <= down)
+
+
+def groups_of(across: float, down: float):
+    """A page's texts to (doc_id, page, seq, group): texts that neighbours join, named by the least seq.
+    Only texts that share a square of the page, widened by the distances, are compared."""
+
+    def work(page: Iterator) -> Iterator[tuple]:
+        rows, side = list(page), 4 * max(across, down)
+        root = list(range(len(rows)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        squares: dict[tuple[int, int], list[int]] = {}
+        for i, r in enumerate(rows):
+            for x in range(int((r.x0 - across) // side), int((r.x1 + across) // side) + 1):
+                for y in range(int((r.y0 - down) // side), int((r.y1 + down) // side) + 1):
+                    others = squares.setdefault((x, y), [])
+                    for j in others:
+                        a, b = find(i), find(j)
+                        if a != b and neighbours(r, rows[j], across, down):
+                            root[max(a, b)] = min(a, b)
+                    others.append(i)
+        for i, r in enumerate(rows):  # rows come by seq, so the least place is the least seq
+            yield r.doc_id, r.page, r.seq, rows[find(i)].seq
+
+    return work
+
+
+def borderless(texts: DataFrame, across: float = ACROSS, down: float = DOWN) -> DataFrame:
+    """Texts in grids: doc_id, page, seq, table (the least seq in it), row, col (from 1). Texts of a page that
+    neighbours join are a table if they make two rows and two columns at least: bands of
+    overlapping heights, and of overlapping widths. Texts without a box are left out."""
+    boxed = texts.select(*PAGE, "seq", *BOX).dropna(subset=BOX)
+    named = flowed(boxed, PAGE, ["seq"], groups_of(across, down), "doc_id long, page long, seq long, table long")
+    rows = boxed.join(named, [*PAGE, "seq"])
+
+    def bands(rows: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+        w = Window.partitionBy(*TABLE).orderBy(low, "seq")
+        end = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("_f", F.coalesce(low >= end, F.lit(True)).cast("int")).withColumn(name, F.sum("_f").over(w)).drop("_f")
+
+    rows = bands(bands(rows, -F.col("y1"), -F.col("y0"), "row"), F.col("x0"), F.col("x1"), "col")
+    w = Window.partitionBy(*TABLE)
+    return rows.withColumns({"_r": F.max("row").over(w), "_c": F.max("col").over(w)}).filter("_r > 1 and _c > 1").select(*PAGE, "seq", "table", "row", "col")

@@ -111,3 +111,27 @@ def lines_in_columns(spark, sf_dir):
 @register("w20_split_rows")
 def w20(spark, sf_dir):
     return tb.split_rows(*lines_in_columns(spark, sf_dir)).select("doc_id", "page", "seq", "row", "col", "new_row")
+
+
+def side_by_side(spark, sf_dir):
+    """Two grids of four lines on each page, side by side, and two lines apart; lines are as wide as their text, up to fifty points."""
+    k = F.col("seq") % 10
+    left = F.when(k < 4, 50.0).when(k < 8, 300.0).otherwise(500.0) + k % 2 * 60
+    y0 = 700.0 - F.floor(k % 4 / 2) * 20 - F.when(k > 7, k * 100).otherwise(0)
+    return objects(spark, sf_dir).filter("kind = 'text'").select("doc_id", "page", "seq", left.alias("x0"), y0.alias("y0"), (left + F.least(F.length("text"), F.lit(50))).alias("x1"), (y0 + 10 + F.col("doc_id") % 3).alias("y1"))
+
+
+GRIDS = f"""{OBJECTS}, t AS MATERIALIZED (SELECT doc_id, page, seq, x0, y0, x0 + least(length(text), 50) AS x1, y0 + 10 + doc_id % 3 AS y1 FROM (SELECT doc_id, page, seq, text,
+    CASE WHEN seq % 10 < 4 THEN 50.0 WHEN seq % 10 < 8 THEN 300.0 ELSE 500.0 END + seq % 10 % 2 * 60 AS gx, 700.0 - (seq % 10 % 4) // 2 * 20 - CASE WHEN seq % 10 > 7 THEN seq % 10 * 100 ELSE 0 END AS gy FROM o WHERE kind = 'text') q, LATERAL (SELECT gx::DOUBLE AS x0, gy::DOUBLE AS y0) z(x0, y0)),
+  nb AS MATERIALIZED (SELECT a.doc_id, a.page, a.seq AS u, b.seq AS v FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page = b.page AND (
+    (least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 0.5 * least(a.y1 - a.y0, b.y1 - b.y0) AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 30) OR (least(a.x1, b.x1) > greatest(a.x0, b.x0) AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 20))),
+  reach AS (SELECT doc_id, page, seq AS u, seq AS v FROM t UNION SELECT r.doc_id, r.page, r.u, n.v FROM reach r JOIN nb n ON n.doc_id = r.doc_id AND n.page = r.page AND n.u = r.v),
+  gr AS (SELECT doc_id, page, u AS seq, min(v) AS "table" FROM reach GROUP BY ALL),
+  b1 AS (SELECT *, coalesce(-y1 >= max(-y0) OVER (PARTITION BY doc_id, page, "table" ORDER BY -y1, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS f FROM t JOIN gr USING (doc_id, page, seq)),
+  b2 AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, page, "table" ORDER BY -y1, seq) AS "row", coalesce(x0 >= max(x1) OVER (PARTITION BY doc_id, page, "table" ORDER BY x0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS f2 FROM b1),
+  b3 AS (SELECT *, sum(f2) OVER (PARTITION BY doc_id, page, "table" ORDER BY x0, seq) AS col FROM b2)"""
+
+
+@register("g8_borderless_tables", f"""WITH RECURSIVE {GRIDS} SELECT doc_id, page, seq, "table", "row", col FROM b3 QUALIFY max("row") OVER (PARTITION BY doc_id, page, "table") > 1 AND max(col) OVER (PARTITION BY doc_id, page, "table") > 1""")
+def g8_borderless(spark, sf_dir):
+    return tb.borderless(side_by_side(spark, sf_dir))

@@ -69,6 +69,14 @@ def test_values_that_straddle_a_tenth(spark):
     assert {(r.doc_id, r.seq): r.cluster for r in got} == {(1, 4): 0, (1, 3): 1, (1, 2): 1, (1, 1): 1, (1, 0): 1, (2, 0): 0}
 
 
+def test_tables_side_by_side(spark):
+    """Two grids are two tables, a line of texts and texts alone none, and a text that overlaps nothing is apart."""
+    rows = [(1, 0, 10 * t + 2 * r + c, 50.0 + 300 * t + 60 * c, 700.0 - 20 * r, 90.0 + 300 * t + 60 * c, 710.0 - 20 * r) for t in range(2) for r in range(3) for c in range(2)]
+    rows += [(1, 0, 30 + c, 50.0 + 60 * c, 100.0, 90.0 + 60 * c, 110.0) for c in range(5)] + [(1, 0, 50, 400.0, 300.0, 440.0, 310.0), (1, 0, 51, None, 1.0, 2.0, 3.0), (2, 0, 0, 1.0, 1.0, 2.0, 2.0)]
+    got = {r.seq: (r.table, r.row, r.col) for r in tb.borderless(spark.createDataFrame(rows, "doc_id long, page long, seq long, x0 double, y0 double, x1 double, y1 double")).collect()}
+    assert got == {10 * t + 2 * r + c: (10 * t, r + 1, c + 1) for t in range(2) for r in range(3) for c in range(2)}
+
+
 def split(lines, ruled):
     """The row bands of one table by plain loops; None where its rows stay."""
     lines = [r for r in lines if (r.text or "").strip(" ")]
