@@ -12,7 +12,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules of docuflux.plans that register queries.
-MODULES = ("text", "guards", "retrieval", "ingest", "structure", "hierarchy", "layout", "blocks", "tables", "lists", "hybrid", "writers", "operations")
+MODULES = ("text", "guards", "retrieval", "ingest", "structure", "hierarchy", "layout", "blocks", "tables", "lists", "hybrid", "writers", "piped", "said", "operations")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
