@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docuflux.operators.groups import by_group
+from docuflux.operators.groups import by_group, stepped
 from docuflux.operators.layout import PAGE
 
 # Fixed values of the detectors.
@@ -181,14 +181,18 @@ def styled_levels(headings_: DataFrame) -> DataFrame:
 def normal_levels(headings_: DataFrame) -> DataFrame:
     """Adds shown: levels without gaps from 1, and no deeper than one below the heading before it."""
 
-    def walk(rows: list[dict]) -> list[dict]:
-        steps = {level: i + 1 for i, level in enumerate(sorted({r["level"] for r in rows}))}
-        before = 0
-        for r in rows:
-            before = r["shown"] = min(steps[r["level"]], before + 1)
-        return rows
+    def start():
+        before = [0]
 
-    return by_group(headings_.select("doc_id", "seq", "level"), ["doc_id"], ["seq"], walk, "doc_id long, seq long, level int, shown int")
+        def step(level: int) -> tuple[int]:
+            before[0] = min(level, before[0] + 1)
+            return (before[0],)
+
+        return step
+
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("level"))
+    rows = headings_.select("doc_id", "seq", "level", rank.alias("_step"))
+    return stepped(rows, ["doc_id"], ["seq"], ["_step"], start, "shown int").drop("_step")
 
 
 # repeated edges of pages --------------------------------------------------------------------------

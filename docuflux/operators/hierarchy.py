@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from docuflux.functions import guards as g
 from docuflux.functions import text as t
 from docuflux.operators import retrieval as r
-from docuflux.operators.groups import by_group
+from docuflux.operators.groups import by_group, flowed
 from docuflux.operators.structure import OVERLAP, SIZE, split_text
 
 # Words that a question about tables or for an overview contains, anywhere.
@@ -108,31 +108,24 @@ def sized_chunks(elements: DataFrame, least: int = 200) -> DataFrame:
     """Neighbouring elements gathered until their lines hold `least` characters; the rest of a
     document is its last chunk: doc_id, chunk, text, pages."""
 
-    def gather(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        lines, held, pages = [], 0, []
-
-        def close() -> None:
-            whole = "\n".join(lines).strip()
-            if whole:
-                out.append({"doc_id": rows[0]["doc_id"], "chunk": len(out), "text": whole, "pages": list(pages)})
-            lines.clear()
-            pages.clear()
-
+    def gather(rows: Iterator) -> Iterator[tuple]:
+        lines, held, pages, n = [], 0, [], 0
         for row in rows:
-            line = row["content"] or ""
+            line = row.content or ""
             lines.append(line)
             held += len(line) + 1
-            if row["page"] and row["page"] not in pages:
-                pages.append(row["page"])
+            if row.page and row.page not in pages:
+                pages.append(row.page)
             if held >= least:
-                close()
-                held = 0
-        close()
-        return out
+                if whole := "\n".join(lines).strip():
+                    yield row.doc_id, n, whole, pages
+                    n += 1
+                lines, held, pages = [], 0, []
+        if whole := "\n".join(lines).strip():
+            yield row.doc_id, n, whole, pages
 
     body = elements.filter(F.col("type").isin("paragraph", "heading", "list")).select("doc_id", "seq", "page", "content")
-    return by_group(body, ["doc_id"], ["seq"], gather, "doc_id long, chunk int, text string, pages array<int>")
+    return flowed(body, ["doc_id"], ["seq"], gather, "doc_id long, chunk int, text string, pages array<int>")
 
 
 # retrieval ------------------------------------------------------------------------------------

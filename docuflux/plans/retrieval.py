@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from docuflux.functions import text as t
 from docuflux.operators import retrieval as r
 from docuflux.operators import vectors as vx
+from docuflux.operators.hierarchy import pool_size
 from docuflux.registry import register
 
 from .text import read
@@ -77,12 +78,11 @@ def r1(spark, sf_dir):
 @register("r2_mmr")
 def r2(spark, sf_dir):
     all_, q = vectors(spark, sf_dir)
-    got = r.top(r.dense(all_, q), 12).join(all_.select("id", "embedding"), "id")
+    got = r.top(r.dense(all_, q), pool_size(3)).join(all_.select("id", "embedding"), "id")
     return r.mmr(got.select("query_id", "id", "score", "rank", "embedding"), 3)
 
 
-#: A question's vector is the mean of those whose ids are the places of its first words in the alphabet of the
-#: table: no encoder is at hand, so a question is a bag of known vectors, each question one of its own.
+#: A question's vector is the sum of those that its words name, each by its digest, as no encoder is at hand.
 QUESTION_SQL = f"""w0 AS (SELECT item_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark),
   wv AS (SELECT item_id AS query_id, i, cast('0x' || substr(md5(w[i + 1]), 1, 7) AS bigint) % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT item_id, w, unnest(range(len(w))) AS i FROM w0)),
   qe AS (SELECT query_id, list(s ORDER BY p) AS v FROM (SELECT query_id, p, sum(x) AS s FROM (SELECT query_id, unnest(range(len(embedding))) AS p, unnest(embedding::DOUBLE[]) AS x FROM wv JOIN embeddings USING (vec_id)) GROUP BY ALL) GROUP BY 1),

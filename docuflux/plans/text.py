@@ -156,7 +156,7 @@ def s7(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", files.dispatch(t.extension(name)).alias("loader"))
 
 
-@register("s6_pdf_parsers", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pypdf' WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 'opendataloader' ELSE 'pypdf' END END AS parser FROM pages")
+@register("s6_pdf_parsers", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pypdf' WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 'layout' ELSE 'pypdf' END END AS parser FROM pages")
 def s6(spark, sf_dir):
     from docuflux.sources import files
 

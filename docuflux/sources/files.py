@@ -25,7 +25,7 @@ ELEMENT = T.StructType(
 )
 
 
-PARSERS = ["pypdf", "opendataloader"]
+PARSERS = ["pypdf", "layout"]
 
 
 def dispatch(extension: Column) -> Column:
@@ -35,7 +35,7 @@ def dispatch(extension: Column) -> Column:
 
 def pdf_parser(asked: Column, layout_ready: Column) -> Column:
     """The parser of a PDF: the one asked for, else the layout parser if it is there; null for an unknown name."""
-    return F.when(asked.isin(PARSERS), asked).when(asked.isNull(), F.when(layout_ready, "opendataloader").otherwise("pypdf"))
+    return F.when(asked.isin(PARSERS), asked).when(asked.isNull(), F.when(layout_ready, "layout").otherwise("pypdf"))
 
 
 def docx_text(content: bytes) -> str | None:
