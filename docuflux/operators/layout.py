@@ -124,10 +124,10 @@ def baseline_groups(objects: DataFrame) -> DataFrame:
     return by.groupBy(*PAGE).agg(F.count_if("gap").alias("groups"))
 
 
-def font_modes(objects: DataFrame) -> DataFrame:
-    """(doc_id, font_size, n): the commonest size of a document's texts, the least of equals."""
-    counts = objects.filter("kind = 'text'").groupBy("doc_id", "font_size").agg(F.count("*").alias("n"))
-    return counts.groupBy("doc_id").agg(F.min_by(F.struct("font_size", "n"), F.struct(-F.col("n"), F.col("font_size"))).alias("m")).select("doc_id", "m.*")
+def font_modes(objects: DataFrame, value: str = "font_size") -> DataFrame:
+    """(doc_id, value, n): the commonest size (or weight) of a document's texts, the least of equals."""
+    counts = objects.filter(F.col("kind") == "text").groupBy("doc_id", value).agg(F.count("*").alias("n"))
+    return counts.groupBy("doc_id").agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("m")).select("doc_id", "m.*")
 
 
 def regions(objects: DataFrame) -> DataFrame:

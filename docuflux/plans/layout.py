@@ -115,6 +115,11 @@ def a10(spark, sf_dir):
     return lay.font_modes(objects(spark, sf_dir))
 
 
+@register("a10_weight_modes", f"WITH {OBJECTS}, c AS (SELECT doc_id, font_weight, count(*) AS n FROM o WHERE kind = 'text' GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, font_weight) = 1")
+def a10_weights(spark, sf_dir):
+    return lay.font_modes(objects(spark, sf_dir), "font_weight")
+
+
 @register("a11_regions", f"WITH {OBJECTS}, r AS (SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum((x1 - x0) * (y1 - y0)) AS a FROM o GROUP BY ALL) SELECT doc_id, page, x0, y0, x1, y1, round(CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN least(1.0, a / ((x1 - x0) * (y1 - y0))) ELSE 1.0 END, 6) AS density FROM r")
 def a11(spark, sf_dir):
     return lay.regions(objects(spark, sf_dir)).withColumn("density", F.round("density", 6))

@@ -59,3 +59,10 @@ def s13_said(spark, sf_dir):
     listed = part.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", said.alias("said")))).alias("parts"))
     spec = listed.select("doc_id", F.array_join(F.transform("parts", lambda p: p["said"]), ",").alias("spec"))
     return spec.select("doc_id", "spec", g.pages_valid(F.col("spec")).alias("valid"), ops.page_numbers(F.col("spec")).alias("pages"))
+
+
+@register("f34_clean_json", r"""SELECT doc_id, md5(replace(text, 'a', chr(65533))) AS cleaned, length(text) AS n FROM documents""")
+def f34_clean(spark, sf_dir):
+    """Whole texts in which every a has become a null character, cleaned."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("a"), F.lit("\x00")).alias("text"))
+    return rows.select("doc_id", F.md5(g.without_nulls(F.col("text"))).alias("cleaned"), F.length("text").cast("long").alias("n"))
