@@ -213,3 +213,38 @@ def docling_objects(responses: DataFrame, heights: DataFrame) -> DataFrame:
         at["bbox"]["l"].alias("left"), at["bbox"]["t"].alias("top"), at["bbox"]["r"].alias("right"), at["bbox"]["b"].alias("bottom"), at["bbox"]["coord_origin"].alias("origin"),
     ).filter("type is not null and page is not null")
     return to_points(flat, heights, pixels=False).select(*PAGE, "seq", "type", "text", *BOX)
+
+
+ELEMENTS = (
+    "elements array<struct<category: struct<type: string>, pageIndex: int, bbox: struct<left: double, top: double, width: double, height: double>, content: struct<text: string>>>"
+)
+#: Types of elements that are named by category; others are paragraphs if they have a text.
+CATEGORIES = {"PARAGRAPH": "paragraph", "LIST_ITEM": "paragraph", "HEADING": "heading", "TABLE": "table", "FIGURE": "picture", "FORMULA": "formula"}
+DEFAULT_HEIGHT = 842.0
+
+
+def category_objects(responses: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """Page objects of a backend's JSON texts that name elements by category, with boxes from the page's
+    top: doc_id, page (from 1), seq, type, text, heading_level (1 on headings), picture (number in
+    the document), x0, y0, x1, y1 from the page's bottom, place (reading order).
+
+    responses: doc_id, json; heights: doc_id, page, height, 842 where they lack a page. Page headers and
+    footers, elements without a category or box, and empty ones of an unknown type are left out.
+    JSON that can't be read gives no objects.
+    """
+    items = responses.select("doc_id", F.posexplode(F.from_json("json", ELEMENTS)["elements"]).alias("seq", "e"))
+    said, text = F.col("e.category.type"), F.coalesce("e.content.text", F.lit(""))
+    known = F.create_map(*[x for k, v in CATEGORIES.items() for x in (F.lit(k), F.lit(v))])[said]
+    rows = items.withColumns({"type": F.coalesce(known, F.when(text != "", "paragraph")), "page": F.coalesce("e.pageIndex", F.lit(0)).cast("long") + 1, "text": text})
+    rows = rows.filter(said.isNotNull() & ~said.isin("PAGE_HEADER", "PAGE_FOOTER") & F.col("type").isNotNull() & F.col("e.bbox").isNotNull())
+    if heights is not None:
+        rows = rows.join(heights.select(*PAGE, "height"), PAGE, "left")
+    height = F.coalesce(F.col("height"), F.lit(DEFAULT_HEIGHT)) if heights is not None else F.lit(DEFAULT_HEIGHT)
+    part = lambda c: F.coalesce(f"e.bbox.{c}", F.lit(0.0))
+    is_picture = F.col("type") == "picture"
+    number = F.when(is_picture, F.count(F.when(is_picture, 1)).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    flat = rows.select(
+        *PAGE, F.col("seq").cast("long").alias("seq"), "type", F.when(F.col("type").isin("table", "picture"), F.lit(None)).otherwise(F.col("text")).alias("text"), F.when(F.col("type") == "heading", 1).alias("heading_level"), number.alias("picture"),
+        part("left").alias("x0"), (height - part("top") - part("height")).alias("y0"), (part("left") + part("width")).alias("x1"), (height - part("top")).alias("y1"),
+    )
+    return rows_sorted(flat)

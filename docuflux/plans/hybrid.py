@@ -192,3 +192,23 @@ def a15(spark, sf_dir):
   d AS (SELECT *, sum(f2) OVER (PARTITION BY doc_id, page ORDER BY x0, seq) AS col FROM c) SELECT doc_id, page, seq, "row", col FROM d QUALIFY max("row") OVER (PARTITION BY doc_id, page) > 1 AND max(col) OVER (PARTITION BY doc_id, page) > 1""")
 def g8(spark, sf_dir):
     return y.clustered_cells(objects(spark, sf_dir).filter("kind = 'text'")).select("doc_id", "page", "seq", "row", "col")
+
+
+SAID = "CASE kind WHEN 'heading' THEN 'HEADING' WHEN 'image' THEN 'FIGURE' WHEN 'line' THEN 'FORMULA' WHEN 'art' THEN 'TABLE' ELSE ['PARAGRAPH', 'LIST_ITEM', 'NOTE', 'PAGE_FOOTER'][seq % 4 + 1] END"
+
+
+@register("s16_category_objects", f"""WITH {OBJECTS}, c AS (SELECT *, {SAID} AS said, y1 - (seq % 10) // 2 * 50 AS top FROM o), k AS (SELECT * FROM c WHERE said <> 'PAGE_FOOTER' AND NOT (said = 'NOTE' AND text = '')),
+  t AS (SELECT *, CASE said WHEN 'HEADING' THEN 'heading' WHEN 'FIGURE' THEN 'picture' WHEN 'FORMULA' THEN 'formula' WHEN 'TABLE' THEN 'table' ELSE 'paragraph' END AS type FROM k),
+  f AS (SELECT *, coalesce(lag(top) OVER d - top > 5, true)::INT AS fresh, CASE WHEN type = 'picture' THEN count(*) FILTER (type = 'picture') OVER (PARTITION BY doc_id ORDER BY seq) END AS picture FROM t WINDOW d AS (PARTITION BY doc_id, page ORDER BY top DESC, x0, seq)),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY top DESC, x0, seq) AS band FROM f)
+  SELECT doc_id, page + 1 AS page, seq, type, CASE WHEN type NOT IN ('table', 'picture') THEN text END AS text, CASE WHEN type = 'heading' THEN 1 END AS heading_level, picture, x0, top - (y1 - y0) AS y0, x1, top AS y1, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, x0, seq) AS place FROM g""")
+def s16_categories(spark, sf_dir):
+    """All lines as a backend would return them, one JSON text for each document."""
+    o = objects(spark, sf_dir)
+    text = F.element_at(F.array(*map(F.lit, ("PARAGRAPH", "LIST_ITEM", "NOTE", "PAGE_FOOTER"))), (F.col("seq") % 4 + 1).cast("int"))
+    said = F.when(F.col("kind") == "heading", "HEADING").when(F.col("kind") == "image", "FIGURE").when(F.col("kind") == "line", "FORMULA").when(F.col("kind") == "art", "TABLE").otherwise(text)
+    top = F.col("y1") - F.floor(F.col("seq") % 10 / 2) * 50
+    box = F.struct(F.col("x0").alias("left"), (842.0 - top).alias("top"), (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"))
+    element = F.struct("seq", F.struct(said.alias("type")).alias("category"), F.col("page").alias("pageIndex"), box.alias("bbox"), F.struct("text").alias("content"))
+    rows = o.groupBy("doc_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(element)).alias("elements"))).alias("json"))
+    return y.category_objects(rows)

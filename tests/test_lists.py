@@ -118,3 +118,22 @@ def test_lists_that_do_not_go_on(spark):
     assert near == {0: (0, 1, "item"), 1: (0, 2, "item"), 2: (0, 2, "body"), 3: (0, 3, "item"), 4: (0, 4, "item")}
     assert linked(spark, (0, "1. a"), (0, "2. b"), (0, "t", 50, "table"), (1, "3. c", 90), (1, "4. d", 90))[3] == (3, 1, "item")
     assert ls.linked(lines(spark, (0, "x")), ls.items(lines(spark, (0, "x")))).collect() == []
+
+
+def test_objects_by_category(spark):
+    """A backend's elements: furniture, unknown empty ones and those without a box go, boxes are turned over, rows of a band are read from the left."""
+    from docuflux.operators import hybrid
+
+    box = '"bbox":{"left":%s,"top":%s,"width":10,"height":5}'
+    texts = [
+        '{"elements":[{"category":{"type":"PARAGRAPH"},"pageIndex":1,%s,"content":{"text":"right"}},{"category":{"type":"HEADING"},"pageIndex":1,%s,"content":{"text":"left \\u00e9"}},{"category":{"type":"PAGE_HEADER"},%s},'
+        '{"category":{"type":"FIGURE"},%s},{"category":{"type":"ODD"},%s,"content":{"text":""}},{"category":{"type":"ODD"},%s,"content":{"text":"odd"}},{"category":{},%s},{"category":{"type":"TABLE"}},{"category":{"type":"FIGURE"},%s}]}'
+        % tuple(box % at for at in ((50, 13), (5, 10), (0, 0), (0, 100), (0, 0), (0, 40), (0, 0), (0, 700))),
+        "no json", "{}", None, '{"elements":[{"category":{"type":"FORMULA"},"bbox":{},"content":{"text":"x"}}]}',
+    ]
+    heights = spark.createDataFrame([(0, 2, 100.0)], "doc_id long, page long, height double")
+    got = hybrid.category_objects(spark.createDataFrame(list(enumerate(texts)), "doc_id long, json string"), heights).orderBy("doc_id", "page", "place").collect()
+    assert [(r.doc_id, r.page, r.seq, r.type, r.text, r.heading_level, r.picture, r.x0, r.y0, r.x1, r.y1) for r in got] == [
+        (0, 1, 5, "paragraph", "odd", None, None, 0.0, 797.0, 10.0, 802.0), (0, 1, 3, "picture", None, None, 1, 0.0, 737.0, 10.0, 742.0), (0, 1, 8, "picture", None, None, 2, 0.0, 137.0, 10.0, 142.0),
+        (0, 2, 1, "heading", "left é", 1, None, 5.0, 85.0, 15.0, 90.0), (0, 2, 0, "paragraph", "right", None, None, 50.0, 82.0, 60.0, 87.0), (4, 1, 0, "formula", "x", None, None, 0.0, 842.0, 0.0, 842.0),
+    ]
