@@ -114,8 +114,8 @@ def document_json(elements: DataFrame, furniture: bool = False) -> DataFrame:
 
 
 def data_uri(content: Column, kind: str = "png") -> Column:
-    """An image's bytes as a data address."""
-    return F.concat(F.lit(f"data:image/{kind};base64,"), F.base64(content))
+    """An image's bytes as a data address, without the line ends that Spark puts after every 76 signs."""
+    return F.concat(F.lit(f"data:image/{kind};base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def data_uri_of(content: bytes, kind: str = "png") -> str:

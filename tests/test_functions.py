@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docuflux.functions import text as t
-from docuflux.operators import layout, operations, retrieval, structure
+from docuflux.operators import layout, operations, retrieval, structure, writers
 from docuflux.sources import files
 from docuflux.streaming import rates
 
@@ -119,3 +119,8 @@ def test_retries(spark):
     ended, again = rates.worked(batch, lambda d: d.withColumn("ok", F.col("file_name") == "c"))
     assert {(r.file_name, r.status) for r in ended.collect()} == {("b", "failed"), ("c", "done")}
     assert [r.file_name for r in again.collect()] == ["a"]
+
+
+@pytest.mark.parametrize("n", [0, 57, 58, 200])
+def test_data_uris_have_no_line_ends(spark, n):
+    assert one(spark, writers.data_uri(F.encode(F.col("a"), "UTF-8")), a="é" * n) == writers.data_uri_of("é".encode() * n)
