@@ -142,8 +142,8 @@ BOTH = f"""{DENSE_SQL}, a AS (SELECT d.*, e.label % 2 = 0 AS own FROM d JOIN emb
   SELECT query_id, id, r::INT AS place, 'documents' AS origin FROM lr WHERE r <= 3 UNION ALL SELECT query_id, id, (r + 3)::INT, 'synthesized' FROM yr WHERE r <= 3""")
 def r7(spark, sf_dir):
     all_, q = vectors(spark, sf_dir)
-    scores = r.dense(all_, q).filter("id <> query_id").join(all_.select("id", (F.col("label") % 2 == 0).alias("own")), "id")
-    return h.weak_answers(scores.filter("own").drop("own"), scores.filter("not own").drop("own"), WEAK, 3, True)
+    best = lambda of: r.nearest(all_.filter(of), q, 3, others=True)
+    return h.weak_answers(best("label % 2 = 0"), best("label % 2 <> 0"), WEAK, 3, True)
 
 
 @register("r4_reranked", HYBRID_SQL.format(k=12, columns="query_id, id, rank", rows="x WHERE rank <= 4"))

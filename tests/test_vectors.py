@@ -44,3 +44,36 @@ def test_few_and_no_rows(spark):
     centres = vectors.fit(one)
     asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<float>")
     assert [(r.id, r.score) for r in vectors.search(vectors.indexed(one, centres), asked, centres, 3).collect()] == [(1, 0.0), (2, 0.0)]
+
+
+@pytest.mark.parametrize("others", [False, True])
+def test_nearest_in_blocks_as_all_pairs(spark, monkeypatch, others):
+    """Copies, null and odd vectors, and other sizes; few rows go on, not all pairs."""
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 60)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 20)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((150, 6)).round(1))] + [(500 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0]) for i in range(90)]
+    rows += [(900, None), (901, [1e-200, 0.0, 0.0, 0.0, 0.0, 0.0]), (902, [1.0]), (903, [math.nan] * 6), (904, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (905, []), (906, [3.0, 4.0]), (907, [math.inf, 1.0, 0.0, 0.0, 0.0, 0.0])]
+    all_ = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = all_.filter("id % 7 = 0 or id >= 900").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = retrieval.nearest(all_, asked, 5, others)
+    known = {}
+    for i, v in rows:
+        x = np.array([math.nan if c is None else c for c in v or []], float)
+        n = np.sqrt((x * x).sum())
+        known[i] = x / n if np.isfinite(n) and n > 0 else np.zeros(len(x))
+    want = {}
+    for q in [i for i in known if i % 7 == 0 or i >= 900]:
+        score = lambda i: float(known[q] @ known[i]) if len(known[q]) == len(known[i]) else 0.0  # noqa: B023, E731
+        best = sorted((-round(score(i), 9), i) for i in known if i != q or not others)[:5]
+        want |= {(q, n + 1): (i, round(-s, 6) + 0.0) for n, (s, i) in enumerate(best)}
+    assert {(r.query_id, r.rank): (r.id, round(r.score, 6) + 0.0) for r in retrieval.top(got, 5).collect()} == want
+    assert got.groupBy("query_id").count().filter("count > 60").isEmpty()
+
+
+def test_beside(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 10)
+    ids = [1, 2, 3, 9, 10, 40, 41, 60, *range(100, 130)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = {(r.query_id, r.rank): r.id for r in retrieval.beside(rows, rows.select(F.col("id").alias("query_id")), 4).collect()}
+    assert got == {(q, n + 1): i for q in ids for n, i in enumerate(sorted(ids, key=lambda i: (abs(i - q), i))[:4])}
