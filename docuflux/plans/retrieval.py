@@ -124,7 +124,7 @@ def r3(spark, sf_dir):
 @register("t6_boost", f"WITH {DENSE_SQL}, k AS (SELECT dr.query_id, dr.id, dr.rank, e.label % 2 = 0 AS flag FROM dr JOIN embeddings e ON e.vec_id = dr.id WHERE dr.rank <= 10) SELECT query_id, id, flag, row_number() OVER (PARTITION BY query_id ORDER BY flag::int DESC, rank) AS rank FROM k")
 def t6(spark, sf_dir):
     all_, q = vectors(spark, sf_dir)
-    got = r.top(r.dense(all_, q), 10).join(all_.select("id", (F.col("label") % 2 == 0).alias("flag")), "id")
+    got = r.top(r.nearest(all_, q, 10), 10).join(all_.select("id", (F.col("label") % 2 == 0).alias("flag")), "id")
     return r.boosted(got, "flag").select("query_id", "id", "flag", "rank")
 
 
