@@ -78,7 +78,7 @@ def r1(spark, sf_dir):
 @register("r2_mmr")
 def r2(spark, sf_dir):
     all_, q = vectors(spark, sf_dir)
-    got = r.top(r.dense(all_, q), pool_size(3)).join(all_.select("id", "embedding"), "id")
+    got = r.top(r.nearest(all_, q, pool_size(3)), pool_size(3)).join(all_.select("id", "embedding"), "id")
     return r.mmr(got.select("query_id", "id", "score", "rank", "embedding"), 3)
 
 
