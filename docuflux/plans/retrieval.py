@@ -45,7 +45,7 @@ def a2(spark, sf_dir):
 @register("t1_dense", f"WITH {DENSE_SQL} SELECT query_id, id, round(score, 5) AS score, rank FROM dr WHERE rank <= 10")
 def t1(spark, sf_dir):
     all_, q = vectors(spark, sf_dir)
-    return r.top(r.dense(all_, q), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+    return r.top(r.nearest(all_, q, 10), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
 @register("j8_vector_index")
