@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docuflux.functions import text as t
 from docuflux.operators import retrieval as r
@@ -63,10 +62,7 @@ def j8_index(spark, sf_dir):
 def a1(spark, sf_dir):
     """Fuses each query's nearest vectors with its nearest ids."""
     all_, q = vectors(spark, sf_dir)
-    scores = r.dense(all_, q)
-    w = Window.partitionBy("query_id").orderBy(F.abs(F.col("id") - F.col("query_id")), "id")
-    by_id = scores.withColumn("rank", F.row_number().over(w)).filter("rank <= 20")
-    return r.fused(r.top(scores, 20), by_id).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return r.fused(r.top(r.nearest(all_, q, 20), 20), r.beside(all_, q, 20)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @register("r1_gate", f"WITH {BM25_SQL}, g AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM br WHERE rank <= 3) SELECT query_id, id, rank, round(best, 6) AS best_score FROM g WHERE best >= 60")
@@ -109,7 +105,7 @@ def questions(spark, sf_dir):
 def hybrid(spark, sf_dir, k):
     """The k best of each question by its vector, and by BM25, fused."""
     all_, _ = vectors(spark, sf_dir)
-    near = r.top(r.dense(all_, questions(spark, sf_dir)), k).select("query_id", "id", "rank")
+    near = r.top(r.nearest(all_, questions(spark, sf_dir), k), k).select("query_id", "id", "rank")
     return r.fused(near, r.top(r.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir)), k))
 
 
