@@ -7,9 +7,12 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from docuflux import registry
 from docuflux.operators import index, retrieval
 from docuflux.operators import versions as vs
 
+from .compare import same
+
 
 @pytest.fixture
 def store(spark, tmp_path):
@@ -145,3 +148,32 @@ def test_empty_index(spark, tmp_path):
     index.update(store, frame(spark, {1: "x"}))
     index.update(store, spark.createDataFrame([], "id long, text string"), spark.createDataFrame([(1,)], "id long"))
     assert store.manifest()["facts"] == {"n": 0, "total": 0} and index.search(store, asked, 3).collect() == []
+
+
+@pytest.mark.parametrize("blocks", [(256, 2_000_000), (2, 40)])
+def test_best_bm25_as_all_scores(spark, monkeypatch, blocks):
+    """Copies, frequent words with negative weights, words of no document; few rows go on."""
+    monkeypatch.setattr(retrieval, "TERM_BLOCK", blocks[0])
+    monkeypatch.setattr(retrieval, "CELLS_AT_ONCE", blocks[1])
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40) for _ in range(40 // (i + 1))]
+    make = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30)))
+    texts = {i: make() for i in range(200)} | {300 + i: "W0 w1\tw1" for i in range(60)} | {500: "", 501: "Only ONE word word"}
+    asked = {q: make() + " nowhere" for q in range(7)} | {20: "word", 21: "nothing of it", 22: "w0 w1 w1", 23: ""}
+    questions = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    for k in (1, 5, 400):
+        found = retrieval.best_bm25(frame(spark, texts).repartition(3), questions, k, "id")
+        assert {(r.query_id, r.id): (r.rank, round(r.score, 6)) for r in retrieval.top(found, k).collect()} == bm25(texts, asked, k)
+    few = retrieval.best_bm25(frame(spark, texts).coalesce(1), questions, 5, "id")
+    assert few.groupBy("query_id").count().filter("count > 10").isEmpty()
+    monkeypatch.setattr(retrieval, "QUERY_TERMS", 3)
+    assert {(r.query_id, r.id): (r.rank, round(r.score, 6)) for r in retrieval.top(retrieval.best_bm25(frame(spark, texts), questions, 5, "id"), 5).collect()} == bm25(texts, asked, 5)
+
+
+def test_documents_without_text_count(spark, tmp_path):
+    """As in the SQL, they are of the corpus' size and not of the mean length."""
+    texts = {i: f"common a{i % 7} b{i % 3}" for i in range(30)} | {i: None for i in range(30, 45)}
+    frame(spark, texts).withColumnRenamed("id", "doc_id").coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, "a1 common"), (2, "b2 a3 a3")], "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    for name in ("a2_bm25", "r1_gate"):
+        same(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], tmp_path)
