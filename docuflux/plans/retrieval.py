@@ -67,7 +67,7 @@ def a1(spark, sf_dir):
 
 @register("r1_gate", f"WITH {BM25_SQL}, g AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM br WHERE rank <= 3) SELECT query_id, id, rank, round(best, 6) AS best_score FROM g WHERE best >= 60")
 def r1(spark, sf_dir):
-    kept = r.gated(r.top(r.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir)), 3), 60.0)
+    kept = r.gated(r.top(r.best_bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir), 3), 3), 60.0)
     return kept.select("query_id", "id", "rank", F.round("best_score", 6).alias("best_score"))
 
 
