@@ -106,7 +106,7 @@ def hybrid(spark, sf_dir, k):
     """The k best of each question by its vector, and by BM25, fused."""
     all_, _ = vectors(spark, sf_dir)
     near = r.top(r.nearest(all_, questions(spark, sf_dir), k), k).select("query_id", "id", "rank")
-    return r.fused(near, r.top(r.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir)), k))
+    return r.fused(near, r.top(r.best_bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir), k), k))
 
 
 @register("r3_hybrid", HYBRID_SQL.format(k=10, columns="x.query_id, x.id, x.rank, round(s, 6) AS score, d.text", rows="x LEFT JOIN documents d ON d.doc_id = x.id WHERE rank <= 3"))
