@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,11 +55,13 @@ class Versions:
         kind = T.StructType.fromDDL(schema)
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
-    def commit(self, base: dict, changes: dict[str, tuple[DataFrame, list[int]]], facts: dict) -> dict:
+    def commit(self, base: dict, changes: dict[str, tuple[DataFrame | Callable[[dict], DataFrame], list[int]]], facts: dict | Callable[[dict], dict]) -> dict:
         """The version after `base`: of each table the rows (with their `bucket`) that take the place of
-        the named buckets. The tables are written first, then the manifest that swaps all of them."""
+        the named buckets. The tables are written first, then the manifest that swaps all of them. Rows, and
+        the facts, can be functions of the manifest as far as it is written, to be made from earlier tables."""
         tables = {name: dict(parts) for name, parts in base["tables"].items()}
         for name, (rows, touched) in changes.items():
+            rows = rows({"tables": tables}) if callable(rows) else rows
             folder = f"{name}/{base['version'] + 1}-{uuid.uuid4().hex[:8]}"
             rows.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
             parts = {k: v for k, v in tables.get(name, {}).items() if int(k) not in touched}
@@ -66,7 +69,7 @@ class Versions:
             if stray := {int(b) for b in written} - set(touched):
                 raise ValueError(f"rows of {name} in buckets that are not replaced: {sorted(stray)[:5]}")
             tables[name] = parts | written
-        new = {"version": base["version"] + 1, "tables": tables, "facts": facts}
+        new = {"version": base["version"] + 1, "tables": tables, "facts": facts({"tables": tables}) if callable(facts) else facts}
         self._swap(new)
         return new
 

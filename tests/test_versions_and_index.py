@@ -177,3 +177,27 @@ def test_documents_without_text_count(spark, tmp_path):
     spark.createDataFrame([(1, "a1 common"), (2, "b2 a3 a3")], "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
     for name in ("a2_bm25", "r1_gate"):
         same(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], tmp_path)
+
+
+def test_words_of_an_update_are_read_twice(spark, tmp_path):
+    """For the chunks and for the postings, as the other tables come from those; many candidates are not joined."""
+    store, reads = vs.Versions(spark, f"file://{tmp_path}/index", 4), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        reads.add(1)
+        return text
+
+    texts = {i: f"common a{i % 7} a{i % 7} b{i}" for i in range(90)}
+    index.update(store, frame(spark, texts).repartition(2).cache().select("id", read.asNondeterministic()("text").alias("text")))
+    assert reads.value == 180
+
+
+def test_many_candidates(spark, tmp_path, monkeypatch):
+    store, texts, asked = vs.Versions(spark, f"file://{tmp_path}/index", 4), {i: f"common a{i % 7} a{i % 7} b{i}" for i in range(90)}, {1: "common a3 b4", 2: "a1 a1 b9 common"}
+    monkeypatch.setattr(index, "ROWS", 7)
+    index.update(store, frame(spark, texts).coalesce(1))
+    for most in (0, 1_000_000):
+        monkeypatch.setattr(index, "BROADCAST_ROWS", most)
+        found = index.search(store, spark.createDataFrame(list(asked.items()), "query_id long, text string"), 5)
+        assert {(r.query_id, r.id): (r.rank, round(r.score, 6)) for r in found.collect()} == bm25(texts, asked, 5)
