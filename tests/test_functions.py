@@ -1,3 +1,5 @@
+import re
+
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -5,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docuflux.functions import text as t
-from docuflux.operators import layout, operations, retrieval, structure, writers
+from docuflux.operators import layout, operations, providers, retrieval, structure, writers
 from docuflux.sources import files
 from docuflux.streaming import rates
 
@@ -124,3 +126,11 @@ def test_retries(spark):
 @pytest.mark.parametrize("n", [0, 57, 58, 200])
 def test_data_uris_have_no_line_ends(spark, n):
     assert one(spark, writers.data_uri(F.encode(F.col("a"), "UTF-8")), a="é" * n) == writers.data_uri_of("é".encode() * n)
+
+
+def test_embedding_makes_places_once(spark):
+    """What is filtered for each dimension is a bound variable, not the words and their digests again."""
+    rows = spark.createDataFrame([("a b b",), ("",), (None,)], "text string").select(providers.hash_embedding(F.col("text")).alias("e"))
+    assert re.search(r"size\(filter\((?:lambda|namedlambda)", rows._jdf.queryExecution().analyzed().toString())
+    got = [r.e for r in rows.collect()]
+    assert sorted(x for x in got[0] if x) == pytest.approx([1 / 5**0.5, 2 / 5**0.5]) and got[1] == got[2] == [0.0] * 16
