@@ -35,8 +35,10 @@ STEPS, ROUNDS = 120, 6
 WIDTH, STRIDE = 64, 48
 HIDDEN, EMBED, STATS = 8, 6, 4
 WORD_ROWS, GRAM_ROWS, ODDS_ROWS = 1 << 12, 1 << 12, 1 << 18
-#: Windows scored at a time, and words a worker remembers.
-CHUNK, KEPT = 2048, 1 << 18
+#: Windows that a fit scores at a time.
+CHUNK = 2048
+#: Windows scored at a time, new words looked up at a time, and words remembered by a worker; they bound what it holds.
+SCORED, FRESH, KEPT = 512, 1 << 14, 1 << 16
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -85,15 +87,19 @@ class Odds:
             parts = np.repeat(words.starts[own], words.sizes[own]) + np.arange(words.sizes[own].sum()) - np.repeat(np.cumsum(words.sizes[own]) - words.sizes[own], words.sizes[own])
             self.gram[at][np.unique(words.grams[parts] % ODDS_ROWS)] += 1
 
-    def stats(self, words: Words, left_out: int | None = None) -> np.ndarray:
-        """STATS columns for each word. left_out: 1 or 0 takes one row of that label away."""
+    def tables(self, left_out: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds by hash of words and of 4-grams. left_out: 1 or 0 takes one row of that label away."""
         n, word, gram = self.n.copy(), self.word, self.gram
         if left_out is not None:
             at = 0 if left_out == 1 else 1
             n[at] -= 1
             less = lambda x: [np.maximum(0, x[i] - (i == at)) for i in (0, 1)]
             word, gram = less(word), less(gram)
-        by_word, by_gram = log_odds(word[0], word[1], *n), log_odds(gram[0], gram[1], *n)
+        return log_odds(word[0], word[1], *n), log_odds(gram[0], gram[1], *n)
+
+    def stats(self, words: Words, left_out: int | None = None, tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """STATS columns for each word, by tables() or those given."""
+        by_word, by_gram = tables or self.tables(left_out)
         of_gram = by_gram[words.grams % ODDS_ROWS]
         out = np.zeros((len(words.words), STATS), np.float32)
         if len(words.words):
@@ -211,12 +217,12 @@ class Network:
         np.add.at(g["gram"], words.grams % GRAM_ROWS, np.repeat(d_in[:, EMBED : 2 * EMBED] / words.sizes[:, None], words.sizes, 0))
         return g
 
-    def window_logits(self, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def window_logits(self, table: np.ndarray, ids: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """ids: windows, WIDTH; in chunks, the shorter ones together."""
         lengths = (ids > 0).sum(1)
         order, out = np.argsort(lengths, kind="stable"), np.empty(len(ids), np.float32)
-        for i in range(0, len(ids), CHUNK):
-            part = order[i : i + CHUNK]
+        for i in range(0, len(ids), chunk):
+            part = order[i : i + chunk]
             out[part] = self.forward(table, ids[part, : max(1, lengths[part].max())].T)[0]
         return out
 
@@ -336,7 +342,8 @@ class Scorer:
     """Scores texts with a model; remembers the gate inputs of words it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.place, self.table, self.used = model, {}, None, 0
+        self.model, self.place, self.table = model, {}, None
+        self.odds = model.odds.tables() if model.ready else None
 
     def scores(self, texts: list) -> np.ndarray:
         model = self.model
@@ -350,18 +357,18 @@ class Scorer:
             rows.append(np.array([place.setdefault(w, len(place) + 1) for w in words_of(text)], np.int64))
         # words are kept in the order in which they came, the newest last
         fresh = list(islice(reversed(place), len(place) - first))[::-1]
-        words = Words(fresh)
-        more = model.network.projected(model.network.inputs(words, model.odds.stats(words)))
-        if first:
-            if first + len(more) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(len(more), len(self.table) // 2), more.shape[1]), np.float32)])
-            self.table[first + 1 : first + len(more)] = more[1:]
-        else:
-            self.table = more
+        if not first:
+            self.table = np.zeros((len(place) + 1, 6 * HIDDEN), np.float32)
+        elif len(place) >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(place) + 1 - len(self.table), len(self.table) // 2), 6 * HIDDEN), np.float32)])
+        for i in range(0, len(fresh), FRESH):
+            words = Words(fresh[i : i + FRESH])
+            more = model.network.projected(model.network.inputs(words, model.odds.stats(words, tables=self.odds)))[1:]
+            self.table[first + 1 + i : first + 1 + i + len(more)] = more
         ids, owner = window_rows(rows)
         out = np.full(len(texts), -8.0)
         if len(ids):
-            logits = model.network.window_logits(self.table, ids)
+            logits = model.network.window_logits(self.table, ids, SCORED)
             worst = worst_windows(logits, owner, len(texts))
             out[worst >= 0] = logits[worst[worst >= 0]]
         slope, offset = model.line
