@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from docuflux.session import ship
 
-#: Rows that a worker gathers before it hands them on.
-BATCH = 8192
+#: Rows that a worker gathers before it hands them on, and characters of texts.
+BATCH, CHARACTERS = 8192, 1 << 20
 
 
 def by_group(rows: DataFrame, keys: list[str], order: list[str], function: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
@@ -93,3 +93,32 @@ def flowed(rows: DataFrame, keys: list[str], order: list[str], function: Callabl
 
     together = rows if dealt else rows.repartition(*keys)
     return together.sortWithinPartitions(*keys, *order).mapInArrow(work, kind)
+
+
+def cut(rows: DataFrame, text: str, function: Callable[[str], list[str]], place: str, piece: str) -> DataFrame:
+    """A row for each of function(text): the other columns, its place from 0, and the piece; null and
+    empty texts give none. A worker holds a batch, one text's pieces and `CHARACTERS` of others."""
+    ship(rows.sparkSession)
+    others = [f for f in rows.schema.fields if f.name != text]
+    kind = T.StructType([*others, T.StructField(place, T.IntegerType()), T.StructField(piece, T.StringType())])
+    names = [f.name for f in others]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed(batch: pa.RecordBatch, done: list[tuple]) -> pa.RecordBatch:
+            at, places, pieces = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(at, pa.int32())).columns, pa.array(places, pa.int32()), pa.array(pieces, pa.string())], kind.names)
+
+        for batch in batches:
+            done, held = [], 0
+            for i, value in enumerate(batch.column(batch.schema.get_field_index(text))):
+                if whole := value.as_py():
+                    for n, part in enumerate(function(whole)):
+                        done.append((i, n, part))
+                        held += len(part)
+                if len(done) >= BATCH or held >= CHARACTERS:
+                    yield handed(batch, done)
+                    done, held = [], 0
+            if done:
+                yield handed(batch, done)
+
+    return rows.mapInArrow(work, kind)

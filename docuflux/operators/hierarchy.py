@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docuflux.functions import guards as g
 from docuflux.functions import text as t
 from docuflux.operators import retrieval as r
-from docuflux.operators.groups import by_group, flowed
+from docuflux.operators.groups import by_group, cut, flowed
 from docuflux.operators.structure import OVERLAP, SIZE, split_text
 
 # Words that a question about tables or for an overview contains, anywhere.
@@ -58,14 +56,6 @@ def section_texts(elements: DataFrame) -> DataFrame:
     return rows.filter(F.length(t.strip(F.col("text"))) > 0)
 
 
-def pieces(text: Column, size: int, overlap: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: split_text(x, size, overlap) if x else [])
-
-    return cut(text)
-
-
 def two_levels(elements: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of level 1 (pieces of sections) and level 2 (elements), in document order: doc_id,
     chunk_level, section, seq, page, page_end, section_title, element_type, heading_level,
@@ -73,8 +63,7 @@ def two_levels(elements: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
 
     elements as in sectioned(). Blank elements and sections give none; a null content is blank.
     """
-    cut = section_texts(elements).select("*", F.posexplode(pieces(F.col("text"), size, overlap)).alias("piece", "raw"))
-    first = cut.withColumn("page_content", t.clean_text(F.col("raw"))).filter("page_content <> ''")
+    first = cut(section_texts(elements), "text", lambda x: split_text(x, size, overlap), "piece", "raw").withColumn("page_content", t.clean_text(F.col("raw"))).filter("page_content <> ''")
     none = F.lit(None)
     level1 = first.select(
         "doc_id", F.lit(1).alias("chunk_level"), "section", F.col("piece").alias("seq"), "page", "page_end", "section_title", F.lit("section").alias("element_type"), "heading_level",

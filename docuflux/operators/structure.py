@@ -8,10 +8,10 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docuflux.operators.groups import by_group
+from docuflux.operators.groups import by_group, cut
+from docuflux.session import small_batches
 
 #: Chunk size and overlap in characters, and separators from coarse to fine.
 SIZE, OVERLAP, SEPARATORS = 800, 100, ["\n\n", "\n", ".", " ", ""]
@@ -80,12 +80,7 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
 
 def chunked(docs: DataFrame, id_: str = "doc_id", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(id, chunk_index, page_content) of every text."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: split_text(x, size, overlap) if x else [])
-
-    return docs.select(id_, F.posexplode(pieces("text")).alias("chunk_index", "page_content"))
+    return cut(docs.select(id_, "text"), "text", lambda x: split_text(x, size, overlap), "chunk_index", "page_content")
 
 
 class _Text(HTMLParser):
@@ -116,6 +111,8 @@ def html_text(html: str | None) -> str:
 
 
 def loaded_html(pages: DataFrame) -> DataFrame:
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text(html: pd.Series) -> pd.Series:
         return html.map(html_text)
@@ -153,6 +150,8 @@ def sanitized_text(text: str) -> str:
 
 
 def sanitized(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: None if x is None else sanitized_text(x))

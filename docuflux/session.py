@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that a Python worker is handed.
+BATCH_BYTES = 4 << 20
 
 
 def session(name: str = "docuflux", **conf: str) -> SparkSession:
@@ -20,8 +22,14 @@ def session(name: str = "docuflux", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds batches for Python workers in bytes as well as rows, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to all Python workers of the session, once per application."""
+    small_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
