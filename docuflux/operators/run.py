@@ -85,7 +85,7 @@ def nodes(group: Iterator) -> Iterator[tuple]:
         yield row.doc_id, row.page, row.paragraph, row.id, kind, row.text, row.n_lines, row.alignment, row.heading_level, levels.get(row.id), *(item[3:6] if item else (None, None, None))
 
 
-def layout(objects: DataFrame, width: Column, height: Column) -> DataFrame:
+def layout(objects: DataFrame, width: Column, height: Column, parts: int | None = None) -> DataFrame:
     """NODES: the paragraphs, headings and list items of all documents, in order.
 
     objects: doc_id, page, seq, kind, text, box, font_size, font_weight, color. Tiny text, what lies off the
@@ -93,7 +93,8 @@ def layout(objects: DataFrame, width: Column, height: Column) -> DataFrame:
     paragraphs; headings have the level of their style among their document's (size, weight,
     colour), ids count paragraphs through a document, and lists are those of the paragraphs'
     labels. level: Doctitle and Subtitle of headings, and how deep the style of a list stands (on
-    its first item). Pages and documents without text give no rows.
+    its first item). Pages and documents without text give no rows. parts: partitions by document
+    (session.parts_for), the session's number without; a task's sorts take memory by its share.
     """
     drop = lay.tiny() | lay.off_page(width, height) | lay.background(width, height)
     # by page: the first window deals the pages out, and all that follows finds them together
@@ -102,6 +103,8 @@ def layout(objects: DataFrame, width: Column, height: Column) -> DataFrame:
     ready = lines.select(*lay.PAGE, "seq", "text", "x0", "y0", "x1", "y1", "font_size", "font_weight", "color", style.alias("style"), b.bulleted(F.col("text")).alias("labelled"), "heading")
     by_page = flowed(ready, lay.PAGE, ["seq"], paragraphs, PARAGRAPHS, dealt=True)
     # by document
+    if parts:
+        by_page = by_page.repartition(parts, "doc_id")
     rank = F.dense_rank().over(Window.partitionBy("doc_id", "heading").orderBy(F.desc("font_size"), F.desc("font_weight"), F.asc_nulls_last("color")))
     placed = by_page.withColumns({"id": F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "paragraph")), "heading_level": F.when(F.col("heading"), rank)})
     return flowed(placed, ["doc_id"], ["page", "paragraph"], nodes, NODES, dealt=True)

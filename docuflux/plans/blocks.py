@@ -10,6 +10,7 @@ from docuflux.operators import layout as lay
 from docuflux.operators import paragraphs as pg
 from docuflux.operators import run
 from docuflux.registry import register
+from docuflux.session import parts_for
 
 from .layout import OBJECTS, objects
 from .text import read
@@ -114,11 +115,13 @@ def set_lines(spark, sf_dir):
     """Whole documents as set lines: each of their lines is cut into rows of 60 characters, eight to a
     page; a document is set justified (every other first row moved in), left, centred or right, by
     its id, and with or without room between its lines."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "whole"))
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "whole"))
     i, p, way = F.col("i"), F.col("p"), F.col("doc_id") % 4
     cut = rows.select("doc_id", "p", "whole", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("whole"), F.lit(1)) - 1) / 60).cast("int"))).alias("i"))
     page = Window.partitionBy("doc_id", "page").orderBy("p", "i")
-    flat = cut.select("doc_id", F.floor(p / 8).cast("long").alias("page"), "p", "i", F.trim(F.expr("substring(whole, i * 60 + 1, 60)")).alias("text")).withColumn("seq", F.row_number().over(page).cast("long"))
+    dealt = cut.select("doc_id", F.floor(p / 8).cast("long").alias("page"), "p", "i", F.trim(F.expr("substring(whole, i * 60 + 1, 60)")).alias("text")).repartition(parts_for(docs), "doc_id", "page")
+    flat = dealt.withColumn("seq", F.row_number().over(page).cast("long"))
     wide = F.when((way == 0) & (F.length("text") > 55), 300.0).otherwise(F.length("text") * 5.0)
     left = F.when(way == 2, 200.0 - wide / 2).when(way == 3, 350.0 - wide).otherwise(50.0 + F.when((way == 0) & (i == 0) & (p % 2 == 0), 20.0).otherwise(0.0))
     right = F.when((way == 0) & (i == 0) & (p % 2 == 0), F.least(left + wide, F.lit(350.0))).otherwise(left + wide)
@@ -251,4 +254,4 @@ def set_objects(spark, sf_dir):
 @register("b19_layout_run")
 def b19(spark, sf_dir):
     """The whole run over all documents; the tests hold it against its steps one after the other."""
-    return run.layout(set_objects(spark, sf_dir), F.lit(595.0), F.lit(30000.0))
+    return run.layout(set_objects(spark, sf_dir), F.lit(595.0), F.lit(30000.0), parts_for(read(spark, sf_dir, "documents")))

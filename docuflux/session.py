@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Bytes of a batch that a Python worker is handed.
@@ -52,3 +52,9 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="docuflux-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/docuflux/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def parts_for(source: DataFrame, spread: int = 16) -> int:
+    """Partitions for a shuffle that grows with a table as it is read: `spread` for each of its splits, so
+    that a task's share is that of a part of a split, whatever the table's size. Nothing is read."""
+    return spread * max(1, source.rdd.getNumPartitions())
