@@ -3,7 +3,8 @@
 A walk around a tree enters and leaves every node once; what comes after each such step is known
 from the node's children and siblings alone. Doubling joins each step with the one it points to,
 so that after k rounds it knows what lies up to 2^k steps ahead: rounds grow with the logarithm of
-the largest tree, whatever its depth, and no tree is gathered in one place.
+the largest tree, whatever its depth, and no tree is gathered in one place. Nodes without children,
+most of a tree, take no steps: those of the nodes before them count them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ MAPPED = {"HTML": "DOCUMENT", "ARTICLE": "SECT", "SECTION": "SECT", "MAIN": "SEC
 # End of fixed values.
 
 
-def written(rows: DataFrame, folder: str, step: int) -> DataFrame:
+def written(rows: DataFrame, folder: str, step: int | str) -> DataFrame:
     rows.write.parquet(f"{folder}/{step}")
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{step}")
 
@@ -35,20 +36,33 @@ def preorder(nodes: DataFrame, key: str) -> DataFrame:
     ids = nodes.select(key, F.col("node").alias("_id"))
     links = nodes.select(key, "node", "parent", "place").join(ids.withColumnRenamed("_id", "parent").withColumn("_there", F.lit(True)), [key, "parent"], "left")
     links = links.select(key, "node", F.when(F.col("_there"), F.col("parent")).alias("parent"), "place")
-    siblings = Window.partitionBy(key, "parent").orderBy("place", "node")
-    ahead = links.withColumn("sibling", F.lead("node").over(siblings))
-    child = ahead.filter("parent is not null").groupBy(key, F.col("parent").alias("node")).agg(F.min_by("node", F.struct("place", "node")).alias("child"))
-    both = ahead.join(child, [key, "node"], "left")
+    folder = shared_folder(nodes.sparkSession, "trees")
+    # nodes without children are passed on the way: only the others take steps, which count the leaves that follow
+    parents = links.filter("parent is not null").select(key, F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    links = written(links.join(parents, [key, "node"], "left"), folder, "links")
+    siblings, inner = Window.partitionBy(key, "parent").orderBy("place", "node"), F.col("inner").isNotNull()
+    numbered = links.withColumn("number", F.row_number().over(siblings))
+    of = F.when(inner, F.struct("number", "node"))
+    behind = F.last(of, ignorenulls=True).over(siblings.rowsBetween(Window.unboundedPreceding, -1))
+    leaves = numbered.withColumn("behind", behind).filter(~inner).select(
+        key, "node", F.coalesce("behind.node", "parent").alias("_from"), F.col("behind").isNotNull().alias("_out"), (F.col("number") - F.coalesce("behind.number", F.lit(0))).cast("long").alias("_nth")
+    )
+    # the next inner sibling, and the leaves up to it or to the last
+    ahead = numbered.withColumn("last", F.count("*").over(Window.partitionBy(key, "parent"))).filter(inner).withColumn("fellow", F.lead(F.struct("number", "node")).over(siblings))
+    ahead = ahead.select(key, "node", "parent", F.col("fellow.node").alias("sibling"), (F.coalesce(F.col("fellow.number") - 1, F.col("last")) - F.col("number")).cast("long").alias("passed"))
+    child = numbered.filter("parent is not null").groupBy(key, F.col("parent").alias("_up")).agg(F.min(of).alias("first"), F.count("*").alias("n"))
+    child = child.select(key, F.col("_up").alias("node"), F.col("first.node").alias("child"), F.coalesce(F.col("first.number") - 1, F.col("n")).cast("long").alias("led"))
+    both = ahead.join(child, [key, "node"])
     point = lambda node, out: F.struct(node.alias("node"), out.alias("out"))
     own, off = F.lit(False), F.lit(True)
     enter = point(F.coalesce("child", "node"), F.col("child").isNull())
     leave = F.when(F.col("sibling").isNotNull(), point(F.col("sibling"), own)).when(F.col("parent").isNotNull(), point(F.col("parent"), off))
     # entering counts a node and goes a level down, leaving goes up; counts are of what lies from a step to the end
     steps = both.select(key, F.explode(F.array(
-        F.struct(point(F.col("node"), own).alias("at"), enter.alias("next"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("down")),
-        F.struct(point(F.col("node"), off).alias("at"), leave.alias("next"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("down")),
+        F.struct(point(F.col("node"), own).alias("at"), enter.alias("next"), (F.col("led") + 1).alias("entered"), F.lit(1).cast("long").alias("down")),
+        F.struct(point(F.col("node"), off).alias("at"), leave.alias("next"), F.col("passed").alias("entered"), F.lit(-1).cast("long").alias("down")),
     )).alias("s")).select(key, "s.*")
-    folder, step, before = shared_folder(nodes.sparkSession, "trees"), 0, -1
+    step, before = 0, -1
     steps = written(steps, folder, 0)
     while (left := steps.filter("next is not null").count()) not in (0, before):
         before, step = left, step + 1
@@ -59,7 +73,15 @@ def preorder(nodes: DataFrame, key: str) -> DataFrame:
     came, went = (ended.filter(F.col("out") == x).drop("out") for x in (False, True))
     sizes = came.join(went.select(key, "node", F.col("entered").alias("_later")), [key, "node"])
     total = came.groupBy(key).agg(F.max("entered").alias("_total"))
+    # leaves that come before any step are counted by none
+    lead = leaves.filter("_from is null").groupBy(key).agg(F.count("*").alias("_lead"))
+    total = total.join(lead, key, "left").select(key, (F.col("_total") + F.coalesce("_lead", F.lit(0))).alias("_total"))
     known = sizes.join(total, key).select(key, "node", (F.col("_total") - F.col("entered")).alias("order"), (1 - F.col("down")).alias("depth"), (F.col("entered") - F.col("_later")).alias("size"))
+    one, out = F.lit(1).cast("long"), F.col("_out")
+    met = leaves.join(ended.select(key, F.col("node").alias("_from"), F.col("out").alias("_out"), "entered", "down"), [key, "_from", "_out"]).join(total, key)
+    met = met.select(key, "node", (F.col("_total") - F.col("entered") + F.col("_nth") - out.cast("long")).alias("order"), (F.when(out, 0).otherwise(2) - F.col("down")).alias("depth"), one.alias("size"))
+    first = leaves.filter("_from is null").select(key, "node", (F.col("_nth") - 1).alias("order"), one.alias("depth"), one.alias("size"))
+    known = known.unionByName(met).unionByName(first)
     return nodes.join(known, [key, "node"])
 
 
