@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, text_slices
 
-#: Entries of a worker's memories of pairs and words, and of stretches between white space; longer ones are not remembered.
-KEPT, CHUNKS, LONG = 1 << 18, 3 << 18, 64
+#: Entries of a worker's memories of pairs, words, and stretches between white space with unlike characters; longer ones are not remembered.
+KEPT, WORDS, CHUNKS, LONG = 1 << 18, 1 << 17, 1 << 16, 64
+#: Characters of a text that are cut into words at a time (at white space), and tokens whose texts are gathered at a time.
+SPAN, GATHERED = 1 << 16, 1 << 14
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
+BLANK = re.compile("[ \t\n\r]")
 #: Fixed pattern of the public tokenizer.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: The same for texts without the characters of UNLIKE, where \w and \d agree with \p{L} and \p{N}.
@@ -41,14 +44,32 @@ def offset_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def gathered(ids: np.ndarray, blob: np.ndarray, offsets: np.ndarray) -> bytes:
-    """The ids' texts one after another, without the last byte, a space."""
-    if not len(ids):
-        return b""
-    starts = offsets[ids]
-    lengths = offsets[ids + 1] - starts
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    return blob[np.arange(len(shift)) + shift][:-1].tobytes()
+def gathered(ids: np.ndarray, blob: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """The ids' texts one after another, without the last byte, a space; in parts."""
+    for at in range(0, len(ids), GATHERED):
+        part = ids[at : at + GATHERED]
+        starts = offsets[part]
+        lengths = offsets[part + 1] - starts
+        shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+        found = blob[np.arange(len(shift)) + shift].tobytes()
+        yield found if at + GATHERED < len(ids) else found[:-1]
+
+
+def digest(parts: Iterator[bytes]) -> str:
+    """SHA-256 of the parts joined."""
+    out = hashlib.sha256()
+    for part in parts:
+        out.update(part)
+    return out.hexdigest()
+
+
+def spans(text: str) -> Iterator[str]:
+    """text in parts of SPAN characters or a little more, each but the first beginning with white space."""
+    at = 0
+    while len(text) - at > SPAN and (cut := BLANK.search(text, at + SPAN)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 def byte_letters() -> list[str]:
@@ -69,12 +90,19 @@ class Codec:
         model = data["model"]
         self.end = model["end_of_word_suffix"]
         self.vocabulary: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        # tokens of merges are the vocabulary's own strings, not copies
+        own = {name: name for name in self.vocabulary}
+        merges = model.pop("merges")
+        merges.reverse()
+        self.rank: dict[tuple[str, ...], int] = {}
+        for i in range(len(merges)):
+            m = merges.pop()
+            self.rank[tuple(own.get(t, t) for t in (m if isinstance(m, list) else m.split(" ")))] = i
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        names = dict(self.vocabulary) | self.special
-        table = [b""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            table[i] = name.encode() + b" "
+        table = [b""] * (max([*self.vocabulary.values(), *self.special.values()]) + 1)
+        for names in (self.vocabulary, self.special):
+            for name, i in names.items():
+                table[i] = name.encode() + b" "
         self.blob, self.offsets = offset_table(table)
         self.digits, self.digit_offsets = offset_table([b"%d " % i for i in range(len(table))])
         self.letters = byte_letters()
@@ -82,15 +110,15 @@ class Codec:
         # the last letter of a word is a symbol of its own, here one plane up
         self.last = {c: chr(0x10000 + ord(c)) for c in self.letters}
         self.automaton = ahocorasick.Automaton()
-        self.text_of: dict[int, str] = {}
+        self.text_of = [""] * len(table)
         for name, i in self.vocabulary.items():
             inner = name.removesuffix(self.end)
             folded = inner if inner == name or not inner else inner[:-1] + self.last[inner[-1]]
             self.text_of[i] = folded
-            self.automaton.add_word(folded, (i, len(folded)))
-        self.folded = {text: i for i, text in self.text_of.items()}
-        self.sizes = {i: len(text) for i, text in self.text_of.items()}
-        self.widest = max(self.sizes.values())
+            self.automaton.add_word(folded, i)
+        self.folded = {self.text_of[i]: i for i in self.vocabulary.values()}
+        self.sizes = array("i", map(len, self.text_of))
+        self.widest = max(self.sizes)
         self.next_shorter: dict[int, int | None] = {}
         self.automaton.make_automaton()
         self.unlast = {v: k + self.end for k, v in self.last.items()}
@@ -132,7 +160,7 @@ class Codec:
         raw = word.encode("utf-8", "replace").decode("latin-1").translate(self.letter_of)
         text = raw[:-1] + self.last[raw[-1]]
         # the longest tokens one after another, which backtracking tries first anyway
-        greedy = [token for _, (token, _) in self.automaton.iter_long(text)]
+        greedy = [token for _, token in self.automaton.iter_long(text)]
         pairs, before = self.pairs, None
         for i, token in enumerate(greedy):
             if before is not None:
@@ -208,55 +236,64 @@ class Codec:
     def _word(self, word: str) -> bytes:
         found = array("i", self.encode_word(word)).tobytes()
         if len(word) <= LONG:
-            if len(self.words) >= KEPT:
+            if len(self.words) >= WORDS:
                 self.words.clear()
             self.words[word] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
-        """Token ids. White space parts words, so stretches between it are looked up whole."""
+        """Token ids. White space parts words; where unlike characters are, stretches between it are looked up whole."""
         parts = [text]
         if self.splitter and any(s in text for s in self.special):
             parts = self.splitter.split(text)
         found: list[bytes] = []
-        get, chunk = self.chunks.get, self._chunk
+        get, chunk, known, word = self.chunks.get, self._chunk, self.words.get, self._word
         for part in parts:
             if len(parts) > 1 and part in self.special:
                 found.append(array("i", [self.special[part]]).tobytes())
-            elif OTHER_SPACE.search(part):  # str.split() parts these too, the tokenizer doesn't
-                found.append(chunk(part))
-            else:
-                found += [get(p) or chunk(p) for p in part.split()]
+                continue
+            for span in spans(part):
+                if not UNLIKE.search(span):
+                    own = [known(p) or word(p) for p in self.pieces(span)]
+                elif OTHER_SPACE.search(span):  # str.split() parts these too, the tokenizer doesn't
+                    own = [chunk(span)]
+                else:
+                    own = [get(p) or chunk(p) for p in span.split()]
+                found.append(b"".join(own))
         return np.frombuffer(b"".join(found), np.int32)
 
     def decimal(self, ids: np.ndarray) -> bytes:
         """The ids in decimal, joined by spaces."""
-        return gathered(ids, self.digits, self.digit_offsets)
+        return b"".join(gathered(ids, self.digits, self.digit_offsets))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Token texts joined by spaces, special tokens too."""
-        return gathered(ids, self.blob, self.offsets)
+        return b"".join(gathered(ids, self.blob, self.offsets))
+
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of decimal(ids) and of decode(ids), which are not held whole."""
+        return digest(gathered(ids, self.digits, self.digit_offsets)), digest(gathered(ids, self.blob, self.offsets))
 
 
 def _worker(sent, keep_ids: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(sent.value)
         for batch, texts in text_slices(batches, "text"):
-            rows = []
+            sizes, digests, held = [], [], []
             for text in texts:
                 ids = codec.encode(text or "")
-                rows.append(
-                    (
-                        len(ids),
-                        hashlib.sha256(codec.decimal(ids)).hexdigest(),
-                        hashlib.sha256(codec.decode(ids)).hexdigest(),
-                        ids.tolist() if keep_ids else None,
-                    )
-                )
-            cols = list(zip(*rows, strict=True))
+                sizes.append(len(ids))
+                digests.append(codec.digests(ids))
+                if keep_ids:
+                    held.append(ids)
+            if keep_ids:
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(held), pa.int32()))
+            else:
+                lists = pa.nulls(len(texts), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id"))]
-                + [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())), strict=True)],
+                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(sizes, pa.int64())]
+                + [pa.array(c, pa.string()) for c in zip(*digests, strict=True)]
+                + [lists],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"],
             )
 
