@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, text_slices
 
 #: Entries of a worker's memories of pairs, words, and stretches between white space with unlike characters; longer ones are not remembered.
-KEPT, WORDS, CHUNKS, LONG = 1 << 18, 1 << 17, 1 << 16, 64
+KEPT, WORDS, CHUNKS, LONG = 1 << 18, 1 << 18, 1 << 16, 64
 #: Characters of a text that are cut into words at a time (at white space), and tokens whose texts are gathered at a time.
 SPAN, GATHERED = 1 << 16, 1 << 14
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
