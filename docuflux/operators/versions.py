@@ -55,13 +55,16 @@ class Versions:
         kind = T.StructType.fromDDL(schema)
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
-    def commit(self, base: dict, changes: dict[str, tuple[DataFrame | Callable[[dict], DataFrame], list[int]]], facts: dict | Callable[[dict], dict]) -> dict:
+    def commit(self, base: dict, changes: dict[str, tuple[DataFrame | Callable[[dict, list[int]], DataFrame], list[int] | Callable[[dict], list[int]]]], facts: dict | Callable[[dict], dict]) -> dict:
         """The version after `base`: of each table the rows (with their `bucket`) that take the place of
-        the named buckets. The tables are written first, then the manifest that swaps all of them. Rows, and
-        the facts, can be functions of the manifest as far as it is written, to be made from earlier tables."""
+        the named buckets. The tables are written first, then the manifest that swaps all of them. Rows, buckets
+        and facts can be functions of the manifest as far as it is written, to be made from earlier tables (rows
+        of its buckets, too); where such a function names none, nothing is written."""
         tables = {name: dict(parts) for name, parts in base["tables"].items()}
         for name, (rows, touched) in changes.items():
-            rows = rows({"tables": tables}) if callable(rows) else rows
+            if callable(touched) and not (touched := touched({"tables": tables})):
+                continue
+            rows = rows({"tables": tables}, touched) if callable(rows) else rows
             folder = f"{name}/{base['version'] + 1}-{uuid.uuid4().hex[:8]}"
             rows.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
             parts = {k: v for k, v in tables.get(name, {}).items() if int(k) not in touched}
